@@ -67,7 +67,9 @@ def clamp(c: Column | str, low, high) -> Column:
 
 
 def half_even(c: Column | str, digits: int = 0) -> Column:
-    return F.bround(_col(c), digits)
+    """Round halves to even after scaling, the way NumPy rounds a float."""
+    scale = F.lit(float(10**digits))
+    return F.rint(_col(c) * scale) / scale
 
 
 # overdue accounts -------------------------------------------------------------

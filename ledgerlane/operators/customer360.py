@@ -103,7 +103,7 @@ def statement_trends(statements: DataFrame) -> DataFrame:
     """
     everything = Window.partitionBy("customer_id")
     by_month = everything.orderBy("statement_date")
-    income, expenses = money("monthly_income"), money("monthly_expenses")
+    income, expenses = money("monthly_income", 4), money("monthly_expenses", 4)
     net = income - expenses
     return (
         statements.select("customer_id", "statement_date", "monthly_income", "monthly_expenses")
@@ -132,7 +132,7 @@ def statement_trends(statements: DataFrame) -> DataFrame:
 
 def income_allocation(statements: DataFrame) -> DataFrame:
     """Income, expenses and net savings as rows, with the shares where something was saved."""
-    income, expenses = money("monthly_income"), money("monthly_expenses")
+    income, expenses = money("monthly_income", 4), money("monthly_expenses", 4)
     net = (income - expenses).cast("double")
     saved = (F.col("monthly_income") > 0) & (net > 0)
     parts = F.array(

@@ -229,7 +229,7 @@ def campaign_prompts(requests: DataFrame) -> DataFrame:
 
 def statement_prompts(statements: DataFrame) -> DataFrame:
     """One analysis prompt per statement."""
-    amounts = [F.col(c).cast("decimal(18,2)").cast("string") for c in ("monthly_income", "monthly_expenses")]
+    amounts = [F.col(c).cast("decimal(18,4)").cast("string") for c in ("monthly_income", "monthly_expenses")]
     user = F.concat(
         F.lit("Assess this statement: income "), amounts[0], F.lit(", expenses "), amounts[1],
         F.lit(", indicators "), "risk_indicators",

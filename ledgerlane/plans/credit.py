@@ -161,7 +161,7 @@ def scorecard_scores(l: Lending) -> DataFrame:
 
 @query
 def feature_contributions(l: Lending) -> DataFrame:
-    return s.feature_contributions(s.lending_features(l, AS_OF)).withColumns(six("impact_raw", "impact_scaled"))
+    return s.feature_contributions(s.lending_features(l, AS_OF))
 
 
 @query

@@ -144,9 +144,9 @@ PROJECTIONS: dict[str, tuple[str, list[str], str | None]] = {
 }
 
 
-def money(col: Column | str) -> Column:
-    """An amount as exact cents; sums of it do not depend on row order."""
-    return (F.col(col) if isinstance(col, str) else col).cast("decimal(18,2)")
+def money(col: Column | str, digits: int = 2) -> Column:
+    """An amount as an exact decimal; sums of it do not depend on row order."""
+    return (F.col(col) if isinstance(col, str) else col).cast(f"decimal(18,{digits})")
 
 
 @dataclass(frozen=True)
