@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerlane.functions import exprs as x
 from ledgerlane.functions import text as tx
+from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources import dims
 
 MODEL = "gpt-4"
@@ -27,7 +28,7 @@ def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) ->
     of (seed, request, variable). The template table is joined without a hint, so Spark
     broadcasts it by its size.
     """
-    names = templates.groupBy("category").agg(F.first("category_name").alias("known_category"))
+    names = templates.where("template_index = 0").select("category", F.col("category_name").alias("known_category"))
     found = requests.join(names, "category", "left").join(templates, ["category", "template_index"], "left")
     custom = F.coalesce("custom_variables", F.create_map().cast("map<string,string>"))
 
@@ -137,7 +138,7 @@ def service_replies(messages: DataFrame, profiles: DataFrame) -> DataFrame:
         F.lit("\n\nCustomer message: "),
         "message",
     )
-    return messages.join(context, "customer_id", "left").select(
+    return join_splitting_hot_keys(messages, context, "customer_id", "left", "id").select(
         "id",
         F.lit(
             "You answer customers of a European lender. Be polite and exact, respect GDPR,"

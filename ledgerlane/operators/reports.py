@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
+from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources.views import money
 
 
@@ -79,9 +80,9 @@ def distinct_options(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(columns).unpivot([], columns, "option_set", "value").distinct()
 
 
-def found_in(df: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+def found_in(df: DataFrame, requests: DataFrame, key: str, spread: str = "id") -> DataFrame:
     """Rows whose key was asked for: many lookups as one join."""
-    return df.join(requests.select(key).distinct(), key, "left_semi")
+    return join_splitting_hot_keys(df, requests.select(key).distinct(), key, "left_semi", spread)
 
 
 def overdue_grid(accounts: DataFrame, days: int = 30, amount: int = 1000) -> DataFrame:

@@ -37,14 +37,36 @@ PENALTIES = [
 ]
 
 
-def _draw(name: str, seed: int) -> Column:
-    return x.uniform(str(seed), name, F.col("id"))
+# One uniform draw per name; a normal takes two.
+NORMALS = ["age", "monthly_income", "current_balance", "existing_credit_score"]
+UNIFORMS = [
+    "is_business",
+    "business_factor",
+    "expense_ratio",
+    "has_overdrafts",
+    "overdrafts",
+    "has_returned",
+    "returned_payments",
+    "gambling_transactions",
+    "irregular_income",
+    "country_risk",
+    "label",
+]
+
+
+def _draws(seed: int) -> list[Column]:
+    names = UNIFORMS + [f"{n}/{part}" for n in NORMALS for part in ("r", "a")]
+    return [x.uniform(str(seed), name, F.col("id")).alias(f"u/{name}") for name in names]
+
 
+def _draw(name: str) -> Column:
+    return F.col(f"`u/{name}`")
 
-def _normal(name: str, seed: int) -> Column:
+
+def _normal(name: str) -> Column:
     """Standard normal from two draws (Box-Muller)."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln(_draw(f"{name}/r", seed)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * _draw(f"{name}/a", seed))
+    radius = F.sqrt(F.lit(-2.0) * F.ln(_draw(f"{name}/r")))
+    return radius * F.cos(F.lit(2.0 * math.pi) * _draw(f"{name}/a"))
 
 
 def poisson_steps(rate: float, most: int = 12) -> list[float]:
@@ -57,16 +79,17 @@ def poisson_steps(rate: float, most: int = 12) -> list[float]:
     return steps
 
 
-def _poisson(name: str, rate: float, seed: int) -> Column:
-    u, steps = _draw(name, seed), poisson_steps(rate)
+def _poisson(name: str, rate: float) -> Column:
+    """The number of steps at or below the draw."""
+    u, steps = _draw(name), poisson_steps(rate)
     counted = F.when(u < steps[0], 0)
     for k, step in enumerate(steps[1:], 1):
         counted = counted.when(u < step, k)
     return counted.otherwise(len(steps))
 
 
-def _weighted_choice(name: str, weighted: list[tuple[float, float]], seed: int) -> Column:
-    u, edge, chosen = _draw(name, seed), 0.0, F
+def _weighted_choice(name: str, weighted: list[tuple[float, float]]) -> Column:
+    u, edge, chosen = _draw(name), 0.0, F
     for value, share in weighted[:-1]:
         edge = round(edge + share, 10)
         chosen = chosen.when(u < edge, value)
@@ -89,52 +112,52 @@ def training_rows(ids: DataFrame, seed: int = SEED) -> DataFrame:
     """
 
     def chance(name: str, p: float) -> Column:
-        return F.when(_draw(name, seed) < p, 1).otherwise(0)
+        return F.when(_draw(name) < p, 1).otherwise(0)
 
     return (
-        ids.select("id")
+        ids.select("id", *_draws(seed))
         .withColumns(
             {
-                "age": x.clamp(F.lit(40.0) + F.lit(12.0) * _normal("age", seed), 18.0, 80.0),
-                "is_business": F.when(_draw("is_business", seed) < 0.7, 0).otherwise(1),
+                "age": x.clamp(F.lit(40.0) + F.lit(12.0) * _normal("age"), 18.0, 80.0),
+                "is_business": F.when(_draw("is_business") < 0.7, 0).otherwise(1),
             }
         )
         .withColumn(
             "base_income",
             (F.lit(2000.0) + (F.col("age") - 25.0) * 50.0)
-            * F.when(F.col("is_business") == 1, F.lit(1.5) + F.lit(1.5) * _draw("business_factor", seed)).otherwise(1.0),
+            * F.when(F.col("is_business") == 1, F.lit(1.5) + F.lit(1.5) * _draw("business_factor")).otherwise(1.0),
         )
         .withColumn(
             "monthly_income",
             F.greatest(
-                F.lit(1000.0), F.col("base_income") + F.col("base_income") * 0.3 * _normal("monthly_income", seed)
+                F.lit(1000.0), F.col("base_income") + F.col("base_income") * 0.3 * _normal("monthly_income")
             ),
         )
         .withColumn(
-            "monthly_expenses", F.col("monthly_income") * (F.lit(0.5) + F.lit(0.45) * _draw("expense_ratio", seed))
+            "monthly_expenses", F.col("monthly_income") * (F.lit(0.5) + F.lit(0.45) * _draw("expense_ratio"))
         )
         .withColumns(
             {
                 "current_balance": F.greatest(
                     F.lit(0.0),
-                    F.col("monthly_income") * 2.0 + F.col("monthly_income") * 0.5 * _normal("current_balance", seed),
+                    F.col("monthly_income") * 2.0 + F.col("monthly_income") * 0.5 * _normal("current_balance"),
                 ),
                 "expense_to_income_ratio": F.col("monthly_expenses") / F.col("monthly_income"),
                 "savings_rate": (F.col("monthly_income") - F.col("monthly_expenses")) / F.col("monthly_income"),
-                "overdrafts": F.when(_draw("has_overdrafts", seed) < 0.3, _poisson("overdrafts", 1.0, seed)).otherwise(0),
+                "overdrafts": F.when(_draw("has_overdrafts") < 0.3, _poisson("overdrafts", 1.0)).otherwise(0),
                 "returned_payments": F.when(
-                    _draw("has_returned", seed) < 0.2, _poisson("returned_payments", 0.5, seed)
+                    _draw("has_returned") < 0.2, _poisson("returned_payments", 0.5)
                 ).otherwise(0),
                 "gambling_transactions": chance("gambling_transactions", 0.1),
                 "irregular_income": chance("irregular_income", 0.15),
                 "existing_credit_score": x.clamp(
-                    F.lit(700.0) + F.lit(80.0) * _normal("existing_credit_score", seed), 300.0, 850.0
+                    F.lit(700.0) + F.lit(80.0) * _normal("existing_credit_score"), 300.0, 850.0
                 ),
-                "country_risk": _weighted_choice("country_risk", COUNTRY_DRAWS, seed),
+                "country_risk": _weighted_choice("country_risk", COUNTRY_DRAWS),
             }
         )
         .withColumn("good_credit_probability", label_probability())
-        .withColumn(LABEL, F.when(_draw("label", seed) < F.col("good_credit_probability"), 1).otherwise(0))
+        .withColumn(LABEL, F.when(_draw("label") < F.col("good_credit_probability"), 1).otherwise(0))
         .select("id", *FEATURES, "good_credit_probability", LABEL)
     )
 
@@ -154,24 +177,29 @@ def fit(train: DataFrame, strength: float = 1.0) -> PipelineModel:
 
     Spark averages the loss over rows, so the penalty is divided by their number.
     """
-    typed = train.select(*[F.col(f).cast("double").alias(f) for f in FEATURES], F.col(LABEL).cast("double").alias(LABEL))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features")
-    assembled = assembler.transform(typed)
+    assembled = assembler.transform(train).select("raw_features", F.col(LABEL).cast("double").alias(LABEL)).persist()
     scaler = StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True).fit(
         assembled
     )
     regression = LogisticRegression(
         featuresCol="scaled_features",
         labelCol=LABEL,
-        regParam=strength / typed.count(),
+        regParam=strength / assembled.count(),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=200,
         tol=1e-9,
     ).fit(scaler.transform(assembled))
+    assembled.unpersist()
     return PipelineModel([assembler, scaler, regression])
 
 
+def training_ids(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
+    """Ids for n synthetic applicants; a small set stays in few partitions."""
+    return spark.range(0, n, 1, 1 + n // 100_000)
+
+
 def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None, retrain: bool = False) -> PipelineModel:
     """The model saved at ``path``; trained and saved first if absent or if asked to."""
     if not retrain:
@@ -181,7 +209,7 @@ def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None,
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-    rows = training_rows(spark.range(TRAINING_ROWS)) if rows is None else rows
+    rows = training_rows(training_ids(spark)) if rows is None else rows
     model = fit(split_rows(rows)[0])
     model.write().overwrite().save(path)
     return model

@@ -235,7 +235,7 @@ def classification_report(l: Lending) -> DataFrame:
 @query
 def batch_scoring(l: Lending) -> DataFrame:
     """Train on the synthetic applicants, then score every customer with the fitted model."""
-    train, _ = t.split_rows(t.training_rows(l.spark.range(t.TRAINING_ROWS)))
+    train, _ = t.split_rows(t.training_rows(t.training_ids(l.spark)))
     return t.predict(t.fit(train), s.lending_features(l, AS_OF)).select(
         "customer_id",
         "customer",
