@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlane.sources.schemas import RISK_INDICATORS
 
@@ -110,6 +111,12 @@ def payment_plan(amount="outstanding_amount", start="start_date", months: int =
     )
 
 
+def json_text(schema: str, **values) -> Column:
+    """The given columns as JSON text in the field order and types of a declared shape."""
+    fields = T.StructType.fromDDL(schema)
+    return F.to_json(F.struct(*[_col(values[f.name]).cast(f.dataType).alias(f.name) for f in fields]))
+
+
 def next_action_date(last_contact="last_contact_date", days: int = 7) -> Column:
     return F.date_add(_col(last_contact), days)
 

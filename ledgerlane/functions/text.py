@@ -26,6 +26,28 @@ def _name(token: Column) -> Column:
     return F.substring(token, F.lit(2), F.length(token) - 2)
 
 
+def template_parts(template: Column) -> Column:
+    """The template as (text, var) pieces, so that it is read once and filled many times."""
+
+    def piece(token: Column) -> Column:
+        slot = token.rlike(PLACEHOLDER)
+        return F.struct(
+            F.when(token == "{{", F.lit("{")).when(token == "}}", F.lit("}")).otherwise(token).alias("text"),
+            F.when(slot, _name(token)).alias("var"),
+        )
+
+    return F.transform(_tokens(template), piece)
+
+
+def fill_literal(template: str, values: dict[str, Column]) -> Column:
+    """A template known in advance as one concatenation."""
+    pieces = []
+    for at, part in enumerate(template.replace("}", "{").split("{")):
+        if part:
+            pieces.append(values[part] if at % 2 else F.lit(part))
+    return F.concat(*pieces)
+
+
 def fill_template(template: Column, values: Column) -> Column:
     """Replace each ``{name}`` once; a value that itself holds braces is left alone."""
 

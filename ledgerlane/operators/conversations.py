@@ -3,7 +3,7 @@
 A conversation may be arbitrarily long, so no window spans a whole one. Turns are
 cut into chunks of ``span`` consecutive turn numbers; windows run inside a chunk and
 a second, small window over one summary row per chunk carries counts and the last
-role across the chunk borders.
+role across the chunk borders. (conv_id, turn) is the key of the table.
 """
 
 from __future__ import annotations

@@ -18,9 +18,6 @@ from ledgerlane.functions import text as tx
 from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources import dims
 
-MODEL = "gpt-4"
-
-
 def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) -> DataFrame:
     """Render one template per request (request_id, category, template_index, custom_variables).
 
@@ -28,27 +25,37 @@ def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) ->
     of (seed, request, variable). The template table is joined without a hint, so Spark
     broadcasts it by its size.
     """
+    def options_of(part: Column) -> Column:
+        return F.get(F.filter("variables", lambda v: v["var"] == part["var"]), F.lit(0))["options"]
+
+    # Read and cut up once per template, on the small side of the join.
+    cut = templates.withColumn("parts", tx.template_parts(F.col("template"))).withColumn(
+        "parts",
+        F.transform(
+            "parts", lambda t: F.struct(t["text"].alias("text"), t["var"].alias("var"), options_of(t).alias("options"))
+        ),
+    )
     names = templates.where("template_index = 0").select("category", F.col("category_name").alias("known_category"))
-    found = requests.join(names, "category", "left").join(templates, ["category", "template_index"], "left")
+    found = requests.join(names, "category", "left").join(cut, ["category", "template_index"], "left")
     custom = F.coalesce("custom_variables", F.create_map().cast("map<string,string>"))
 
     def chosen(v: Column) -> Column:
         pick = x.hash32(str(seed), F.col("request_id"), v["var"]) % F.size(v["options"])
-        value = F.when(F.map_contains_key(custom, v["var"]), F.try_element_at(custom, v["var"])).otherwise(
-            F.get(v["options"], pick.cast("int"))
-        )
-        return F.struct(v["var"].alias("key"), value.alias("value"))
+        return F.coalesce(F.try_element_at(custom, v["var"]), F.get(v["options"], pick.cast("int")))
 
-    used = F.map_from_entries(F.transform("variables", chosen))
+    used = F.map_from_entries(
+        F.transform("variables", lambda v: F.struct(v["var"].alias("key"), chosen(v).alias("value")))
+    )
+    filled = F.transform("parts", lambda t: F.when(t["options"].isNull(), t["text"]).otherwise(chosen(t)))
     error = F.when(F.col("known_category").isNull(), "Category not found").when(
         F.col("template").isNull(), "Template not found"
     )
-    return found.withColumn("variables_used", used).select(
+    return found.select(
         "request_id",
         "category_name",
         "title",
-        tx.fill_template(F.col("template"), F.col("variables_used")).alias("prompt"),
-        "variables_used",
+        F.array_join(filled, "").alias("prompt"),
+        used.alias("variables_used"),
         error.alias("error"),
     )
 
@@ -82,12 +89,10 @@ def custom_prompts(df: DataFrame, template: str = "template", variables: str = "
 
 def suggestions(requests: DataFrame) -> DataFrame:
     """Five suggestions per request, and three more for the loan types that have some."""
-    values = F.create_map(
-        F.lit("loan"), "loan_type", F.lit("audience"), "audience", F.lit("goal"), "goal"
-    )
+    values = {"loan": F.col("loan_type"), "audience": F.col("audience"), "goal": F.col("goal")}
 
     def texts(items: list[str]) -> Column:
-        return F.array(*[tx.fill_template(F.lit(t), values) for t in items])
+        return F.array(*[tx.fill_literal(t, values) for t in items])
 
     extra = F
     for word, items in dims.LOAN_SUGGESTIONS.items():
@@ -99,12 +104,7 @@ def suggestions(requests: DataFrame) -> DataFrame:
 
 
 def _settings(kind: str) -> list[Column]:
-    temperature, max_tokens = dims.SETTINGS[kind]
-    return [
-        F.lit(MODEL).alias("model"),
-        F.lit(temperature).alias("temperature"),
-        F.lit(max_tokens).alias("max_tokens"),
-    ]
+    return [F.lit(v).alias(name) for name, v in zip(("model", "temperature", "max_tokens"), dims.SETTINGS[kind])]
 
 
 def collection_emails(accounts: DataFrame) -> DataFrame:
@@ -175,14 +175,8 @@ def sentiment_prompts(messages: DataFrame) -> DataFrame:
 
 
 def _prompt(kind: str, system: Column, user: Column) -> Column:
-    temperature, max_tokens = dims.SETTINGS[kind]
     return F.struct(
-        F.lit(kind).alias("kind"),
-        system.alias("system_prompt"),
-        user.alias("user_prompt"),
-        F.lit(MODEL).alias("model"),
-        F.lit(temperature).alias("temperature"),
-        F.lit(max_tokens).alias("max_tokens"),
+        F.lit(kind).alias("kind"), system.alias("system_prompt"), user.alias("user_prompt"), *_settings(kind)
     )
 
 
@@ -230,11 +224,9 @@ def campaign_prompts(requests: DataFrame) -> DataFrame:
 
 def statement_prompts(statements: DataFrame) -> DataFrame:
     """One analysis prompt per statement."""
-    amounts = [F.col(c).cast("decimal(18,4)").cast("string") for c in ("monthly_income", "monthly_expenses")]
     user = F.concat(
-        F.lit("Assess this statement: income "), amounts[0], F.lit(", expenses "), amounts[1],
-        F.lit(", indicators "), "risk_indicators",
-    )
+        F.lit("Assess this statement: "), "statement_data", F.lit("\nIndicators: "), "risk_indicators"
+    )
     system = F.lit(
         "You analyse bank statements for lending. Judge income stability, spending, risk signs and cash flow;"
         " give a risk score from 1 (lowest) to 10 and a recommendation."

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
 from ledgerlane.operators.skew import join_splitting_hot_keys
-from ledgerlane.sources.views import money
+from ledgerlane.sources.views import cents
 
 
 def with_customer(facts: DataFrame, customers: DataFrame) -> DataFrame:
@@ -60,11 +60,11 @@ def zero_filled_counts(df: DataFrame, key: str, values: list[str], name: str = "
 
 
 def total_money(col: Column | str) -> Column:
-    return F.sum(money(col)).cast("double")
+    return F.sum(cents(col)).cast("double") / 100
 
 
 def mean_money(col: Column | str) -> Column:
-    return F.try_divide(F.sum(money(col)).cast("double"), F.count(col))
+    return F.try_divide(total_money(col), F.count(col))
 
 
 def in_sets(df: DataFrame, allowed: dict[str, list | None]) -> DataFrame:

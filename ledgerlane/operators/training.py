@@ -243,11 +243,16 @@ def roc_auc(scored: DataFrame, label: str = LABEL, score: str = "probability") -
     ).evaluate(typed)
 
 
-def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Precision, recall, F1 and support per class, from four counters in one pass."""
+def classification_report(df: DataFrame, label: str, prediction: str, where: Column | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per class, from four counters in one pass.
+
+    ``where`` limits the rows inside the counters. A filter on a computed label would be
+    pushed below the projection and compute the label a second time.
+    """
     y, p = F.col(label), F.col(prediction)
+    counted = F.lit(True) if where is None else where
     cells = df.agg(
-        *[F.count_if((y == a) & (p == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
+        *[F.count_if(counted & (y == a) & (p == b)).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
     )
     per_class = F.array(
         *[

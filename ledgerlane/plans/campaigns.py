@@ -149,7 +149,5 @@ def marketing_prompts(l: Lending) -> DataFrame:
         _pick([*dims.ENHANCEMENTS, "unheard-of"], 1).alias("enhancement_type"),
         (F.col("id") % 3 + 1).alias("n_variations"),
     )
-    statements = c360.latest_statement(
-        l.bank_statements, ["statement_date", "monthly_income", "monthly_expenses", "risk_indicators"]
-    )
+    statements = c360.latest_statement(l.bank_statements, ["statement_date", "statement_data", "risk_indicators"])
     return p.one_prompt_table(p.campaign_prompts(requests), p.statement_prompts(statements))

@@ -227,9 +227,12 @@ def label_probability(l: Lending) -> DataFrame:
 @query
 def classification_report(l: Lending) -> DataFrame:
     """How well the label rule alone predicts the labels of the held-out applicants."""
-    held_out = t.split_rows(t.training_rows(l.customers))[1]
-    predicted = held_out.withColumn("prediction", F.when(F.col("good_credit_probability") >= 0.5, 1).otherwise(0))
-    return t.classification_report(predicted, t.LABEL, "prediction")
+    predicted = t.training_rows(l.customers).select(
+        t.LABEL,
+        F.when(F.col("good_credit_probability") >= 0.5, 1).otherwise(0).alias("prediction"),
+        (~t.in_training()).alias("held_out"),
+    )
+    return t.classification_report(predicted, t.LABEL, "prediction", F.col("held_out"))
 
 
 @query

@@ -727,8 +727,7 @@ def _campaign_queries() -> dict[str, str]:
               concat('Base prompt: ', prompt), 'gpt-4', 0.8e0, 800 FROM asked
             UNION ALL SELECT customer_id, 'statement', concat('You analyse bank statements for lending. Judge income',
                 ' stability, spending, risk signs and cash flow; give a risk score from 1 (lowest) to 10 and a recommendation.'),
-              concat('Assess this statement: income ', CAST(CAST(monthly_income AS DECIMAL(18,4)) AS VARCHAR), ', expenses ',
-                CAST(CAST(monthly_expenses AS DECIMAL(18,4)) AS VARCHAR), ', indicators ', risk_indicators),
+              concat('Assess this statement: ', statement_data, chr(10), 'Indicators: ', risk_indicators),
               'gpt-4', 0.3e0, 800 FROM latest_statements""", LATEST_STATEMENT).replace("\n, asked", ", asked"),
     }
 

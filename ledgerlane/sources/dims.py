@@ -216,17 +216,17 @@ OPTION_POOLS = [
     ),
 ]
 
-# Temperature and reply length per kind of prompt.
+# Model, temperature and reply length per kind of prompt.
 SETTINGS = {
-    "onboarding": (0.7, 500),
-    "statement": (0.3, 800),
-    "marketing": (0.8, 600),
-    "service": (0.7, 500),
-    "collection": (0.6, 600),
-    "sentiment": (0.3, 200),
-    "content": (0.7, 1000),
-    "enhancement": (0.6, 500),
-    "variation": (0.8, 800),
+    "onboarding": ("gpt-4", 0.7, 500),
+    "statement": ("gpt-4", 0.3, 800),
+    "marketing": ("gpt-4", 0.8, 600),
+    "service": ("gpt-4", 0.7, 500),
+    "collection": ("gpt-4", 0.6, 600),
+    "sentiment": ("gpt-3.5-turbo", 0.3, 200),
+    "content": ("gpt-4", 0.7, 1000),
+    "enhancement": ("gpt-4", 0.6, 500),
+    "variation": ("gpt-4", 0.8, 800),
 }
 
 ENHANCEMENTS = {

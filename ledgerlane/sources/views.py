@@ -144,6 +144,12 @@ PROJECTIONS: dict[str, tuple[str, list[str], str | None]] = {
 }
 
 
+def cents(col: Column | str) -> Column:
+    """An amount as a whole number of cents. The sum of it is exact and cannot overflow."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.rint(value * 100).cast("bigint").cast("decimal(18,0)")
+
+
 def money(col: Column | str, digits: int = 2) -> Column:
     """An amount as an exact decimal; sums of it do not depend on row order."""
     return (F.col(col) if isinstance(col, str) else col).cast(f"decimal(18,{digits})")
@@ -156,8 +162,15 @@ class Lending:
     spark: SparkSession
     root: str
 
+    @cached_property
+    def _opened(self) -> dict[str, DataFrame]:
+        return {}
+
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}.parquet")
+        """A source table; its files are listed and its schema is read once."""
+        if table not in self._opened:
+            self._opened[table] = self.spark.read.parquet(f"{self.root}/{table}.parquet")
+        return self._opened[table]
 
     def view(self, name: str) -> DataFrame:
         if name in ("credit_scores", "bank_statements"):
@@ -223,7 +236,7 @@ class Lending:
         The orders are summed to (customer, month) before they meet the customer
         table, so the join moves at most one row per month for any customer.
         """
-        price = money("o_totalprice")
+        price = cents("o_totalprice")
         monthly = (
             self.raw("orders")
             .where("o_custkey % 11 <> 0")
@@ -232,9 +245,6 @@ class Lending:
                 F.date_trunc("month", "o_orderdate").cast("date").alias("statement_date"),
             )
             .agg(
-                F.sum(F.when(F.col("o_custkey") % 13 == 0, F.lit(0).cast("decimal(18,2)")).otherwise(price)).alias(
-                    "income"
-                ),
                 F.sum(price * (45 + F.col("o_orderkey") % 60).cast("int")).alias("expenses"),
                 F.count(F.lit(1)).alias("transaction_count"),
                 F.sum(price).alias("salary"),
@@ -246,16 +256,19 @@ class Lending:
         )
         owners = self.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"))
         day = F.col("statement_date").cast("string")
+        salary = (F.col("salary") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
         return monthly.join(owners, "customer_id").select(
             "customer_id",
             "statement_date",
             "balance",
-            F.col("income").cast("double").alias("monthly_income"),
-            (F.col("expenses").cast("double") / 100).alias("monthly_expenses"),
+            F.when(F.col("customer_id") % 13 == 0, 0.0)
+            .otherwise(F.col("salary").cast("double") / 100)
+            .alias("monthly_income"),
+            (F.col("expenses").cast("double") / 100 / 100).alias("monthly_expenses"),
             "transaction_count",
             F.concat(
                 F.lit('{"transactions": [{"date": "'), day,
-                F.lit('", "description": "Salary", "amount": '), F.col("salary").cast("string"),
+                F.lit('", "description": "Salary", "amount": '), salary,
                 F.lit('}, {"date": "'), day,
                 F.lit('", "description": "Rent", "amount": -1200}]}'),
             ).alias("statement_data"),

@@ -125,6 +125,18 @@ def test_factor_json(spark):
     assert (parsed.credit_utilization, parsed.length_of_credit) == ("23%", "7 years")
 
 
+def test_json_columns_are_written_and_read_back(spark):
+    from ledgerlane.functions import exprs as x
+    from ledgerlane.sources.schemas import RISK_INDICATORS
+
+    df = spark.createDataFrame([(2, 1, True, False)], "o int, r int, g boolean, i boolean").withColumn(
+        "risk_indicators",
+        x.json_text(RISK_INDICATORS, overdrafts="o", returned_payments="r", gambling_transactions="g", irregular_income="i"),
+    )
+    row = df.select("risk_indicators", x.parse_indicators().alias("p")).first()
+    assert row.risk_indicators.startswith('{"overdrafts":2,') and tuple(row.p) == (2, 1, True, False)
+
+
 def test_checkpoint_dir_comes_from_the_session(spark):
     from ledgerlane.session import ensure_checkpoint_dir
 
