@@ -179,9 +179,18 @@ def savings_rate(income="monthly_income", expenses="monthly_expenses") -> Column
     return F.when(i > 0, (i - _col(expenses)) / i).otherwise(F.lit(0.0))
 
 
+def parse_json(text: Column | str, schema: str) -> Column:
+    """JSON text as a struct, parsed once per row however many fields are read.
+
+    With an option set, the optimizer does not narrow the schema per field, which would
+    parse the text again for each of them.
+    """
+    return F.from_json(_col(text), schema, {"mode": "PERMISSIVE"})
+
+
 def parse_indicators(text="risk_indicators") -> Column:
     """Indicator JSON as a struct without NULLs: missing, malformed or absent reads as 0 / false."""
-    raw = F.from_json(_col(text), RISK_INDICATORS)
+    raw = parse_json(text, RISK_INDICATORS)
     return F.struct(
         F.coalesce(raw["overdrafts"], F.lit(0)).alias("overdrafts"),
         F.coalesce(raw["returned_payments"], F.lit(0)).alias("returned_payments"),

@@ -82,7 +82,7 @@ def assign_ids(df: DataFrame, after: int = 0, column: str = "id") -> DataFrame:
 
     The input is written to the checkpoint folder first, so both passes see the
     same partitions even if an executor is lost in between. Only the row count of
-    each partition is gathered: one small row per partition.
+    each partition is gathered and broadcast: one small row per partition.
     """
     ensure_checkpoint_dir(df.sparkSession)
     fixed = df.checkpoint()
@@ -95,7 +95,7 @@ def assign_ids(df: DataFrame, after: int = 0, column: str = "id") -> DataFrame:
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return numbered.join(offsets, "__part").select(
+    return numbered.join(F.broadcast(offsets), "__part").select(
         (F.lit(after) + F.col("__before") + F.col("__row") + 1).alias(column),
         *[c for c in df.columns if c != column],
     )

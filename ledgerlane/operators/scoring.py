@@ -127,7 +127,7 @@ def credit_features(profiles: DataFrame, as_of: str, reference_defaults: bool =
 
 def lending_features(lending, as_of: str, reference_defaults: bool = False) -> DataFrame:
     """Features of every customer from the lending tables: one shuffle per child table."""
-    scores = c360.latest_score(lending.score_facts, lending.individuals)
+    scores = c360.latest_score(lending.score_facts, lending.score_owners)
     statements = c360.latest_statement(
         lending.bank_statements,
         ["statement_date", "monthly_income", "monthly_expenses", "balance", "risk_indicators"],

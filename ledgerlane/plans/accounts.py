@@ -10,16 +10,16 @@ from ledgerlane.operators import prompts as p
 from ledgerlane.operators import reports as r
 from ledgerlane.plans.registry import query
 from ledgerlane.sources import dims, sinks
-from ledgerlane.sources.schemas import DOMAINS
+from ledgerlane.sources.schemas import DOMAINS, PAYMENT_PLAN
 from ledgerlane.sources.views import AS_OF, Lending
 
 STAGES = DOMAINS["collections"]["collection_stage"]
 
 
-def stage_report(l: Lending) -> DataFrame:
+def stage_report(book: Lending) -> DataFrame:
     """The worklist joined to its customers, banded, and rolled up by stage and band."""
     return (
-        r.with_customer(l.collections, l.customers)
+        r.with_customer(book.collections, book.customers)
         .withColumns({"risk_score": x.overdue_risk(), "band": x.risk_band()})
         .groupBy("collection_stage", "band")
         .agg(
@@ -31,9 +31,9 @@ def stage_report(l: Lending) -> DataFrame:
 
 
 @query
-def collections_worklist(l: Lending) -> DataFrame:
+def collections_worklist(book: Lending) -> DataFrame:
     return (
-        r.with_customer(l.collections, l.customers)
+        r.with_customer(book.collections, book.customers)
         .select(
             "id", "customer", "email", "outstanding_amount", "days_overdue", "collection_stage", "loan_id"
         )
@@ -42,11 +42,11 @@ def collections_worklist(l: Lending) -> DataFrame:
 
 
 @query
-def collections_filtered(l: Lending) -> DataFrame:
-    chosen = r.in_sets(l.collections, {"collection_stage": ["mid", "late"]}).where(
+def collections_filtered(book: Lending) -> DataFrame:
+    chosen = r.in_sets(book.collections, {"collection_stage": ["mid", "late"]}).where(
         (F.col("outstanding_amount") >= 100000) & (F.col("days_overdue") >= 45)
     )
-    return r.with_customer(chosen, l.customers).select(
+    return r.with_customer(chosen, book.customers).select(
         "id",
         "customer",
         "loan_id",
@@ -59,22 +59,22 @@ def collections_filtered(l: Lending) -> DataFrame:
 
 
 @query
-def high_risk_accounts(l: Lending) -> DataFrame:
-    return r.with_customer(l.collections.where("days_overdue > 60"), l.customers).select(
+def high_risk_accounts(book: Lending) -> DataFrame:
+    return r.with_customer(book.collections.where("days_overdue > 60"), book.customers).select(
         "id", "customer", "loan_id", "outstanding_amount", "days_overdue"
     )
 
 
 @query
-def collections_by_stage(l: Lending) -> DataFrame:
-    return l.collections.groupBy("collection_stage").agg(
+def collections_by_stage(book: Lending) -> DataFrame:
+    return book.collections.groupBy("collection_stage").agg(
         F.count(F.lit(1)).alias("n"), r.mean_money("outstanding_amount").alias("avg_outstanding")
     )
 
 
 @query
-def collections_totals(l: Lending) -> DataFrame:
-    return r.owned(l.collections, l.customers).agg(
+def collections_totals(book: Lending) -> DataFrame:
+    return r.owned(book.collections, book.customers).agg(
         r.total_money("outstanding_amount").alias("total_outstanding"),
         F.avg("days_overdue").alias("avg_days_overdue"),
         F.count(F.lit(1)).alias("accounts"),
@@ -83,30 +83,30 @@ def collections_totals(l: Lending) -> DataFrame:
 
 
 @query
-def stage_value_counts(l: Lending) -> DataFrame:
-    kept = r.owned(l.collections.where(F.col("collection_stage").isNotNull()), l.customers)
+def stage_value_counts(book: Lending) -> DataFrame:
+    kept = r.owned(book.collections.where(F.col("collection_stage").isNotNull()), book.customers)
     return r.counts(kept, "collection_stage").orderBy(F.desc("n"), "collection_stage")
 
 
 @query
-def outstanding_by_stage(l: Lending) -> DataFrame:
-    kept = r.owned(l.collections.where(F.col("collection_stage").isNotNull()), l.customers)
+def outstanding_by_stage(book: Lending) -> DataFrame:
+    kept = r.owned(book.collections.where(F.col("collection_stage").isNotNull()), book.customers)
     return kept.groupBy("collection_stage").agg(r.total_money("outstanding_amount").alias("outstanding"))
 
 
 @query
-def stage_counts_zero_filled(l: Lending) -> DataFrame:
-    return r.zero_filled_counts(r.owned(l.collections, l.customers), "collection_stage", STAGES)
+def stage_counts_zero_filled(book: Lending) -> DataFrame:
+    return r.zero_filled_counts(r.owned(book.collections, book.customers), "collection_stage", STAGES)
 
 
 @query
-def overdue_heatmap(l: Lending) -> DataFrame:
-    return r.overdue_grid(r.owned(l.collections, l.customers), days=30, amount=1000)
+def overdue_heatmap(book: Lending) -> DataFrame:
+    return r.overdue_grid(r.owned(book.collections, book.customers), days=30, amount=1000)
 
 
 @query
-def overdue_bands(l: Lending) -> DataFrame:
-    return l.collections.select(
+def overdue_bands(book: Lending) -> DataFrame:
+    return book.collections.select(
         "id",
         "days_overdue",
         "collection_stage",
@@ -117,12 +117,12 @@ def overdue_bands(l: Lending) -> DataFrame:
 
 
 @query
-def stage_actions(l: Lending) -> DataFrame:
+def stage_actions(book: Lending) -> DataFrame:
     names = {s: name for s, (name, _) in dims.STAGE_ACTIONS.items()}
     steps = F
     for stage, (_, actions) in dims.STAGE_ACTIONS.items():
         steps = steps.when(F.col("collection_stage") == stage, F.array(*map(F.lit, actions)))
-    return l.collections.select(
+    return book.collections.select(
         "id",
         "collection_stage",
         x.lookup("collection_stage", names).alias("stage_name"),
@@ -131,15 +131,12 @@ def stage_actions(l: Lending) -> DataFrame:
 
 
 @query
-def payment_plans(l: Lending) -> DataFrame:
-    planned = l.collections.withColumn("next_action_date", x.next_action_date()).withColumn(
+def payment_plans(book: Lending) -> DataFrame:
+    planned = book.collections.withColumn("next_action_date", x.next_action_date()).withColumn(
         "plan", x.payment_plan(start="next_action_date")
     )
     stored = planned.withColumn("payment_plan", F.to_json("plan"))
-    read_back = F.from_json(
-        "payment_plan", "monthly_payment double, duration_months int, interest_rate double, start_date string"
-    )
-    return stored.withColumn("p", read_back).select(
+    return stored.withColumn("p", x.parse_json("payment_plan", PAYMENT_PLAN)).select(
         "id",
         x.padded_id("LOAN", "id").alias("loan_number"),
         "next_action_date",
@@ -151,8 +148,8 @@ def payment_plans(l: Lending) -> DataFrame:
 
 
 @query
-def apply_email_updates(l: Lending) -> DataFrame:
-    base = l.collections.select("id", "days_overdue").withColumns(
+def apply_email_updates(book: Lending) -> DataFrame:
+    base = book.collections.select("id", "days_overdue").withColumns(
         {
             "ai_generated_email": F.when(F.col("days_overdue") > 60, F.concat(F.lit("Saved e-mail for "), "id")),
             "updated_at": F.lit("2001-01-01").cast("date"),
@@ -161,7 +158,7 @@ def apply_email_updates(l: Lending) -> DataFrame:
     # Each account sends two versions; the second has no content where the account is early,
     # and every business partner also writes to an id that does not exist.
     versions = F.explode(F.array(F.lit(1), F.lit(2)))
-    updates = l.collections.select("id", "collection_stage", versions.alias("version")).select(
+    updates = book.collections.select("id", "collection_stage", versions.alias("version")).select(
         F.when(F.col("collection_stage") == "legal", -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
         "version",
         F.when(
@@ -173,14 +170,14 @@ def apply_email_updates(l: Lending) -> DataFrame:
 
 
 @query
-def collection_email_prompts(l: Lending) -> DataFrame:
+def collection_email_prompts(book: Lending) -> DataFrame:
     tone = (
         F.when(F.col("days_overdue") <= 30, "Friendly")
         .when(F.col("days_overdue") <= 60, "Professional")
         .when(F.col("days_overdue") <= 90, "Firm")
         .otherwise("Urgent")
     )
-    accounts = r.with_customer(l.collections, l.customers).withColumns(
+    accounts = r.with_customer(book.collections, book.customers).withColumns(
         {"tone": tone, "offer_plan": F.col("collection_stage") != "legal"}
     )
     return p.collection_emails(accounts)

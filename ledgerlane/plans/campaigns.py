@@ -14,32 +14,32 @@ from ledgerlane.sources.views import AS_OF, Lending
 
 
 @query
-def campaign_list(l: Lending) -> DataFrame:
-    return l.campaigns.select(
+def campaign_list(book: Lending) -> DataFrame:
+    return book.campaigns.select(
         "id", "campaign_name", "target_audience", "channel", "status", "start_date", "budget", "created_at"
     ).orderBy(*r.newest_first())
 
 
 @query
-def campaigns_by_status(l: Lending) -> DataFrame:
+def campaigns_by_status(book: Lending) -> DataFrame:
     """Campaigns per status, and a row with the total."""
     total = F.grouping("status") == 1
     return (
-        l.campaigns.rollup("status")
+        book.campaigns.rollup("status")
         .agg(F.when(total, "total").otherwise(F.col("status")).alias("label"), F.count(F.lit(1)).alias("n"))
         .select(F.col("label").alias("status"), "n")
     )
 
 
 @query
-def campaigns_by_channel(l: Lending) -> DataFrame:
-    return r.counts(l.campaigns, "channel")
+def campaigns_by_channel(book: Lending) -> DataFrame:
+    return r.counts(book.campaigns, "channel")
 
 
 @query
-def campaigns_filtered(l: Lending) -> DataFrame:
+def campaigns_filtered(book: Lending) -> DataFrame:
     chosen = r.in_sets(
-        l.campaigns,
+        book.campaigns,
         {"status": ["active", "draft"], "channel": ["email", "web"], "target_audience": ["ECONOMY", "SMALL", "PROMO"]},
     )
     return chosen.select(
@@ -48,21 +48,24 @@ def campaigns_filtered(l: Lending) -> DataFrame:
 
 
 @query
-def filter_options(l: Lending) -> DataFrame:
-    campaigns = r.distinct_options(l.campaigns, ["status", "channel", "target_audience"])
-    return campaigns.unionByName(r.distinct_options(l.collections, ["collection_stage"]))
+def filter_options(book: Lending) -> DataFrame:
+    campaigns = r.distinct_options(book.campaigns, ["status", "channel", "target_audience"])
+    return campaigns.unionByName(r.distinct_options(book.collections, ["collection_stage"]))
 
 
 @query
-def campaign_content_lookup(l: Lending) -> DataFrame:
-    """Content of every campaign asked for by name; names nobody holds find nothing."""
-    requests = l.raw("part").select(F.concat("p_name", F.lit(" "), F.col("p_size").cast("string")).alias("campaign_name"))
-    return r.found_in(l.campaigns, requests, "campaign_name").select("id", "campaign_name", "ai_generated_content")
+def campaign_content_lookup(book: Lending) -> DataFrame:
+    """Content of the campaigns asked for by name; names that no campaign has find nothing."""
+    wanted = F.when(F.col("status") == "active", F.col("campaign_name")).otherwise(
+        F.concat("target_audience", F.lit(" without a campaign"))
+    )
+    requests = book.campaigns.select(wanted.alias("campaign_name"))
+    return r.found_in(book.campaigns, requests, "campaign_name").select("id", "campaign_name", "ai_generated_content")
 
 
 @query
-def campaign_drafts(l: Lending) -> DataFrame:
-    requests = l.campaigns.select(
+def campaign_drafts(book: Lending) -> DataFrame:
+    requests = book.campaigns.select(
         "id", F.initcap("target_audience").alias("campaign_type"), "target_audience", "channel", "ai_generated_content"
     )
     return sinks.campaign_drafts(requests, F.lit(AS_OF).cast("date"))
@@ -73,7 +76,7 @@ def _pick(values: list[str], step: int) -> F.Column:
     return F.get(F.array(*map(F.lit, values)), (F.floor(F.col("id") / step) % len(values)).cast("int"))
 
 
-def template_requests(l: Lending) -> DataFrame:
+def template_requests(book: Lending) -> DataFrame:
     """A template request per campaign; some name a category or an index that does not exist."""
     custom = F.when(
         F.col("status") == "active",
@@ -82,7 +85,7 @@ def template_requests(l: Lending) -> DataFrame:
             F.lit("rate"), F.col("budget").cast("decimal(18,2)").cast("string"),
         ),
     )
-    return l.campaigns.select(
+    return book.campaigns.select(
         F.col("id").alias("request_id"),
         _pick([*dims.TEMPLATES, "car_loans"], 1).alias("category"),
         (F.floor(F.col("id") / 6) % 3).cast("int").alias("template_index"),
@@ -91,17 +94,17 @@ def template_requests(l: Lending) -> DataFrame:
 
 
 @query
-def rendered_prompts(l: Lending) -> DataFrame:
-    return p.render_prompts(template_requests(l), dims.template_table(l.spark)).drop("variables_used")
+def rendered_prompts(book: Lending) -> DataFrame:
+    return p.render_prompts(template_requests(book), dims.template_table(book.spark)).drop("variables_used")
 
 
 @query
-def template_combinations(l: Lending) -> DataFrame:
-    return p.template_usage(template_requests(l), dims.template_table(l.spark))
+def template_combinations(book: Lending) -> DataFrame:
+    return p.template_usage(template_requests(book), dims.template_table(book.spark))
 
 
 @query
-def missing_variables(l: Lending) -> DataFrame:
+def missing_variables(book: Lending) -> DataFrame:
     """Custom templates filled from the campaign; drafts have no budget yet, paused ones no channel."""
     template = F.concat(
         F.lit("Promote {name} by {channel} to {audience}, {{budget}}: {budget}; again {channel}, code "), "id"
@@ -119,14 +122,14 @@ def missing_variables(l: Lending) -> DataFrame:
         ),
     )
     filled = p.custom_prompts(
-        l.campaigns.select("id", template.alias("template"), F.map_from_entries(F.array_compact(entries)).alias("variables"))
+        book.campaigns.select("id", template.alias("template"), F.map_from_entries(F.array_compact(entries)).alias("variables"))
     )
     return filled.select("id", F.array_join("missing", ",").alias("missing"), "prompt", "error")
 
 
 @query
-def prompt_suggestions(l: Lending) -> DataFrame:
-    requests = l.campaigns.select(
+def prompt_suggestions(book: Lending) -> DataFrame:
+    requests = book.campaigns.select(
         F.col("id").alias("request_id"),
         _pick(dims.LOAN_TYPES, 1).alias("loan_type"),
         _pick(dims.AUDIENCES, 5).alias("audience"),
@@ -136,9 +139,9 @@ def prompt_suggestions(l: Lending) -> DataFrame:
 
 
 @query
-def marketing_prompts(l: Lending) -> DataFrame:
+def marketing_prompts(book: Lending) -> DataFrame:
     """Every campaign's four prompts and every customer's statement prompt, in one table."""
-    requests = l.campaigns.select(
+    requests = book.campaigns.select(
         F.col("id").alias("request_id"),
         F.initcap("target_audience").alias("campaign_type"),
         F.lower("target_audience").alias("target_audience"),
@@ -149,5 +152,5 @@ def marketing_prompts(l: Lending) -> DataFrame:
         _pick([*dims.ENHANCEMENTS, "unheard-of"], 1).alias("enhancement_type"),
         (F.col("id") % 3 + 1).alias("n_variations"),
     )
-    statements = c360.latest_statement(l.bank_statements, ["statement_date", "statement_data", "risk_indicators"])
+    statements = c360.latest_statement(book.bank_statements, ["statement_date", "statement_data", "risk_indicators"])
     return p.one_prompt_table(p.campaign_prompts(requests), p.statement_prompts(statements))

@@ -13,19 +13,19 @@ from ledgerlane.sources.views import Lending
 
 
 @query
-def conversation_context(l: Lending) -> DataFrame:
-    return c.conversation_context(l.conversations)
+def conversation_context(book: Lending) -> DataFrame:
+    return c.conversation_context(book.conversations)
 
 
 @query
-def turn_numbering(l: Lending) -> DataFrame:
-    return c.question_numbers(l.conversations)
+def turn_numbering(book: Lending) -> DataFrame:
+    return c.question_numbers(book.conversations)
 
 
 @query
-def onboarding_messages(l: Lending) -> DataFrame:
+def onboarding_messages(book: Lending) -> DataFrame:
     kind = F.when(F.col("conv_id") % 3 == 0, "business").otherwise("individual")
-    listed = c.message_lists(l.conversations, p.onboarding_system_prompt(kind))
+    listed = c.message_lists(book.conversations, p.onboarding_system_prompt(kind))
     return listed.select(
         "conv_id",
         "turn",
@@ -37,14 +37,14 @@ def onboarding_messages(l: Lending) -> DataFrame:
 
 
 @query
-def parsed_variations(l: Lending) -> DataFrame:
+def parsed_variations(book: Lending) -> DataFrame:
     """Assistant texts read as replies: as they are, or laid out as a list with a preamble."""
     listed = F.concat(
         F.lit("Here are the variations:\n \n1. "), F.replace("text", F.lit("\n"), F.lit("\n\t- ")), F.lit(" \n  and more")
     )
     reply = F.when(F.col("turn") % 4 == 1, listed).otherwise(F.concat("text", F.lit("\n2) "), "text"))
     return (
-        l.conversations.where("role = 'assistant'")
+        book.conversations.where("role = 'assistant'")
         .select("conv_id", "turn", F.posexplode(tx.parse_variations(reply)).alias("at", "variation"))
         .select("conv_id", "turn", (F.col("at") + 1).alias("variation_no"), "variation")
     )

@@ -21,30 +21,29 @@ def six(*columns: str) -> dict:
 
 
 @query
-def score_history(l: Lending) -> DataFrame:
-    owners = l.customers.where("customer_type = 'individual'")
+def score_history(book: Lending) -> DataFrame:
     return (
-        r.with_customer(l.score_facts, owners)
+        r.with_customer(book.score_facts, book.score_owners)
         .select("id", "customer", "score", "score_date")
         .orderBy(F.desc_nulls_last("score_date"), F.desc("id"))
     )
 
 
 @query
-def latest_score(l: Lending) -> DataFrame:
-    return c360.latest_score(l.score_facts, l.individuals)
+def latest_score(book: Lending) -> DataFrame:
+    return c360.latest_score(book.score_facts, book.score_owners)
 
 
 @query
-def latest_statement(l: Lending) -> DataFrame:
+def latest_statement(book: Lending) -> DataFrame:
     return c360.latest_statement(
-        l.bank_statements, ["statement_date", "balance", "monthly_income", "monthly_expenses", "transaction_count"]
+        book.bank_statements, ["statement_date", "balance", "monthly_income", "monthly_expenses", "transaction_count"]
     )
 
 
 @query
-def score_risk_levels(l: Lending) -> DataFrame:
-    return c360.latest_score(l.score_facts, l.individuals).select(
+def score_risk_levels(book: Lending) -> DataFrame:
+    return c360.latest_score(book.score_facts, book.score_owners).select(
         "customer_id",
         "score",
         x.score_risk_level().alias("risk_level"),
@@ -54,12 +53,12 @@ def score_risk_levels(l: Lending) -> DataFrame:
 
 
 @query
-def customer_360(l: Lending) -> DataFrame:
+def customer_360(book: Lending) -> DataFrame:
     profile = c360.customer_360(
-        l.customers,
-        l.kyc,
-        c360.latest_score(l.score_facts, l.individuals),
-        c360.latest_statement(l.bank_statements),
+        book.customers,
+        book.kyc,
+        c360.latest_score(book.score_facts, book.score_owners),
+        c360.latest_statement(book.bank_statements),
     )
     return profile.select(
         "customer_id",
@@ -78,13 +77,13 @@ def customer_360(l: Lending) -> DataFrame:
 
 
 @query
-def country_risk(l: Lending) -> DataFrame:
-    return l.customers.select("id", "country", x.country_risk().alias("country_risk"))
+def country_risk(book: Lending) -> DataFrame:
+    return book.customers.select("id", "country", x.country_risk().alias("country_risk"))
 
 
 @query
-def statement_trends(l: Lending) -> DataFrame:
-    return c360.statement_trends(l.bank_statements).withColumns(
+def statement_trends(book: Lending) -> DataFrame:
+    return c360.statement_trends(book.bank_statements).withColumns(
         {
             "income_sd": F.round(F.col("income_sd") + 1e-7, 4),
             "expense_ratio_mean": F.round(F.col("expense_ratio_mean") + 1e-9, 6),
@@ -93,10 +92,10 @@ def statement_trends(l: Lending) -> DataFrame:
 
 
 @query
-def statement_risk(l: Lending) -> DataFrame:
+def statement_risk(book: Lending) -> DataFrame:
     flags = x.parse_indicators()
     return (
-        l.bank_statements.select("customer_id", "statement_date", flags.alias("flags"))
+        book.bank_statements.select("customer_id", "statement_date", flags.alias("flags"))
         .withColumn("risk", x.statement_risk("flags"))
         .select(
             "customer_id",
@@ -112,10 +111,10 @@ def statement_risk(l: Lending) -> DataFrame:
 
 
 @query
-def statement_transactions(l: Lending) -> DataFrame:
+def statement_transactions(book: Lending) -> DataFrame:
     parsed = F.from_json("statement_data", STATEMENT_DATA)["transactions"]
     return (
-        l.bank_statements.select("customer_id", "statement_date", F.posexplode(parsed).alias("at", "t"))
+        book.bank_statements.select("customer_id", "statement_date", F.posexplode(parsed).alias("at", "t"))
         .select(
             "customer_id",
             "statement_date",
@@ -128,45 +127,45 @@ def statement_transactions(l: Lending) -> DataFrame:
 
 
 @query
-def income_allocation(l: Lending) -> DataFrame:
-    return c360.income_allocation(c360.latest_statement(l.bank_statements, ["statement_date", "monthly_income", "monthly_expenses"]))
+def income_allocation(book: Lending) -> DataFrame:
+    return c360.income_allocation(c360.latest_statement(book.bank_statements, ["statement_date", "monthly_income", "monthly_expenses"]))
 
 
 # features and scores ----------------------------------------------------------
 
 
 @query
-def credit_features(l: Lending) -> DataFrame:
-    return s.lending_features(l, AS_OF).drop("customer", "email")
+def credit_features(book: Lending) -> DataFrame:
+    return s.lending_features(book, AS_OF).drop("customer", "email")
 
 
 @query
-def credit_features_fallback(l: Lending) -> DataFrame:
+def credit_features_fallback(book: Lending) -> DataFrame:
     """Features with age, business flag and country at their fallback values."""
-    return s.lending_features(l, AS_OF, reference_defaults=True).drop("customer", "email")
+    return s.lending_features(book, AS_OF, reference_defaults=True).drop("customer", "email")
 
 
-def card_scores(l: Lending) -> DataFrame:
-    return s.score_by_card(s.lending_features(l, AS_OF))
+def card_scores(book: Lending) -> DataFrame:
+    return s.score_by_card(s.lending_features(book, AS_OF))
 
 
 @query
-def scorecard_scores(l: Lending) -> DataFrame:
+def scorecard_scores(book: Lending) -> DataFrame:
     return (
-        card_scores(l)
+        card_scores(book)
         .select("customer_id", "customer", "email", "probability", "credit_score", "risk_level")
         .withColumns(six("probability"))
     )
 
 
 @query
-def feature_contributions(l: Lending) -> DataFrame:
-    return s.feature_contributions(s.lending_features(l, AS_OF))
+def feature_contributions(book: Lending) -> DataFrame:
+    return s.feature_contributions(s.lending_features(book, AS_OF))
 
 
 @query
-def top_feature_impacts(l: Lending) -> DataFrame:
-    return s.feature_contributions(s.lending_features(l, AS_OF), top=8).select(
+def top_feature_impacts(book: Lending) -> DataFrame:
+    return s.feature_contributions(s.lending_features(book, AS_OF), top=8).select(
         "customer_id",
         "impact_rank",
         "feature",
@@ -177,16 +176,16 @@ def top_feature_impacts(l: Lending) -> DataFrame:
 
 
 @query
-def model_feature_insights(l: Lending) -> DataFrame:
-    return s.model_insights(s.lending_features(l, AS_OF)).withColumns(
+def model_feature_insights(book: Lending) -> DataFrame:
+    return s.model_insights(s.lending_features(book, AS_OF)).withColumns(
         {"mean": F.round(F.col("mean") + 1e-7, 4), "std": F.round(F.col("std") + 1e-7, 4)}
     )
 
 
 @query
-def score_summary(l: Lending) -> DataFrame:
+def score_summary(book: Lending) -> DataFrame:
     level = F.col("risk_level")
-    return card_scores(l).agg(
+    return card_scores(book).agg(
         F.avg("credit_score").alias("avg_score"),
         F.count_if(level == "High Risk").alias("high_risk"),
         F.count_if(level == "Low Risk").alias("low_risk"),
@@ -195,39 +194,39 @@ def score_summary(l: Lending) -> DataFrame:
 
 
 @query
-def risk_level_distribution(l: Lending) -> DataFrame:
-    return r.counts(card_scores(l), "risk_level")
+def risk_level_distribution(book: Lending) -> DataFrame:
+    return r.counts(card_scores(book), "risk_level")
 
 
 @query
-def score_histogram(l: Lending) -> DataFrame:
+def score_histogram(book: Lending) -> DataFrame:
     """Scores of the batch run and of the bureau history, in twenty equal bins each."""
     low, high = SCORE_RANGE
-    batch = r.value_histogram(card_scores(l), "credit_score", low, high, 20)
-    bureau = r.value_histogram(l.credit_scores, "score", low, high, 20)
+    batch = r.value_histogram(card_scores(book), "credit_score", low, high, 20)
+    bureau = r.value_histogram(book.credit_scores, "score", low, high, 20)
     return batch.withColumn("source", F.lit("batch")).unionByName(bureau.withColumn("source", F.lit("bureau")))
 
 
 @query
-def training_data(l: Lending) -> DataFrame:
+def training_data(book: Lending) -> DataFrame:
     """One synthetic applicant per customer id."""
     rounded = ["age", "monthly_income", "monthly_expenses", "current_balance", "expense_to_income_ratio",
                "savings_rate", "existing_credit_score"]
-    return t.training_rows(l.customers).drop("good_credit_probability").withColumns(six(*rounded))
+    return t.training_rows(book.customers).drop("good_credit_probability").withColumns(six(*rounded))
 
 
 @query
-def label_probability(l: Lending) -> DataFrame:
+def label_probability(book: Lending) -> DataFrame:
     """The label rule on the real features of every customer."""
-    return s.lending_features(l, AS_OF).select(
+    return s.lending_features(book, AS_OF).select(
         "customer_id", F.round(t.label_probability(), 6).alias("good_credit_probability")
     )
 
 
 @query
-def classification_report(l: Lending) -> DataFrame:
+def classification_report(book: Lending) -> DataFrame:
     """How well the label rule alone predicts the labels of the held-out applicants."""
-    predicted = t.training_rows(l.customers).select(
+    predicted = t.training_rows(book.customers).select(
         t.LABEL,
         F.when(F.col("good_credit_probability") >= 0.5, 1).otherwise(0).alias("prediction"),
         (~t.in_training()).alias("held_out"),
@@ -236,10 +235,10 @@ def classification_report(l: Lending) -> DataFrame:
 
 
 @query
-def batch_scoring(l: Lending) -> DataFrame:
+def batch_scoring(book: Lending) -> DataFrame:
     """Train on the synthetic applicants, then score every customer with the fitted model."""
-    train, _ = t.split_rows(t.training_rows(t.training_ids(l.spark)))
-    return t.predict(t.fit(train), s.lending_features(l, AS_OF)).select(
+    train, _ = t.split_rows(t.training_rows(t.training_ids(book.spark)))
+    return t.predict(t.fit(train), s.lending_features(book, AS_OF)).select(
         "customer_id",
         "customer",
         "email",

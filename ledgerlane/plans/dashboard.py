@@ -15,69 +15,69 @@ from ledgerlane.sources.schemas import DOMAINS
 from ledgerlane.sources.views import TABLES, Lending, register_views
 
 
-def score_totals(l: Lending) -> DataFrame:
+def score_totals(book: Lending) -> DataFrame:
     """Sum and number of scores of individuals, reduced per customer before the check."""
-    per_customer = l.score_facts.groupBy("customer_id").agg(
+    per_customer = book.score_facts.groupBy("customer_id").agg(
         F.sum("score").alias("total"), F.count("score").alias("n")
     )
-    return r.owned(per_customer, l.individuals).agg(
+    return r.owned(per_customer, book.score_owners).agg(
         F.try_divide(F.sum("total").cast("double"), F.sum("n")).alias("avg_score")
     )
 
 
 @query
-def dashboard_kpis(l: Lending) -> DataFrame:
+def dashboard_kpis(book: Lending) -> DataFrame:
     """One row of headline figures: each table is scanned once, the one-row results are merged."""
     parts = [
-        l.customers.agg(
+        book.customers.agg(
             F.count(F.lit(1)).alias("total_customers"),
             F.count_if(F.col("customer_type") == "individual").alias("individual_customers"),
             F.count_if(F.col("customer_type") == "business").alias("business_customers"),
         ),
-        l.kyc.agg(F.count_if(F.col("verification_status") == "approved").alias("approved_kyc")),
-        score_totals(l),
-        l.collections.agg(r.total_money("outstanding_amount").alias("total_outstanding")),
-        l.campaigns.agg(F.count_if(F.col("status") == "active").alias("active_campaigns")),
+        book.kyc.agg(F.count_if(F.col("verification_status") == "approved").alias("approved_kyc")),
+        score_totals(book),
+        book.collections.agg(r.total_money("outstanding_amount").alias("total_outstanding")),
+        book.campaigns.agg(F.count_if(F.col("status") == "active").alias("active_campaigns")),
     ]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
 @query
-def customers_by_type(l: Lending) -> DataFrame:
-    return r.counts(l.customers, "customer_type")
+def customers_by_type(book: Lending) -> DataFrame:
+    return r.counts(book.customers, "customer_type")
 
 
 @query
-def kyc_by_status(l: Lending) -> DataFrame:
-    return r.counts(l.kyc, "verification_status")
+def kyc_by_status(book: Lending) -> DataFrame:
+    return r.counts(book.kyc, "verification_status")
 
 
 @query
-def kyc_status_pivot(l: Lending) -> DataFrame:
+def kyc_status_pivot(book: Lending) -> DataFrame:
     allowed = DOMAINS["kyc_kyb_data"]["verification_status"]
-    return l.kyc.agg(*[F.count_if(F.col("verification_status") == s).alias(s) for s in allowed])
+    return book.kyc.agg(*[F.count_if(F.col("verification_status") == s).alias(s) for s in allowed])
 
 
-def _verifications(l: Lending, n: int) -> DataFrame:
-    return r.latest_with_customer(l.kyc, l.customers, n)
+def _verifications(book: Lending, n: int) -> DataFrame:
+    return r.latest_with_customer(book.kyc, book.customers, n)
 
 
 @query
-def recent_verifications_5(l: Lending) -> DataFrame:
-    return _verifications(l, 5).select("id", "customer", "verification_status", "created_at")
+def recent_verifications_5(book: Lending) -> DataFrame:
+    return _verifications(book, 5).select("id", "customer", "verification_status", "created_at")
 
 
 @query
-def recent_verifications_10(l: Lending) -> DataFrame:
-    return _verifications(l, 10).select(
+def recent_verifications_10(book: Lending) -> DataFrame:
+    return _verifications(book, 10).select(
         "id", "customer", "verification_type", "verification_status", "risk_score", "created_at"
     )
 
 
 @query
-def collections_risk(l: Lending) -> DataFrame:
-    return r.with_customer(l.collections, l.customers).select(
+def collections_risk(book: Lending) -> DataFrame:
+    return r.with_customer(book.collections, book.customers).select(
         "id",
         "customer",
         "outstanding_amount",
@@ -88,23 +88,23 @@ def collections_risk(l: Lending) -> DataFrame:
 
 
 @query
-def customer_directory(l: Lending) -> DataFrame:
-    return l.customers.select("id", x.display_name().alias("customer"), "email").withColumn(
+def customer_directory(book: Lending) -> DataFrame:
+    return book.customers.select("id", x.display_name().alias("customer"), "email").withColumn(
         "label", x.directory_label(F.col("customer"))
     )
 
 
 @query
-def table_row_counts(l: Lending) -> DataFrame:
-    return catalog.row_counts({t: l.view(t) for t in TABLES})
+def table_row_counts(book: Lending) -> DataFrame:
+    return catalog.row_counts({t: book.view(t) for t in TABLES})
 
 
 @query
-def column_profile(l: Lending) -> DataFrame:
-    return catalog.column_profiles({t: l.view(t) for t in TABLES})
+def column_profile(book: Lending) -> DataFrame:
+    return catalog.column_profiles({t: book.view(t) for t in TABLES})
 
 
 @query
-def adhoc_sql(l: Lending) -> DataFrame:
-    register_views(l.spark, l.root)
-    return l.spark.sql("SELECT id, customer_type, email, country FROM customers WHERE country = 'Germany'")
+def adhoc_sql(book: Lending) -> DataFrame:
+    register_views(book)
+    return book.spark.sql("SELECT id, customer_type, email, country FROM customers WHERE country = 'Germany'")

@@ -13,54 +13,54 @@ from ledgerlane.sources.schemas import CHILD_TABLES, DOMAINS, REQUIRED, SCORE_RA
 from ledgerlane.sources.views import AS_OF, Lending
 
 
-def _audited(l: Lending) -> dict[str, DataFrame]:
+def _audited(book: Lending) -> dict[str, DataFrame]:
     """The tables to audit; those with a dirty variant are read in that form."""
-    campaigns = l.view("marketing_campaigns_raw").withColumn("campaign_name", F.lit("draft"))
+    campaigns = book.view("marketing_campaigns_raw").withColumn("campaign_name", F.lit("draft"))
     return {
-        "customers": l.view("customers_raw"),
-        "kyc_kyb_data": l.kyc,
+        "customers": book.view("customers_raw"),
+        "kyc_kyb_data": book.kyc,
         "marketing_campaigns": campaigns,
-        "customer_service": l.service,
-        "collections": l.collections,
+        "customer_service": book.service,
+        "collections": book.collections,
     }
 
 
 @query
-def dq_enum_domain(l: Lending) -> DataFrame:
-    frames = [q.enum_violations(df, t, DOMAINS[t]) for t, df in _audited(l).items()]
+def dq_enum_domain(book: Lending) -> DataFrame:
+    frames = [q.enum_violations(df, t, DOMAINS[t]) for t, df in _audited(book).items()]
     return reduce(DataFrame.unionByName, frames)
 
 
 @query
-def dq_not_null(l: Lending) -> DataFrame:
-    frames = [q.null_violations(df, t, REQUIRED[t]) for t, df in _audited(l).items() if t in REQUIRED]
+def dq_not_null(book: Lending) -> DataFrame:
+    frames = [q.null_violations(df, t, REQUIRED[t]) for t, df in _audited(book).items() if t in REQUIRED]
     return reduce(DataFrame.unionByName, frames)
 
 
 @query
-def dq_score_range(l: Lending) -> DataFrame:
-    return q.range_violations(l.view("credit_scores_raw"), "score", *SCORE_RANGE)
+def dq_score_range(book: Lending) -> DataFrame:
+    return q.range_violations(book.view("credit_scores_raw"), "score", *SCORE_RANGE)
 
 
 @query
-def dq_unique_email(l: Lending) -> DataFrame:
-    return q.duplicate_values(l.view("customers_raw"), "email")
+def dq_unique_email(book: Lending) -> DataFrame:
+    return q.duplicate_values(book.view("customers_raw"), "email")
 
 
 @query
-def dq_fk_orphans(l: Lending) -> DataFrame:
-    return q.orphan_keys({t: l.view(t) for t in CHILD_TABLES}, l.customers)
+def dq_fk_orphans(book: Lending) -> DataFrame:
+    return q.orphan_keys({t: book.view(t) for t in CHILD_TABLES}, book.customers)
 
 
 @query
-def ingest_defaults(l: Lending) -> DataFrame:
+def ingest_defaults(book: Lending) -> DataFrame:
     """Feeds without their status columns get the defaults; a NULL status in the feed stays."""
     now = F.lit(AS_OF).cast("timestamp_ntz")
     feeds = {
-        "kyc_kyb_data": (l.kyc.drop("verification_status", "created_at"), ["verification_status"]),
-        "marketing_campaigns": (l.view("marketing_campaigns_raw"), ["status"]),
-        "customer_service": (l.service.drop("resolution_status", "priority"), ["resolution_status", "priority"]),
-        "collections": (l.collections.drop("collection_stage"), ["collection_stage"]),
+        "kyc_kyb_data": (book.kyc.drop("verification_status", "created_at"), ["verification_status"]),
+        "marketing_campaigns": (book.view("marketing_campaigns_raw"), ["status"]),
+        "customer_service": (book.service.drop("resolution_status", "priority"), ["resolution_status", "priority"]),
+        "collections": (book.collections.drop("collection_stage"), ["collection_stage"]),
     }
     filled = [
         q.apply_defaults(feed, t, now)

@@ -15,9 +15,9 @@ from ledgerlane.sources.views import Lending
 
 
 @query
-def service_kpis(l: Lending) -> DataFrame:
+def service_kpis(book: Lending) -> DataFrame:
     total, resolved = F.col("total_interactions"), F.col("resolved")
-    return l.service.agg(
+    return book.service.agg(
         F.count(F.lit(1)).alias("total_interactions"),
         F.try_divide(
             F.sum(F.col("sentiment_score").cast("decimal(18,6)")).cast("double"), F.count("sentiment_score")
@@ -28,21 +28,21 @@ def service_kpis(l: Lending) -> DataFrame:
 
 
 @query
-def sentiment_distribution(l: Lending) -> DataFrame:
-    scored = l.service.where(F.col("sentiment_score").isNotNull())
+def sentiment_distribution(book: Lending) -> DataFrame:
+    scored = book.service.where(F.col("sentiment_score").isNotNull())
     return scored.groupBy(x.sentiment_category().alias("sentiment_category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
-def recent_interactions_5(l: Lending) -> DataFrame:
-    return r.latest_with_customer(l.service, l.customers, 5).select(
+def recent_interactions_5(book: Lending) -> DataFrame:
+    return r.latest_with_customer(book.service, book.customers, 5).select(
         "id", "customer", "subject", "sentiment_score", x.sentiment_alert().alias("alert")
     )
 
 
 @query
-def recent_interactions_10(l: Lending) -> DataFrame:
-    return r.latest_with_customer(l.service, l.customers, 10).select(
+def recent_interactions_10(book: Lending) -> DataFrame:
+    return r.latest_with_customer(book.service, book.customers, 10).select(
         "id",
         "customer",
         "subject",
@@ -54,8 +54,8 @@ def recent_interactions_10(l: Lending) -> DataFrame:
 
 
 @query
-def sentiment_flags(l: Lending) -> DataFrame:
-    return l.service.select(
+def sentiment_flags(book: Lending) -> DataFrame:
+    return book.service.select(
         "id",
         "sentiment_score",
         x.sentiment_category().alias("sentiment_category"),
@@ -65,19 +65,19 @@ def sentiment_flags(l: Lending) -> DataFrame:
 
 
 @query
-def escalations(l: Lending) -> DataFrame:
-    return l.service.where(x.needs_escalation(threshold=-0.7)).select(
+def escalations(book: Lending) -> DataFrame:
+    return book.service.where(x.needs_escalation(threshold=-0.7)).select(
         "id", "customer_id", "subject", "sentiment_score", "priority"
     )
 
 
 @query
-def canned_answers(l: Lending) -> DataFrame:
-    return p.canned_answers(l.service).select("id", "subject", "issue", "answer")
+def canned_answers(book: Lending) -> DataFrame:
+    return p.canned_answers(book.service).select("id", "subject", "issue", "answer")
 
 
 @query
-def parsed_sentiment(l: Lending) -> DataFrame:
+def parsed_sentiment(book: Lending) -> DataFrame:
     score, subject = F.col("sentiment_score").cast("string"), F.col("subject")
     whole = F.concat(F.lit('{"score": '), score, F.lit(', "explanation": "'), subject, F.lit('"}'))
     reply = (
@@ -86,15 +86,16 @@ def parsed_sentiment(l: Lending) -> DataFrame:
         .when(F.col("priority") == "urgent", F.concat(F.lit('{"score": '), score, F.lit(', "explanation": "cut')))
         .otherwise(whole)
     )
-    return l.service.select("id", tx.parse_sentiment(reply).alias("s")).select("id", "s.score", "s.explanation")
+    return book.service.select("id", tx.parse_sentiment(reply).alias("s")).select("id", "s.score", "s.explanation")
 
 
 @query
-def service_prompts(l: Lending) -> DataFrame:
+def service_prompts(book: Lending) -> DataFrame:
     profiles = c360.customer_360(
-        l.customers,
-        l.kyc,
-        c360.latest_score(l.score_facts, l.individuals),
-        c360.latest_statement(l.bank_statements),
+        book.customers,
+        book.kyc,
+        c360.latest_score(book.score_facts, book.score_owners),
+        c360.latest_statement(book.bank_statements),
     )
-    return p.service_replies(l.service.withColumnRenamed("subject", "message"), profiles)
+    said = F.coalesce("message", "subject") if "message" in book.service.columns else F.col("subject")
+    return p.service_replies(book.service.select("id", "customer_id", said.alias("message")), profiles)

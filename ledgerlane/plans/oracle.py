@@ -662,7 +662,7 @@ def _campaign_queries() -> dict[str, str]:
             UNION ALL SELECT DISTINCT 'collection_stage', collection_stage FROM collections"""),
         "campaign_content_lookup": over(campaigns, """
             SELECT id, campaign_name, ai_generated_content FROM marketing_campaigns
-            WHERE campaign_name IN (SELECT concat(p_name, ' ', p_size) FROM part)"""),
+            WHERE status = 'active'"""),
         "campaign_drafts": over(campaigns, f"""
             SELECT concat(upper(target_audience[1:1]), lower(target_audience[2:]), ' - ', target_audience) AS campaign_name,
               target_audience, channel, 'AI Generated Content' AS content, ai_generated_content,

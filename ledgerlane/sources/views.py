@@ -204,8 +204,9 @@ class Lending:
         return self.raw("conversations")
 
     @cached_property
-    def individuals(self) -> DataFrame:
-        return self.raw("customer").where(f"NOT ({BUSINESS})").select(F.col("c_custkey").alias("id"))
+    def score_owners(self) -> DataFrame:
+        """The customers whose scores count: individuals."""
+        return self.customers.where("customer_type = 'individual'")
 
     @cached_property
     def score_facts(self) -> DataFrame:
@@ -224,7 +225,7 @@ class Lending:
 
     @cached_property
     def credit_scores(self) -> DataFrame:
-        owners = self.individuals.withColumnRenamed("id", "customer_id")
+        owners = self.score_owners.select(F.col("id").alias("customer_id"))
         return self.score_facts.join(owners, "customer_id", "left_semi").select(
             "id", "customer_id", "score", "score_date"
         )
@@ -282,9 +283,37 @@ class Lending:
         )
 
 
-def register_views(spark: SparkSession, root: str) -> Lending:
+@dataclass(frozen=True)
+class StoredLending(Lending):
+    """The same tables where they are stored as such: one folder per table below the root."""
+
+    def raw(self, table: str) -> DataFrame:
+        if table not in self._opened:
+            self._opened[table] = self.spark.read.parquet(f"{self.root}/{table}")
+        return self._opened[table]
+
+    def view(self, name: str) -> DataFrame:
+        return self.raw(name.removesuffix("_raw"))
+
+    @cached_property
+    def score_owners(self) -> DataFrame:
+        return self.customers
+
+    @cached_property
+    def score_facts(self) -> DataFrame:
+        return self.view("credit_scores")
+
+    @cached_property
+    def credit_scores(self) -> DataFrame:
+        return self.view("credit_scores")
+
+    @cached_property
+    def bank_statements(self) -> DataFrame:
+        return self.view("bank_statements")
+
+
+def register_views(lending: Lending) -> Lending:
     """Register the seven tables as temporary views, for SQL written by hand."""
-    lending = Lending(spark, root)
     for name in TABLES:
         lending.view(name).createOrReplaceTempView(name)
     return lending

@@ -48,7 +48,7 @@ def test_one_hot_customer_is_one_row(spark):
 
 def test_profile_keeps_customers_without_children(spark, lending):
     profile = c360.customer_360(
-        lending.customers, lending.kyc, c360.latest_score(lending.score_facts, lending.individuals),
+        lending.customers, lending.kyc, c360.latest_score(lending.score_facts, lending.score_owners),
         c360.latest_statement(lending.bank_statements),
     )
     rows = profile.collect()
@@ -142,6 +142,6 @@ def test_views_can_be_queried_by_hand(spark):
 
     from ledgerlane.sources.views import register_views
 
-    register_views(spark, SMALL)
+    register_views(Lending(spark, SMALL))
     n = spark.sql("SELECT count(*) FROM collections k JOIN customers c ON k.customer_id = c.id").first()[0]
     assert n == Lending(spark, SMALL).collections.count()
