@@ -16,7 +16,7 @@ BLOCK = 64
 
 
 def with_position(turns: DataFrame, counted: Column | None = None, span: int = SPAN) -> DataFrame:
-    """Add ``n_before``, ``n_total`` (of the rows where ``counted`` holds) and ``last_role``."""
+    """Add ``chunk``, ``n_before``, ``n_total`` (of the rows where ``counted`` holds) and ``last_role``."""
     counted = F.lit(True) if counted is None else counted
     flagged = turns.withColumns(
         {"chunk": F.floor(F.col("turn") / span).cast("bigint"), "one": F.when(counted, 1).otherwise(0)}
@@ -42,6 +42,7 @@ def with_position(turns: DataFrame, counted: Column | None = None, span: int = S
     )
     return inside.join(carried, ["conv_id", "chunk"]).select(
         *turns.columns,
+        "chunk",
         (F.col("carry") + F.col("local_before")).alias("n_before"),
         "n_total",
         F.coalesce("local_role", "carry_role").alias("last_role"),
@@ -91,8 +92,10 @@ def message_lists(turns: DataFrame, system_prompt: Column, block: int = BLOCK, s
     before ``block``, in order, followed by the messages held here. Repeating the
     whole past in every row would grow with the square of the length.
     """
+    # Blocks lie inside chunks, so the rows stay where the positions were computed.
+    span = max(1, span // block) * block
     placed = with_position(turns.select("conv_id", "turn", "role", "text"), span=span)
-    own = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv_id", "chunk", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     said = F.struct("role", F.col("text").alias("content"))
     listed = placed.withColumn("block", F.floor(F.col("turn") / block).cast("bigint")).withColumn(
         "recent", F.collect_list(said).over(own)

@@ -47,7 +47,9 @@ STATEMENT_COLUMNS = [
 
 
 def latest_statement(statements: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return latest_per_customer(statements, ["statement_date"], columns or STATEMENT_COLUMNS)
+    """Newest statement per customer; where statements have an id, the higher one wins a tie of dates."""
+    order = ["statement_date", "id"] if "id" in statements.columns else ["statement_date"]
+    return latest_per_customer(statements, order, columns or STATEMENT_COLUMNS)
 
 
 def verification_summary(kyc: DataFrame) -> DataFrame:

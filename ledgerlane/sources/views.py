@@ -243,7 +243,7 @@ class Lending:
             .where("o_custkey % 11 <> 0")
             .groupBy(
                 F.col("o_custkey").alias("customer_id"),
-                F.date_trunc("month", "o_orderdate").cast("date").alias("statement_date"),
+                F.trunc(F.col("o_orderdate").cast("date"), "month").alias("statement_date"),
             )
             .agg(
                 F.sum(price * (45 + F.col("o_orderkey") % 60).cast("int")).alias("expenses"),
