@@ -14,8 +14,12 @@ PLACEHOLDER = r"^\{\w+\}$"
 
 # White space at the ends of a line, beyond the plain space.
 EDGE = r"[\s\p{Z}\x0b\x1c-\x1f\x85]+"
-# A new item begins with a digit or a dash.
-ITEM_START = r"[\p{Nd}\-]"
+# A new item begins with a digit or a dash. Digits beyond the decimal ones are raised,
+# lowered, circled and the like.
+_ODD_DIGITS = "".join(
+    f"\\x{{{code:x}}}" for code in range(0x80, 0x20000) if chr(code).isdigit() and not chr(code).isdecimal()
+)
+ITEM_START = rf"[\p{{Nd}}{_ODD_DIGITS}\-]"
 
 
 def _tokens(template: Column) -> Column:

@@ -37,7 +37,7 @@ def latest_with_customer(
     Orphans mean the n newest rows cannot simply be cut before the join. Instead
     the newest ``pool`` rows are joined first; the n-th of them that has a customer
     sets a floor, and only rows at or above the floor go through the full join. If
-    fewer than n of the pool survive the floor is NULL and every row is joined, so
+    fewer than n of the pool survive the floor is open and every row is joined, so
     the result is exact for any share of orphans.
     """
     key = F.struct(*order)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -200,6 +201,13 @@ def training_ids(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
     return spark.range(0, n, 1, 1 + n // 100_000)
 
 
+@lru_cache(maxsize=1)
+def session_model(application_id: str) -> PipelineModel:
+    """The default model, trained once per application."""
+    rows = training_rows(training_ids(SparkSession.active()))
+    return fit(split_rows(rows)[0])
+
+
 def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None, retrain: bool = False) -> PipelineModel:
     """The model saved at ``path``; trained and saved first if absent or if asked to."""
     if not retrain:

@@ -236,9 +236,9 @@ def classification_report(book: Lending) -> DataFrame:
 
 @query
 def batch_scoring(book: Lending) -> DataFrame:
-    """Train on the synthetic applicants, then score every customer with the fitted model."""
-    train, _ = t.split_rows(t.training_rows(t.training_ids(book.spark)))
-    return t.predict(t.fit(train), s.lending_features(book, AS_OF)).select(
+    """Every customer scored by the model fitted on the synthetic applicants."""
+    model = t.session_model(book.spark.sparkContext.applicationId)
+    return t.predict(model, s.lending_features(book, AS_OF)).select(
         "customer_id",
         "customer",
         "email",

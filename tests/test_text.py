@@ -11,7 +11,7 @@ def variations_by_hand(reply):
     items, current = [], ""
     for line in reply.split("\n"):
         line = line.strip()
-        if line and (line[0].isdecimal() or line[0] == "-"):
+        if line and (line[0].isdigit() or line[0] == "-"):
             if current:
                 items.append(current)
             current = line
@@ -34,6 +34,7 @@ def test_variations(spark):
         "",
         " 1) nbsp 　\n\n\n9 lines",
         "intro\n\n-\n\tx",
+        "x\n² raised\n① circled\n\U0001f102 comma\n½ is none\n٣ decimal",
     ]
     got = parse(spark, replies)
     for i, reply in enumerate(replies):
