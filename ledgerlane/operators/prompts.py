@@ -132,7 +132,8 @@ def collection_emails(accounts: DataFrame) -> DataFrame:
 
 def service_replies(messages: DataFrame, profiles: DataFrame) -> DataFrame:
     """One prompt per customer message, with the customer's profile as JSON where it is known."""
-    context = profiles.select("customer_id", F.to_json(F.struct(*profiles.columns)).alias("context"))
+    whole = F.to_json(F.struct(*profiles.columns), {"ignoreNullFields": "false"})
+    context = profiles.select("customer_id", whole.alias("context"))
     user = F.concat(
         F.coalesce(F.concat(F.lit("Customer context: "), "context"), F.lit("")),
         F.lit("\n\nCustomer message: "),

@@ -345,6 +345,33 @@ def _interaction_queries() -> dict[str, str]:
         "canned_answers": over(service, f"""
             SELECT id, s.subject, issue, answer FROM customer_service s
             JOIN (VALUES {answers}) a(subject, issue, answer) ON a.subject = s.subject"""),
+        "service_prompts": over(("customers", "kyc_kyb_data", "credit_scores", "bank_statements", "customer_service"), """
+            SELECT f.id, concat('You answer customers of a European lender. Be polite and exact, respect GDPR,',
+                ' and offer a human colleague when you cannot help.') AS system_prompt,
+              concat(coalesce('Customer context: ' || CAST(context AS VARCHAR), ''), chr(10), chr(10), 'Customer message: ',
+                subject) AS user_prompt,
+              'gpt-4' AS model, 0.7e0 AS temperature, 500 AS max_tokens
+            FROM customer_service f LEFT JOIN profiles p ON p.customer_id = f.customer_id""", LATEST_SCORE, LATEST_STATEMENT, """
+            profiles AS (
+              SELECT c.id AS customer_id, to_json({customer_id: c.id, customer_type: c.customer_type,
+                first_name: c.first_name, last_name: c.last_name, company_name: c.company_name, email: c.email,
+                date_of_birth: c.date_of_birth, country: c.country, registration_number: c.registration_number,
+                kyc_count: n.kyc_count, kyc_approved: n.approved, kyc_pending: n.pending, kyc_rejected: n.rejected,
+                latest_kyc: {id: k.id, verification_type: k.verification_type, verification_status: k.verification_status,
+                  risk_score: k.risk_score, created_at: k.created_at},
+                credit_score: CASE WHEN s.id IS NOT NULL THEN {id: s.id, score: s.score, score_date: s.score_date} END,
+                bank_statement: CASE WHEN b.customer_id IS NOT NULL THEN {statement_date: b.statement_date,
+                  balance: b.balance, monthly_income: b.monthly_income, monthly_expenses: b.monthly_expenses,
+                  transaction_count: b.transaction_count, risk_indicators: b.risk_indicators} END}) AS context
+              FROM customers c
+              JOIN (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, id DESC) AS rn
+                FROM kyc_kyb_data) k ON k.customer_id = c.id AND k.rn = 1
+              JOIN (SELECT customer_id, count(*) AS kyc_count, count(*) FILTER (verification_status = 'approved') AS approved,
+                  count(*) FILTER (verification_status = 'pending') AS pending,
+                  count(*) FILTER (verification_status = 'rejected') AS rejected
+                FROM kyc_kyb_data GROUP BY customer_id) n ON n.customer_id = c.id
+              LEFT JOIN latest_scores s ON s.customer_id = c.id
+              LEFT JOIN latest_statements b ON b.customer_id = c.id)"""),
         "parsed_sentiment": over(service, """
             SELECT id,
               CASE WHEN priority IN ('low', 'urgent') OR (priority <> 'high' AND sentiment_score IS NULL) THEN 0.0e0
@@ -819,7 +846,7 @@ def _question_queries() -> dict[str, str]:
 
 
 def oracle_queries() -> dict[str, str]:
-    """SQL per query name. Queries that train a model or write JSON for a reader have none."""
+    """SQL per query name. The query that trains a model has none."""
     return {
         **_account_queries(),
         **_dashboard_queries(),

@@ -67,6 +67,28 @@ def test_fill(spark):
     assert [r[1] for r in rows] == [["missing"], [], [], []]
 
 
+PIECES = st.sampled_from(["{a}", "{bb}", "{c_1}", "{{", "}}", "x", " ", "€", "a", "{{a}}", "1."])
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=8).map("".join), min_size=20, max_size=40))
+def test_fill_equals_format(spark, templates):
+    values = {"a": "{bb}", "bb": "}}{", "c_1": "$1\\"}
+    df = spark.createDataFrame([(i, t, values) for i, t in enumerate(templates)], "id int, t string, v map<string,string>")
+    rows = df.select(
+        "id",
+        tx.fill_template(F.col("t"), F.col("v")).alias("whole"),
+        F.transform(tx.template_parts(F.col("t")), lambda p: F.coalesce(F.try_element_at(F.col("v"), p["var"]), p["text"])).alias("parts"),
+    ).collect()
+    for row in rows:
+        assert row.whole == templates[row.id].format(**values) == "".join(row.parts)
+
+
+def test_literal_templates(spark):
+    got = spark.range(1).select(tx.fill_literal("Hi {name}, {x}!", {"name": F.lit("A"), "x": F.lit("{y}")})).first()[0]
+    assert got == "Hi A, {y}!"
+
+
 def test_sentiment_replies(spark):
     replies = [
         '{"score": -0.8, "explanation": "angry"}',
