@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 65536
-BLOCK = 64
+BLOCK = 16
 
 
 def with_position(turns: DataFrame, counted: Column | None = None, span: int = SPAN) -> DataFrame:

@@ -100,8 +100,8 @@ def customer_360(customers: DataFrame, kyc: DataFrame, latest_scores: DataFrame,
 def statement_trends(statements: DataFrame) -> DataFrame:
     """Net flow, change against the month before, and each customer's averages.
 
-    There is one statement per customer and month, so a window holds one customer's
-    months and no more. Both windows share one sort.
+    (customer_id, statement_date) is the key, so a window holds at most one row per day of
+    the calendar; in the lending views it is one per month. Both windows share one sort.
     """
     everything = Window.partitionBy("customer_id")
     by_month = everything.orderBy("statement_date")

@@ -251,9 +251,15 @@ def canned_answers(interactions: DataFrame) -> DataFrame:
 
 
 def complete(
-    df: DataFrame, answer: Callable[[list[str]], list[str]], prompt: str = "user_prompt", reply: str = "reply"
+    df: DataFrame,
+    answer: Callable[[list[str]], list[str]],
+    prompt: str = "user_prompt",
+    reply: str = "reply",
+    batch_size: int = 64,
 ) -> DataFrame:
-    """Send a prompt column to ``answer`` in batches; a failed batch carries its error instead.
+    """Send a prompt column to ``answer``, ``batch_size`` prompts at a time.
+
+    A call that fails leaves its error in the rows of that call and in no others.
 
     ``answer`` runs on the executors and must be safe to repeat, since a lost task is
     run again.
@@ -262,14 +268,16 @@ def complete(
 
     def send(batches):
         for batch in batches:
-            replies, error = [None] * len(batch), None
-            try:
-                got = list(answer(batch[prompt].tolist()))
-                if len(got) != len(batch):
-                    raise ValueError(f"{len(batch)} prompts, {len(got)} replies")
-                replies = got
-            except Exception as failure:  # the caller's function may fail in any way
-                error = str(failure)
-            yield batch.assign(**{reply: replies, "error": error})
+            for start in range(0, len(batch), batch_size):
+                part = batch.iloc[start : start + batch_size]
+                replies, error = [None] * len(part), None
+                try:
+                    got = list(answer(part[prompt].tolist()))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(part)} prompts, {len(got)} replies")
+                    replies = got
+                except Exception as failure:  # the caller's function may fail in any way
+                    error = str(failure)
+                yield part.assign(**{reply: replies, "error": error})
 
     return df.mapInPandas(send, schema)

@@ -176,17 +176,20 @@ def split_rows(df: DataFrame, share: float = 0.8, seed: int = SEED) -> tuple[Dat
 def fit(train: DataFrame, strength: float = 1.0) -> PipelineModel:
     """Standardise, then logistic regression with an L2 penalty of ``strength`` for the whole set.
 
-    Spark averages the loss over rows, so the penalty is divided by their number.
+    Spark averages the loss over rows, so the penalty is divided by their number. It also
+    scales by the sample deviation; the factor (n - 1) / n on the penalty makes the fitted
+    function the one that scaling by the population deviation would give.
     """
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features")
     assembled = assembler.transform(train).select("raw_features", F.col(LABEL).cast("double").alias(LABEL)).persist()
     scaler = StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True).fit(
         assembled
     )
+    n = assembled.count()
     regression = LogisticRegression(
         featuresCol="scaled_features",
         labelCol=LABEL,
-        regParam=strength / assembled.count(),
+        regParam=strength * (n - 1) / n**2,
         elasticNetParam=0.0,
         standardization=False,
         maxIter=200,

@@ -397,7 +397,7 @@ def _conversation_queries() -> dict[str, str]:
             WITH placed AS (
               SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS n_messages,
                 string_agg(concat(role, ': ', text), chr(10)) OVER (
-                  PARTITION BY conv_id, turn // 64 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said
+                  PARTITION BY conv_id, turn // 16 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said
               FROM conversations)
             SELECT conv_id, turn, n_messages,
               concat('system: You guide ', CASE WHEN conv_id % 3 = 0 THEN 'a business' ELSE 'an individual customer' END,

@@ -81,6 +81,17 @@ def test_failed_batch_carries_its_error(spark, kind):
     assert all(r.reply is None and r.error for r in rows) and len(rows) == 2
 
 
+def test_only_the_failed_call_loses_its_rows(spark):
+    def answer(texts):
+        if "p5" in texts:
+            raise RuntimeError("no service")
+        return list(texts)
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(12)], "id int, user_prompt string").coalesce(1)
+    rows = p.complete(df, answer, batch_size=4).collect()
+    assert sorted(r.id for r in rows if r.error) == [4, 5, 6, 7] and sum(r.reply is not None for r in rows) == 8
+
+
 def test_sentiment_prompts(spark):
     row = p.sentiment_prompts(spark.createDataFrame([(1, "bad day")], "id int, message string")).first()
     assert row.user_prompt == "bad day" and row.max_tokens == 200
