@@ -25,20 +25,6 @@ TABLES = (
     "collections",
 )
 
-# Columns of the source files, stated so that opening a table reads no footer.
-SOURCES = {
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "orders": (
-        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,"
-        " o_orderpriority string"
-    ),
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-    "events": (
-        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    ),
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
-}
-
 # Ages and "today" are taken at this date.
 AS_OF = "2001-12-31"
 
@@ -183,10 +169,9 @@ class Lending:
         return {}
 
     def raw(self, table: str) -> DataFrame:
-        """A source table; its files are listed once."""
+        """A source table; its files are listed and its schema is read once."""
         if table not in self._opened:
-            reader = self.spark.read.schema(SOURCES[table])
-            self._opened[table] = reader.parquet(f"{self.root}/{table}.parquet")
+            self._opened[table] = self.spark.read.parquet(f"{self.root}/{table}.parquet")
         return self._opened[table]
 
     def view(self, name: str) -> DataFrame:
@@ -306,7 +291,7 @@ class StoredLending(Lending):
 
     def raw(self, table: str) -> DataFrame:
         if table not in self._opened:
-            reader = self.spark.read.schema(DDL.get(table) or SOURCES[table])
+            reader = self.spark.read.schema(DDL[table]) if table in DDL else self.spark.read
             self._opened[table] = reader.parquet(f"{self.root}/{table}")
         return self._opened[table]
 
