@@ -25,6 +25,18 @@ def owned(facts: DataFrame, customers: DataFrame) -> DataFrame:
     return facts.join(customers.select(F.col("id").alias("customer_id")), "customer_id", "left_semi")
 
 
+def owned_sums(
+    facts: DataFrame, customers: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Sums or counts over the rows of known customers, in all or per group.
+
+    Rows are reduced per customer and group before the check, so a customer with very
+    many rows is a few rows per task. Without groups the check reuses that shuffle.
+    """
+    reduced = facts.groupBy("customer_id", *by).agg(*[s.alias(n) for n, s in sums.items()])
+    return owned(reduced, customers).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def newest_first(*extra: str) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in ("created_at", *extra, "id")]
 
@@ -55,8 +67,16 @@ def counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 def zero_filled_counts(df: DataFrame, key: str, values: list[str], name: str = "n") -> DataFrame:
     """One row per listed value, 0 where it is absent: one aggregate, no join."""
-    row = df.agg(*[F.count_if(F.col(key) == v).alias(v) for v in values])
-    return row.unpivot([], list(values), key, name)
+    return as_rows(df.agg(*[c.alias(v) for v, c in counters(key, values).items()]), key, values, name)
+
+
+def counters(key: str, values: list[str]) -> dict[str, Column]:
+    return {v: F.count_if(F.col(key) == v) for v in values}
+
+
+def as_rows(row: DataFrame, key: str, values: list[str], name: str = "n") -> DataFrame:
+    """A row of counts turned into one row per value; a count over nothing is 0."""
+    return row.select([F.coalesce(v, F.lit(0)).alias(v) for v in values]).unpivot([], list(values), key, name)
 
 
 def total_money(col: Column | str) -> Column:
@@ -85,11 +105,18 @@ def found_in(df: DataFrame, requests: DataFrame, key: str, spread: str = "id") -
     return join_splitting_hot_keys(df, requests.select(key).distinct(), key, "left_semi", spread)
 
 
-def overdue_grid(accounts: DataFrame, days: int = 30, amount: int = 1000) -> DataFrame:
-    return accounts.groupBy(
+def overdue_grid(accounts: DataFrame, customers: DataFrame, days: int = 30, amount: int = 1000) -> DataFrame:
+    """Accounts and amounts per cell of days overdue and amount outstanding."""
+    placed = accounts.select(
+        "customer_id",
+        "outstanding_amount",
         F.floor(F.col("days_overdue") / days).cast("int").alias("days_bin"),
         F.floor(F.col("outstanding_amount") / amount).cast("bigint").alias("amount_bin"),
-    ).agg(F.count(F.lit(1)).alias("n"), total_money("outstanding_amount").alias("outstanding"))
+    )
+    sums = {"n": F.count(F.lit(1)), "owed": F.sum(cents("outstanding_amount"))}
+    return owned_sums(placed, customers, sums, ("days_bin", "amount_bin")).select(
+        "days_bin", "amount_bin", "n", (F.col("owed").cast("double") / 100).alias("outstanding")
+    )
 
 
 def value_histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerlane.operators import reports as r
 from ledgerlane.plans.registry import query
 from ledgerlane.sources import dims, sinks
 from ledgerlane.sources.schemas import DOMAINS, PAYMENT_PLAN
-from ledgerlane.sources.views import AS_OF, Lending
+from ledgerlane.sources.views import AS_OF, Lending, cents
 
 STAGES = DOMAINS["collections"]["collection_stage"]
 
@@ -74,34 +74,46 @@ def collections_by_stage(book: Lending) -> DataFrame:
 
 @query
 def collections_totals(book: Lending) -> DataFrame:
-    return r.owned(book.collections, book.customers).agg(
-        r.total_money("outstanding_amount").alias("total_outstanding"),
-        F.avg("days_overdue").alias("avg_days_overdue"),
-        F.count(F.lit(1)).alias("accounts"),
-        F.count_if(F.col("days_overdue") > 60).alias("high_risk"),
+    sums = {
+        "owed": F.sum(cents("outstanding_amount")),
+        "days": F.sum("days_overdue"),
+        "dated": F.count("days_overdue"),
+        "accounts": F.count(F.lit(1)),
+        "high_risk": F.count_if(F.col("days_overdue") > 60),
+    }
+    return r.owned_sums(book.collections, book.customers, sums).select(
+        (F.col("owed").cast("double") / 100).alias("total_outstanding"),
+        F.try_divide(F.col("days").cast("double"), F.col("dated")).alias("avg_days_overdue"),
+        F.coalesce("accounts", F.lit(0)).alias("accounts"),
+        F.coalesce("high_risk", F.lit(0)).alias("high_risk"),
     )
 
 
 @query
 def stage_value_counts(book: Lending) -> DataFrame:
-    kept = r.owned(book.collections.where(F.col("collection_stage").isNotNull()), book.customers)
-    return r.counts(kept, "collection_stage").orderBy(F.desc("n"), "collection_stage")
+    staged = book.collections.where(F.col("collection_stage").isNotNull())
+    counted = r.owned_sums(staged, book.customers, {"n": F.count(F.lit(1))}, ("collection_stage",))
+    return counted.orderBy(F.desc("n"), "collection_stage")
 
 
 @query
 def outstanding_by_stage(book: Lending) -> DataFrame:
-    kept = r.owned(book.collections.where(F.col("collection_stage").isNotNull()), book.customers)
-    return kept.groupBy("collection_stage").agg(r.total_money("outstanding_amount").alias("outstanding"))
+    staged = book.collections.where(F.col("collection_stage").isNotNull())
+    sums = {"owed": F.sum(cents("outstanding_amount"))}
+    return r.owned_sums(staged, book.customers, sums, ("collection_stage",)).select(
+        "collection_stage", (F.col("owed").cast("double") / 100).alias("outstanding")
+    )
 
 
 @query
 def stage_counts_zero_filled(book: Lending) -> DataFrame:
-    return r.zero_filled_counts(r.owned(book.collections, book.customers), "collection_stage", STAGES)
+    sums = r.counters("collection_stage", STAGES)
+    return r.as_rows(r.owned_sums(book.collections, book.customers, sums), "collection_stage", STAGES)
 
 
 @query
 def overdue_heatmap(book: Lending) -> DataFrame:
-    return r.overdue_grid(r.owned(book.collections, book.customers), days=30, amount=1000)
+    return r.overdue_grid(book.collections, book.customers, days=30, amount=1000)
 
 
 @query

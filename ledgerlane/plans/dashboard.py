@@ -16,13 +16,9 @@ from ledgerlane.sources.views import TABLES, Lending, register_views
 
 
 def score_totals(book: Lending) -> DataFrame:
-    """Sum and number of scores of individuals, reduced per customer before the check."""
-    per_customer = book.score_facts.groupBy("customer_id").agg(
-        F.sum("score").alias("total"), F.count("score").alias("n")
-    )
-    return r.owned(per_customer, book.score_owners).agg(
-        F.try_divide(F.sum("total").cast("double"), F.sum("n")).alias("avg_score")
-    )
+    """The mean score of the customers whose scores count."""
+    sums = r.owned_sums(book.score_facts, book.score_owners, {"total": F.sum("score"), "n": F.count("score")})
+    return sums.select(F.try_divide(F.col("total").cast("double"), F.col("n")).alias("avg_score"))
 
 
 @query

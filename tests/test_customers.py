@@ -77,7 +77,7 @@ def test_latest_with_customer_when_few_exist(spark, customers):
 
 
 def test_counts_add_up(lending):
-    grid = r.overdue_grid(lending.collections).agg(F.sum("n")).first()[0]
+    grid = r.overdue_grid(lending.collections, lending.customers).agg(F.sum("n")).first()[0]
     zero = r.zero_filled_counts(lending.collections, "collection_stage", ["early", "mid", "late", "legal", "none"])
     assert grid == lending.collections.count() == zero.agg(F.sum("n")).first()[0]
     assert zero.where("collection_stage = 'none'").first().n == 0
