@@ -119,16 +119,16 @@ def overdue_grid(accounts: DataFrame, customers: DataFrame, days: int = 30, amou
     )
 
 
-def value_histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+def value_histogram(
+    df: DataFrame, column: str, low: float, high: float, bins: int, owners: DataFrame | None = None
+) -> DataFrame:
+    """Rows per bin of equal width; with ``owners`` only the rows of those customers."""
     width = (high - low) / bins
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(x.histogram_bin(column, low, high, bins).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "bin",
-            (F.lit(low) + F.col("bin") * width).alias("from_value"),
-            (F.lit(low) + (F.col("bin") + 1) * width).alias("to_value"),
-            "n",
-        )
+    placed = df.where(F.col(column).isNotNull()).withColumn("bin", x.histogram_bin(column, low, high, bins))
+    counted = counts(placed, "bin") if owners is None else owned_sums(placed, owners, {"n": F.count(F.lit(1))}, ("bin",))
+    return counted.select(
+        "bin",
+        (F.lit(low) + F.col("bin") * width).alias("from_value"),
+        (F.lit(low) + (F.col("bin") + 1) * width).alias("to_value"),
+        "n",
     )

@@ -203,7 +203,7 @@ def score_histogram(book: Lending) -> DataFrame:
     """Scores of the batch run and of the bureau history, in twenty equal bins each."""
     low, high = SCORE_RANGE
     batch = r.value_histogram(card_scores(book), "credit_score", low, high, 20)
-    bureau = r.value_histogram(book.credit_scores, "score", low, high, 20)
+    bureau = r.value_histogram(book.score_facts, "score", low, high, 20, book.score_owners)
     return batch.withColumn("source", F.lit("batch")).unionByName(bureau.withColumn("source", F.lit("bureau")))
 
 
