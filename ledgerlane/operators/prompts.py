@@ -18,6 +18,7 @@ from ledgerlane.functions import text as tx
 from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources import dims
 
+
 def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) -> DataFrame:
     """Render one template per request (request_id, category, template_index, custom_variables).
 
@@ -25,6 +26,7 @@ def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) ->
     of (seed, request, variable). The template table is joined without a hint, so Spark
     broadcasts it by its size.
     """
+
     def options_of(part: Column) -> Column:
         return F.get(F.filter("variables", lambda v: v["var"] == part["var"]), F.lit(0))["options"]
 

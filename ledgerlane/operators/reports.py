@@ -37,8 +37,8 @@ def owned_sums(
     return owned(reduced, customers).groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def newest_first(*extra: str) -> list[Column]:
-    return [F.col(c).desc_nulls_last() for c in ("created_at", *extra, "id")]
+def newest_first(*order: str) -> list[Column]:
+    return [F.col(c).desc_nulls_last() for c in order or ("created_at", "id")]
 
 
 def latest_with_customer(
@@ -58,7 +58,7 @@ def latest_with_customer(
     survivors = newest.join(ids, "customer_id").orderBy(F.col("k").desc()).limit(n)
     floor = survivors.agg(F.when(F.count(F.lit(1)) == n, F.min("k")).alias("floor")).scalar()
     recent = facts.where(F.coalesce(key >= floor, F.lit(True)))
-    return with_customer(recent, customers).orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)
+    return with_customer(recent, customers).orderBy(*newest_first(*order)).limit(n)
 
 
 def counts(df: DataFrame, key: str, name: str = "n") -> DataFrame:
