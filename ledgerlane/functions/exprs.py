@@ -229,12 +229,24 @@ def country_risk(country="country") -> Column:
 # repeatable draws -------------------------------------------------------------
 
 
+def digest(*parts: Column | str) -> Column:
+    """A hash of the text of the parts as 32 hex digits, equal on every partitioning."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]))
+
+
+def word32(hexes: Column | str, at: int = 0) -> Column:
+    """One of the four 32-bit numbers in a digest."""
+    return F.conv(F.substring(_col(hexes), 1 + 8 * at, 8), 16, 10).cast("bigint")
+
+
 def hash32(*parts: Column | str) -> Column:
-    """A 32-bit number from the text of the parts, equal on every partitioning."""
-    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return word32(digest(*parts))
+
+
+def unit(word: Column) -> Column:
+    """A 32-bit number as a draw from the open interval (0, 1)."""
+    return (word + F.lit(0.5)) / F.lit(4294967296.0)
 
 
 def uniform(*parts: Column | str) -> Column:
-    """A draw from the open interval (0, 1)."""
-    return (hash32(*parts) + F.lit(0.5)) / F.lit(4294967296.0)
+    return unit(hash32(*parts))

@@ -55,9 +55,15 @@ UNIFORMS = [
 ]
 
 
-def _draws(seed: int) -> list[Column]:
-    names = UNIFORMS + [f"{n}/{part}" for n in NORMALS for part in ("r", "a")]
-    return [x.uniform(str(seed), name, F.col("id")).alias(f"u/{name}") for name in names]
+DRAWS = UNIFORMS + [f"{n}/{part}" for n in NORMALS for part in ("r", "a")]
+
+
+def _with_draws(ids: DataFrame, seed: int) -> DataFrame:
+    """The id and its draws; one digest gives four of them."""
+    blocks = range((len(DRAWS) + 3) // 4)
+    hashed = ids.select("id", *[x.digest(str(seed), str(b), F.col("id")).alias(f"digest{b}") for b in blocks])
+    draws = [x.unit(x.word32(f"digest{i // 4}", i % 4)).alias(f"u/{name}") for i, name in enumerate(DRAWS)]
+    return hashed.select("id", *draws)
 
 
 def _draw(name: str) -> Column:
@@ -108,7 +114,7 @@ def label_probability() -> Column:
 def training_rows(ids: DataFrame, seed: int = SEED) -> DataFrame:
     """One synthetic applicant per id.
 
-    Every draw is a function of (seed, draw name, id), so rows do not depend on
+    Every draw is a function of (seed, draw, id), so rows do not depend on
     partitioning and any subset can be made again anywhere.
     """
 
@@ -116,7 +122,7 @@ def training_rows(ids: DataFrame, seed: int = SEED) -> DataFrame:
         return F.when(_draw(name) < p, 1).otherwise(0)
 
     return (
-        ids.select("id", *_draws(seed))
+        _with_draws(ids, seed)
         .withColumns(
             {
                 "age": x.clamp(F.lit(40.0) + F.lit(12.0) * _normal("age"), 18.0, 80.0),

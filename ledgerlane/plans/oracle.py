@@ -425,8 +425,18 @@ def _conversation_queries() -> dict[str, str]:
     }
 
 
-def _uniform(name: str, key: str = "id") -> str:
-    return f"((('0x' || substr(md5(concat('42:{name}:', CAST({key} AS VARCHAR))), 1, 8))::BIGINT + 0.5e0) / 4294967296.0e0)"
+# Order of the draws; every four share one digest of (seed, block, id).
+DRAWS = (
+    "is_business business_factor expense_ratio has_overdrafts overdrafts has_returned returned_payments"
+    " gambling_transactions irregular_income country_risk label age/r age/a monthly_income/r monthly_income/a"
+    " current_balance/r current_balance/a existing_credit_score/r existing_credit_score/a"
+).split()
+
+
+def _uniform(name: str) -> str:
+    block, word = divmod(DRAWS.index(name), 4)
+    digest = f"md5(concat('42:{block}:', CAST(id AS VARCHAR)))"
+    return f"((('0x' || substr({digest}, {1 + 8 * word}, 8))::BIGINT + 0.5e0) / 4294967296.0e0)"
 
 
 def _normal(name: str) -> str:
