@@ -25,6 +25,7 @@ HEADLINE = [
     "parsed_variations",
     "onboarding_messages",
 ]
+WARM_UPS = 2
 RUNS = 3
 
 
