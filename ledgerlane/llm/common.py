@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,18 @@ from pyspark.sql import functions as F
 from ledgerlane.session import ensure_checkpoint_dir
 
 
+def reachable(spark: SparkSession) -> None:
+    """On one machine, let Python workers find this package where the driver has it.
+
+    On a cluster the package comes with the job (--py-files or an image), as for any library.
+    """
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    held = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local") and root not in held.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (held, root) if p)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(spark)
@@ -24,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

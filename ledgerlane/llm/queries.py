@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, sharding, simhash
+from ledgerlane.llm import bpe, quality, repair, sharding, simhash, toxicity, vectors
 from ledgerlane.llm.common import table
 
 SHARDS = 8
 
 
+def vector_groups(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, root, "embeddings"), threshold=0.93)
+
+
 def simhash_groups(spark: SparkSession, root: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, root, "documents"), width=3, max_bits=2)
     return found.select(
@@ -26,13 +30,29 @@ def shards(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def quality_scores(spark: SparkSession, root: str) -> DataFrame:
+    return quality.scored(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+def repair_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    return repair.round_trip(table(spark, root, "documents"))
+
+
+def toxicity_scores(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.scored(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def bpe_digests(spark: SparkSession, root: str) -> DataFrame:
     return bpe.digests(table(spark, root, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_counting": vector_groups,
     "op2_simhash": simhash_groups,
     "op3_hash_tree": shards,
+    "op6_quality": quality_scores,
+    "op8_repair": repair_round_trip,
+    "op9_toxicity": toxicity_scores,
     "op10_bpe": bpe_digests,
 }
 
