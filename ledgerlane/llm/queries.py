@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, quality, repair, sharding, simhash, toxicity, vectors
+from ledgerlane.llm import bpe, decontamination, pii, quality, repair, sharding, simhash, toxicity, vectors
 from ledgerlane.llm.common import table
 
 SHARDS = 8
@@ -30,6 +30,14 @@ def shards(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def private_spans(spark: SparkSession, root: str) -> DataFrame:
+    return pii.digests(table(spark, root, "documents"))
+
+
+def benchmark_passages(spark: SparkSession, root: str) -> DataFrame:
+    return decontamination.report(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def quality_scores(spark: SparkSession, root: str) -> DataFrame:
     return quality.scored(table(spark, root, "documents"), table(spark, root, "labels"))
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_counting": vector_groups,
     "op2_simhash": simhash_groups,
     "op3_hash_tree": shards,
+    "op4_semi_markov_pii": private_spans,
+    "op5_latent_decontamination": benchmark_passages,
     "op6_quality": quality_scores,
     "op8_repair": repair_round_trip,
     "op9_toxicity": toxicity_scores,
