@@ -1,27 +1,58 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, personal data, tokens."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, personal data, tokens.
+
+Every stage takes all its predecessor kept, whatever further columns the table has; all but the last return its columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlane.llm import bpe, decontamination, pii, simhash, toxicity
+from ledgerlane.llm.common import reachable, table, written
 
-from ledgerlane.llm import bpe, simhash
-from ledgerlane.llm.common import table, written
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine scores at the threshold or above go; null and empty texts stay."""
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
+    return docs.where(toxicity.scores(machine) < toxicity.THRESHOLD)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; repeated ids stay as one class."""
+    """Of each group of near-duplicates the rows with the smallest id stay; rows without an id stay as well."""
     found = simhash.near_duplicates(docs, width=3, max_bits=2)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontamination.contained(docs, table(spark, sf_dir, "benchmark"))
+    return docs.where(F.size(found["items"]) == 0)
+
+
+def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kinds; n_chars, where there is one, follows the text."""
+    redacted = F.when(F.col("text").isNotNull(), pii.spans(docs)["redacted"])
+    out = docs.withColumn("text", redacted)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of the token ids and of the text they decode to."""
+    reachable(spark)
     return bpe.digests(docs)
 
 
-STAGES = [("simhash", keep_one_of_each_group), ("bpe", tokens)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_private),
+    ("bpe", tokens),
+]
 
-#: No SQL: the classifier, the fingerprints and the merges cannot be written in it. Tests compare with brute force.
+#: No SQL: classifier, fingerprints, latent space, field and merges cannot be written in it. Tests use brute force.
 ORACLE_SQL = None
 
 

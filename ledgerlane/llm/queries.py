@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, decontamination, pii, quality, repair, sharding, simhash, toxicity, vectors
+from ledgerlane.llm import bpe, decontamination, pii, quality, repair, sharding, simhash, suffixes, toxicity, vectors
 from ledgerlane.llm.common import table
 
 SHARDS = 8
@@ -42,6 +42,10 @@ def quality_scores(spark: SparkSession, root: str) -> DataFrame:
     return quality.scored(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def repeated_strings(spark: SparkSession, root: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, root, "documents"))
+
+
 def repair_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return repair.round_trip(table(spark, root, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_semi_markov_pii": private_spans,
     "op5_latent_decontamination": benchmark_passages,
     "op6_quality": quality_scores,
+    "op7_suffix_sort": repeated_strings,
     "op8_repair": repair_round_trip,
     "op9_toxicity": toxicity_scores,
     "op10_bpe": bpe_digests,
