@@ -19,10 +19,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the rows with the smallest id stay; rows without an id stay as well."""
+    """Of each group of near-duplicates one row stays: the one with the smallest id, of equal rows any one.
+
+    Rows without an id stay unless the group has one; of those with one fingerprint a single row stays.
+    """
     found = simhash.near_duplicates(docs, width=3, max_bits=2)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = found.where("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+    # ids and fingerprints that come several times; most tables have none
+    again = found.groupBy("doc_id", "simhash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    doubtful = gone.select("doc_id").union(again).distinct().select(F.col("doc_id").alias("doubtful"))
+    same = docs["doc_id"].eqNullSafe(doubtful["doubtful"])
+    certain = docs.join(doubtful, same, "left_anti")
+    name = "fingerprint of this stage"
+    checked = simhash.fingerprints(docs.join(doubtful, same, "left_semi"), name=name)
+    out = gone.select(F.col("doc_id").alias("gone"), F.col("simhash").alias("gone_print")).distinct()
+    kept = checked.join(
+        out, checked["doc_id"].eqNullSafe(out["gone"]) & (checked[name] == out["gone_print"]), "left_anti"
+    ).dropDuplicates(["doc_id", name])
+    return certain.unionByName(kept.drop(name))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,15 +50,15 @@ def fingerprint_of(text: str, width: int = 3) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """Adds `simhash` (signed long; an earlier column of that name is replaced). A null text counts as empty: zero."""
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, name: str = "simhash") -> DataFrame:
+    """Adds the column `name` (signed long; an earlier one is replaced). A null text counts as empty: zero."""
 
     @pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([fingerprint_of(t, width) for t in batch], dtype="int64")
 
-    return docs.withColumn("simhash", run(text_or_empty(text)))
+    return docs.withColumn(name, run(text_or_empty(text)))
 
 
 def covering(missing: int) -> list[tuple[int, ...]]:
