@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 65536
-BLOCK = 16
 
 
 def with_position(turns: DataFrame, counted: Column | None = None, span: int = SPAN) -> DataFrame:
@@ -68,46 +67,25 @@ def question_numbers(turns: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
-def history_blocks(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The turns of a conversation in order, as arrays of at most ``block`` turns."""
-    said = F.struct("turn", "role", F.col("text").alias("content"))
-    return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / block).cast("bigint").alias("block"))
-        .agg(F.array_sort(F.collect_list(said)).alias("said"))
-        .select(
-            "conv_id",
-            "block",
-            F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias(
-                "messages"
-            ),
-        )
-    )
+def history(turns: DataFrame, span: int = SPAN) -> DataFrame:
+    """Every turn once, with its position in the conversation counted from 1."""
+    placed = with_position(turns.select("conv_id", "turn", "role", "text"), span=span)
+    return placed.select("conv_id", (F.col("n_before") + 1).alias("position"), "role", F.col("text").alias("content"))
 
 
-def message_lists(turns: DataFrame, system_prompt: Column, block: int = BLOCK, span: int = SPAN) -> DataFrame:
-    """The message list of every user turn: system prompt, history, the user's message.
+def model_calls(turns: DataFrame, system_prompt: Column, span: int = SPAN) -> DataFrame:
+    """What is sent to the model at every user turn, in linear form.
 
-    The row carries the history of the turn's own block. A conversation longer than
-    one block continues in ``history_blocks``: the row's full history is the blocks
-    before ``block``, in order, followed by the messages held here. Repeating the
-    whole past in every row would grow with the square of the length.
+    The messages are the system prompt, the rows of ``history`` of the same conversation
+    with a smaller position, and the user's message. The history is not repeated in every
+    row: that would grow with the square of the length.
     """
-    # Blocks lie inside chunks, so the rows stay where the positions were computed.
-    span = max(1, span // block) * block
     placed = with_position(turns.select("conv_id", "turn", "role", "text"), span=span)
-    own = Window.partitionBy("conv_id", "chunk", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    said = F.struct("role", F.col("text").alias("content"))
-    listed = placed.withColumn("block", F.floor(F.col("turn") / block).cast("bigint")).withColumn(
-        "recent", F.collect_list(said).over(own)
-    )
-    return listed.where("role = 'user'").select(
+    return placed.where("role = 'user'").select(
         "conv_id",
         "turn",
-        "block",
+        (F.col("n_before") + 1).alias("position"),
         (F.col("n_before") + 2).alias("n_messages"),
-        F.concat(
-            F.array(F.struct(F.lit("system").alias("role"), system_prompt.alias("content"))),
-            "recent",
-            F.array(said),
-        ).alias("messages"),
+        system_prompt.alias("system_prompt"),
+        F.col("text").alias("user_message"),
     )

@@ -78,55 +78,106 @@ def verification_summary(kyc: DataFrame) -> DataFrame:
     )
 
 
-def customer_360(customers: DataFrame, kyc: DataFrame, latest_scores: DataFrame, latest_statements: DataFrame) -> DataFrame:
-    """Every customer once, with verification summary, latest score and latest statement."""
-    score = latest_scores.select(
-        "customer_id", F.struct(*[c for c in latest_scores.columns if c != "customer_id"]).alias("credit_score")
-    )
-    statement = latest_statements.select(
-        "customer_id", F.struct(*[c for c in latest_statements.columns if c != "customer_id"]).alias("bank_statement")
+def with_states(customers: DataFrame, latest_scores: DataFrame, latest_statements: DataFrame) -> DataFrame:
+    """Every customer with the newest score and statement as structs, null where there is none."""
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        return df.select("customer_id", F.struct(*[c for c in df.columns if c != "customer_id"]).alias(name))
+
+    return (
+        customers.withColumnRenamed("id", "customer_id")
+        .join(held(latest_scores, "score_held"), "customer_id", "left")
+        .join(held(latest_statements, "statement_held"), "customer_id", "left")
     )
-    base = customers.withColumnRenamed("id", "customer_id")
+
+
+def customer_360(states: DataFrame, kyc: DataFrame) -> DataFrame:
+    """Every customer once, with verification summary, latest score and latest statement."""
+    statement = F.struct(*[F.col(f"statement_held.{c}").alias(c) for c in STATEMENT_COLUMNS])
     return (
-        base.join(verification_summary(kyc), "customer_id", "left")
-        .join(score, "customer_id", "left")
-        .join(statement, "customer_id", "left")
+        states.join(verification_summary(kyc), "customer_id", "left")
         .withColumns(
             {f"kyc_{s}": F.coalesce(f"kyc_{s}", F.lit(0)) for s in ("count", "approved", "pending", "rejected")}
         )
+        .withColumns(
+            {
+                "credit_score": F.col("score_held"),
+                "bank_statement": F.when(F.col("statement_held").isNotNull(), statement),
+            }
+        )
+        .drop("score_held", "statement_held")
     )
 
 
+def verifications(states: DataFrame, kyc: DataFrame) -> DataFrame:
+    """Every customer with every verification record, a row each, the latest score and statement beside it.
+
+    Customers without records stay with one row. Nothing is collected: a customer with very many
+    records is that many rows, and adaptive execution may split them.
+    """
+    records = kyc.select(
+        "customer_id", F.col("id").alias("kyc_id"), "verification_type", "verification_status", "risk_score",
+        F.col("created_at").alias("kyc_created_at"),
+    )
+    return states.join(records, "customer_id", "left").select(
+        "customer_id", "customer_type", "kyc_id", "verification_type", "verification_status", "risk_score",
+        "kyc_created_at", F.col("score_held.score").alias("score"), F.col("score_held.score_date").alias("score_date"),
+        F.col("statement_held.statement_date").alias("statement_date"),
+        F.col("statement_held.monthly_income").alias("monthly_income"),
+    )
+
+
 def statement_trends(statements: DataFrame) -> DataFrame:
-    """Net flow, change against the month before, and each customer's averages.
+    """Net flow, change against the statement before, and each customer's averages.
 
-    (customer_id, statement_date) is the key, so a window holds at most one row per day of
-    the calendar; in the lending views it is one per month. Both windows share one sort.
+    Averages come from one reduction per customer. The change needs the statement before: statements
+    are ordered in windows of one customer and year, and one row per customer and year carries the
+    last net flow over the border, so a customer with a third of all statements is cut by years.
+    Equal dates are ordered by id where statements have one.
     """
-    everything = Window.partitionBy("customer_id")
-    by_month = everything.orderBy("statement_date")
     income, expenses = money("monthly_income", 4), money("monthly_expenses", 4)
     net = income - expenses
+    # ten-thousandths as whole numbers
+    tenths = F.rint(F.col("monthly_income") * 10000).cast("bigint").cast("decimal(18,0)")
+    order = ["statement_date", "id"] if "id" in statements.columns else ["statement_date"]
+    rows = statements.select(
+        "customer_id", *order, "monthly_income", "monthly_expenses", F.year("statement_date").alias("year"), net.alias("net")
+    )
+    by_year = Window.partitionBy("customer_id", "year").orderBy(*order)
+    years = rows.groupBy("customer_id", "year").agg(
+        F.max(F.struct(*order, "net")).alias("last"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(income).alias("income"),
+        # exact sums, so the order of rows cannot move the result
+        F.sum(tenths * tenths).alias("squares"),
+        F.sum(tenths).alias("tenths"),
+        F.sum(x.expense_ratio().cast("decimal(20,12)")).alias("ratios"),
+    )
+    along = Window.partitionBy("customer_id").orderBy("year")
+    every = Window.partitionBy("customer_id")
+    n = F.sum("n").over(every)
+    mean = F.sum("income").over(every).cast("double") / n
+    carried = years.select(
+        "customer_id",
+        "year",
+        F.lag("last.net").over(along).alias("carried"),
+        n.alias("months"),
+        mean.alias("income_mean"),
+        (F.sum("squares").over(every).cast("decimal(38,0)") * n.cast("decimal(10,0)")).alias("scaled_squares"),
+        (F.sum("tenths").over(every).cast("decimal(19,0)") * F.sum("tenths").over(every).cast("decimal(19,0)")).alias("squared_sum"),
+        (F.sum("ratios").over(every).cast("double") / n).alias("expense_ratio_mean"),
+    )
+    before = F.coalesce(F.lag("net").over(by_year), F.col("carried"))
     return (
-        statements.select("customer_id", "statement_date", "monthly_income", "monthly_expenses")
-        .withColumns(
-            {
-                "net_flow": net.cast("double"),
-                "net_change": (net - F.lag(net).over(by_month)).cast("double"),
-                "months": F.count(F.lit(1)).over(everything),
-                "income_total": F.sum(income).over(everything),
-                "income_sd": F.stddev_pop("monthly_income").over(everything),
-                "expense_ratio_mean": F.avg(x.expense_ratio()).over(everything),
-            }
-        )
+        rows.join(carried, ["customer_id", "year"])
         .select(
             "customer_id",
             "statement_date",
-            "net_flow",
-            "net_change",
+            F.col("net").cast("double").alias("net_flow"),
+            (F.col("net") - before).cast("double").alias("net_change"),
             "months",
-            (F.col("income_total").cast("double") / F.col("months")).alias("income_mean"),
-            "income_sd",
+            "income_mean",
+            (F.sqrt((F.col("scaled_squares") - F.col("squared_sum")).cast("double")) / F.col("months") / 10000).alias("income_sd"),
             "expense_ratio_mean",
         )
     )

@@ -76,6 +76,18 @@ def template_usage(requests: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
+def template_options(requests: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every option of every variable of every template, and how many requests name the template."""
+    asked = requests.groupBy("category", "template_index").agg(F.count(F.lit(1)).alias("n_requests"))
+    variables = templates.select("category", "template_index", F.explode("variables").alias("v"))
+    options = variables.select(
+        "category", "template_index", F.col("v.var").alias("variable"), F.posexplode("v.options").alias("option_index", "option")
+    )
+    return options.join(asked, ["category", "template_index"], "left").withColumn(
+        "n_requests", F.coalesce("n_requests", F.lit(0))
+    )
+
+
 def custom_prompts(df: DataFrame, template: str = "template", variables: str = "variables") -> DataFrame:
     """Fill a template held in each row; a placeholder without a value is an error."""
     missing = tx.missing_variables(F.col(template), F.col(variables))

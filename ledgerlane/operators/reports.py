@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
-from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources.views import cents
 
 
@@ -42,22 +41,18 @@ def newest_first(*order: str) -> list[Column]:
 
 
 def latest_with_customer(
-    facts: DataFrame, customers: DataFrame, n: int, order: tuple[str, ...] = ("created_at", "id"), pool: int = 256
+    facts: DataFrame, customers: DataFrame, n: int, order: tuple[str, ...] = ("created_at", "id")
 ) -> DataFrame:
     """The n newest rows that have a customer.
 
-    Orphans mean the n newest rows cannot simply be cut before the join. Instead
-    the newest ``pool`` rows are joined first; the n-th of them that has a customer
-    sets a floor, and only rows at or above the floor go through the full join. If
-    fewer than n of the pool survive the floor is open and every row is joined, so
-    the result is exact for any share of orphans.
+    Orphans mean the n newest rows cannot simply be cut before the join. The check runs on
+    (customer, order) alone; the n keys that survive fetch the wide rows, and those their customers.
     """
-    key = F.struct(*order)
-    ids = customers.select(F.col("id").alias("customer_id"))
-    newest = facts.select("customer_id", key.alias("k")).orderBy(F.col("k").desc()).limit(pool)
-    survivors = newest.join(ids, "customer_id").orderBy(F.col("k").desc()).limit(n)
-    floor = survivors.agg(F.when(F.count(F.lit(1)) == n, F.min("k")).alias("floor")).scalar()
-    recent = facts.where(F.coalesce(key >= floor, F.lit(True)))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    owned_keys = owned(facts.select("customer_id", key.alias("k")), customers)
+    # the n-th newest key with an owner; rows below it are left out before they meet the customers
+    floor = owned_keys.orderBy(F.col("k").desc()).limit(n).agg(F.min("k").alias("floor")).scalar()
+    recent = facts.where(key >= floor)
     return with_customer(recent, customers).orderBy(*newest_first(*order)).limit(n)
 
 
@@ -100,9 +95,10 @@ def distinct_options(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(columns).unpivot([], columns, "option_set", "value").distinct()
 
 
-def found_in(df: DataFrame, requests: DataFrame, key: str, spread: str = "id") -> DataFrame:
-    """Rows whose key was asked for: many lookups as one join."""
-    return join_splitting_hot_keys(df, requests.select(key).distinct(), key, "left_semi", spread)
+def found_in(df: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Rows whose key was asked for: many lookups as one join. Both sides come straight from a shuffle,
+    so adaptive execution splits a key that holds many rows."""
+    return df.join(requests.select(key).distinct(), key, "left_semi")
 
 
 def overdue_grid(accounts: DataFrame, customers: DataFrame, days: int = 30, amount: int = 1000) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
-from ledgerlane.operators import customer360 as c360
 
 # Feature order of the model.
 FEATURES = [
@@ -66,21 +65,10 @@ PINNED = Scorecard(
 )
 
 
-def credit_profiles(
-    customers: DataFrame, latest_scores: DataFrame, latest_statements: DataFrame
-) -> DataFrame:
-    """What the features need from the customer profile; customers without children stay."""
-    return (
-        customers.withColumnRenamed("id", "customer_id")
-        .join(latest_scores.select("customer_id", "score"), "customer_id", "left")
-        .join(
-            latest_statements.select(
-                "customer_id", "monthly_income", "monthly_expenses", "balance", "risk_indicators"
-            ),
-            "customer_id",
-            "left",
-        )
-    )
+def credit_profiles(states: DataFrame) -> DataFrame:
+    """What the features need from customers with their states; customers without children stay."""
+    held = [F.col(f"statement_held.{c}").alias(c) for c in ("monthly_income", "monthly_expenses", "balance", "risk_indicators")]
+    return states.select("*", F.col("score_held.score").alias("score"), *held).drop("score_held", "statement_held")
 
 
 def credit_features(profiles: DataFrame, as_of: str, reference_defaults: bool = False) -> DataFrame:
@@ -126,13 +114,8 @@ def credit_features(profiles: DataFrame, as_of: str, reference_defaults: bool =
 
 
 def lending_features(lending, as_of: str, reference_defaults: bool = False) -> DataFrame:
-    """Features of every customer from the lending tables: one shuffle per child table."""
-    scores = c360.latest_score(lending.score_facts, lending.score_owners)
-    statements = c360.latest_statement(
-        lending.bank_statements,
-        ["statement_date", "monthly_income", "monthly_expenses", "balance", "risk_indicators"],
-    )
-    return credit_features(credit_profiles(lending.customers, scores, statements), as_of, reference_defaults)
+    """Features of every customer from one pass over the lending tables."""
+    return credit_features(credit_profiles(lending.states), as_of, reference_defaults)
 
 
 def _standardised(w: Weight) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -11,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
@@ -187,7 +186,9 @@ def fit(train: DataFrame, strength: float = 1.0) -> PipelineModel:
     function the one that scaling by the population deviation would give.
     """
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features")
-    assembled = assembler.transform(train).select("raw_features", F.col(LABEL).cast("double").alias(LABEL)).persist()
+    assembled = assembler.transform(train).select("raw_features", F.col(LABEL).cast("double").alias(LABEL))
+    # a bounded sample: one cached partition serves every pass of the fit
+    assembled = assembled.coalesce(1).persist()
     scaler = StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True).fit(
         assembled
     )
@@ -210,11 +211,9 @@ def training_ids(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
     return spark.range(0, n, 1, 1 + n // 100_000)
 
 
-@lru_cache(maxsize=1)
-def session_model(application_id: str) -> PipelineModel:
-    """The default model, trained once per application."""
-    rows = training_rows(training_ids(SparkSession.active()))
-    return fit(split_rows(rows)[0])
+def bounded(rows: DataFrame, key: str, most: int = TRAINING_ROWS) -> DataFrame:
+    """At most ``most`` labelled rows, those first by a hash of the key: the same on every run and partitioning."""
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None, retrain: bool = False) -> PipelineModel:
@@ -256,10 +255,27 @@ def scorecard_of(model: PipelineModel) -> Scorecard:
 def roc_auc(scored: DataFrame, label: str = LABEL, score: str = "probability") -> float:
     typed = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("score"))
     return BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC"
+        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
     ).evaluate(typed)
 
 
+def exact_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Counts of both labels and the area under the ROC curve for scores with few different values.
+
+    Rows are counted per score first, so the window runs over one row per different score.
+    """
+    per_score = df.groupBy(score).agg(
+        F.count_if(F.col(label) == 1).alias("good"), F.count_if(F.col(label) == 0).alias("bad")
+    )
+    below = F.sum("bad").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    pairs = per_score.withColumn("twice", F.col("good") * (F.coalesce(below, F.lit(0)) * 2 + F.col("bad")))
+    return pairs.agg(
+        F.sum("good").alias("n_good"),
+        F.sum("bad").alias("n_bad"),
+        F.round(F.sum("twice").cast("double") / 2 / (F.sum("good") * F.sum("bad")), 9).alias("auc"),
+    )
+
+
 def classification_report(df: DataFrame, label: str, prediction: str, where: Column | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class, from four counters in one pass.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.operators import customer360 as c360
 from ledgerlane.operators import prompts as p
 from ledgerlane.operators import reports as r
 from ledgerlane.plans.registry import query
@@ -95,7 +94,15 @@ def template_requests(book: Lending) -> DataFrame:
 
 @query
 def rendered_prompts(book: Lending) -> DataFrame:
-    return p.render_prompts(template_requests(book), dims.template_table(book.spark)).drop("variables_used")
+    """Prompts with the values their variables got, as name=value in order of the names."""
+    rendered = p.render_prompts(template_requests(book), dims.template_table(book.spark))
+    used = F.transform(F.array_sort(F.map_entries("variables_used")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rendered.withColumn("variables_used", F.array_join(used, "; "))
+
+
+@query
+def template_options(book: Lending) -> DataFrame:
+    return p.template_options(template_requests(book), dims.template_table(book.spark))
 
 
 @query
@@ -140,7 +147,7 @@ def prompt_suggestions(book: Lending) -> DataFrame:
 
 @query
 def marketing_prompts(book: Lending) -> DataFrame:
-    """Every campaign's four prompts and every customer's statement prompt, in one table."""
+    """Every campaign's four prompts and a prompt for every statement, in one table."""
     requests = book.campaigns.select(
         F.col("id").alias("request_id"),
         F.initcap("target_audience").alias("campaign_type"),
@@ -152,5 +159,5 @@ def marketing_prompts(book: Lending) -> DataFrame:
         _pick([*dims.ENHANCEMENTS, "unheard-of"], 1).alias("enhancement_type"),
         (F.col("id") % 3 + 1).alias("n_variations"),
     )
-    statements = c360.latest_statement(book.bank_statements, ["statement_date", "statement_data", "risk_indicators"])
+    statements = book.bank_statements.select("customer_id", "statement_date", "statement_data", "risk_indicators")
     return p.one_prompt_table(p.campaign_prompts(requests), p.statement_prompts(statements))

@@ -22,18 +22,16 @@ def turn_numbering(book: Lending) -> DataFrame:
     return c.question_numbers(book.conversations)
 
 
+@query
+def onboarding_history(book: Lending) -> DataFrame:
+    return c.history(book.conversations)
+
+
 @query
 def onboarding_messages(book: Lending) -> DataFrame:
+    """One model call per user turn; its history is the earlier rows of ``onboarding_history``."""
     kind = F.when(F.col("conv_id") % 3 == 0, "business").otherwise("individual")
-    listed = c.message_lists(book.conversations, p.onboarding_system_prompt(kind))
-    return listed.select(
-        "conv_id",
-        "turn",
-        "n_messages",
-        F.array_join(
-            F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n"
-        ).alias("transcript"),
-    )
+    return c.model_calls(book.conversations, p.onboarding_system_prompt(kind))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ledgerlane.plans.registry import query
 from ledgerlane.sources.schemas import SCORE_RANGE, STATEMENT_DATA
 from ledgerlane.sources.views import AS_OF, Lending
 
+# Fixed value: a bureau score counts as good from here on.
+GOOD_SCORE = 670
+
 
 def six(*columns: str) -> dict:
     """Columns that went through exp, ln, cos or a mean, rounded for display."""
@@ -52,14 +56,14 @@ def score_risk_levels(book: Lending) -> DataFrame:
     )
 
 
+@query
+def customer_360_verifications(book: Lending) -> DataFrame:
+    return c360.verifications(book.states, book.kyc)
+
+
 @query
 def customer_360(book: Lending) -> DataFrame:
-    profile = c360.customer_360(
-        book.customers,
-        book.kyc,
-        c360.latest_score(book.score_facts, book.score_owners),
-        c360.latest_statement(book.bank_statements),
-    )
+    profile = c360.customer_360(book.states, book.kyc)
     return profile.select(
         "customer_id",
         x.display_name().alias("customer"),
@@ -85,8 +89,8 @@ def country_risk(book: Lending) -> DataFrame:
 def statement_trends(book: Lending) -> DataFrame:
     return c360.statement_trends(book.bank_statements).withColumns(
         {
-            "income_sd": F.round(F.col("income_sd") + 1e-7, 4),
-            "expense_ratio_mean": F.round(F.col("expense_ratio_mean") + 1e-9, 6),
+            "income_sd": F.round("income_sd", 4),
+            "expense_ratio_mean": F.round("expense_ratio_mean", 6),
         }
     )
 
@@ -207,12 +211,17 @@ def score_histogram(book: Lending) -> DataFrame:
     return batch.withColumn("source", F.lit("batch")).unionByName(bureau.withColumn("source", F.lit("bureau")))
 
 
+def labelled_customers(book: Lending) -> DataFrame:
+    """Features of the customers that have a bureau score, labelled good from 670 on."""
+    states = book.states.where(F.col("score_held").isNotNull())
+    features = s.credit_features(s.credit_profiles(states), AS_OF)
+    return features.withColumn(t.LABEL, F.when(F.col("existing_credit_score") >= GOOD_SCORE, 1).otherwise(0))
+
+
 @query
 def training_data(book: Lending) -> DataFrame:
-    """One synthetic applicant per customer id."""
-    rounded = ["age", "monthly_income", "monthly_expenses", "current_balance", "expense_to_income_ratio",
-               "savings_rate", "existing_credit_score"]
-    return t.training_rows(book.customers).drop("good_credit_probability").withColumns(six(*rounded))
+    """The labelled rows a model is fitted on: features from the tables, label from the bureau."""
+    return labelled_customers(book).select("customer_id", *s.FEATURES, t.LABEL).withColumns(six(*s.FEATURES))
 
 
 @query
@@ -223,21 +232,31 @@ def label_probability(book: Lending) -> DataFrame:
     )
 
 
+def rated_customers(book: Lending) -> DataFrame:
+    """Label and scorecard score of every customer with a bureau score."""
+    return s.score_by_card(labelled_customers(book)).select(t.LABEL, "credit_score")
+
+
 @query
 def classification_report(book: Lending) -> DataFrame:
-    """How well the label rule alone predicts the labels of the held-out applicants."""
-    predicted = t.training_rows(book.customers).select(
-        t.LABEL,
-        F.when(F.col("good_credit_probability") >= 0.5, 1).otherwise(0).alias("prediction"),
-        (~t.in_training()).alias("held_out"),
-    )
-    return t.classification_report(predicted, t.LABEL, "prediction", F.col("held_out"))
+    """How well the pinned scorecard tells customers with a good bureau score from the others."""
+    good = F.when(F.col("credit_score") >= GOOD_SCORE, 1).otherwise(0)
+    return t.classification_report(rated_customers(book).withColumn("prediction", good), t.LABEL, "prediction")
+
+
+@query
+def model_auc(book: Lending) -> DataFrame:
+    """Area under the curve of the pinned scorecard, exact: scores are whole numbers, counted per score."""
+    return t.exact_auc(rated_customers(book), t.LABEL, "credit_score")
 
 
 @query
 def batch_scoring(book: Lending) -> DataFrame:
-    """Every customer scored by the model fitted on the synthetic applicants."""
-    model = t.session_model(book.spark.sparkContext.applicationId)
+    """Every customer scored by a model fitted on a bounded sample of the labelled customers."""
+    return score_with(book, t.fit(t.bounded(labelled_customers(book), "customer_id")))
+
+
+def score_with(book: Lending, model: PipelineModel) -> DataFrame:
     return t.predict(model, s.lending_features(book, AS_OF)).select(
         "customer_id",
         "customer",

@@ -14,15 +14,8 @@ from ledgerlane.sources.views import AS_OF, Lending
 
 
 def _audited(book: Lending) -> dict[str, DataFrame]:
-    """The tables to audit; those with a dirty variant are read in that form."""
-    campaigns = book.view("marketing_campaigns_raw").withColumn("campaign_name", F.lit("draft"))
-    return {
-        "customers": book.view("customers_raw"),
-        "kyc_kyb_data": book.kyc,
-        "marketing_campaigns": campaigns,
-        "customer_service": book.service,
-        "collections": book.collections,
-    }
+    """The tables to audit, in their form before any row is refused."""
+    return {t: book.view(f"{t}_raw") for t in DOMAINS}
 
 
 @query
@@ -49,7 +42,8 @@ def dq_unique_email(book: Lending) -> DataFrame:
 
 @query
 def dq_fk_orphans(book: Lending) -> DataFrame:
-    return q.orphan_keys({t: book.view(t) for t in CHILD_TABLES}, book.customers)
+    children = {t: book.statement_facts if t == "bank_statements" else book.view(f"{t}_raw") for t in CHILD_TABLES}
+    return q.orphan_keys(children, book.customers)
 
 
 @query

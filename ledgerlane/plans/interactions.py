@@ -16,6 +16,7 @@ from ledgerlane.sources.views import Lending
 
 @query
 def service_kpis(book: Lending) -> DataFrame:
+    """Totals of all interactions. Sentiment is averaged exactly over scores rounded to six decimals."""
     total, resolved = F.col("total_interactions"), F.col("resolved")
     return book.service.agg(
         F.count(F.lit(1)).alias("total_interactions"),
@@ -91,11 +92,7 @@ def parsed_sentiment(book: Lending) -> DataFrame:
 
 @query
 def service_prompts(book: Lending) -> DataFrame:
-    profiles = c360.customer_360(
-        book.customers,
-        book.kyc,
-        c360.latest_score(book.score_facts, book.score_owners),
-        c360.latest_statement(book.bank_statements),
-    )
+    """Prompts with the profile as context; all verification records are in ``customer_360_verifications``."""
+    profiles = c360.customer_360(book.states, book.kyc)
     said = F.coalesce("message", "subject") if "message" in book.service.columns else F.col("subject")
     return p.service_replies(book.service.select("id", "customer_id", said.alias("message")), profiles)

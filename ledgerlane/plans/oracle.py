@@ -6,8 +6,6 @@ their own, in plain windows and joins, and not derived from the DataFrame plans.
 
 from __future__ import annotations
 
-import math
-
 from ledgerlane.sources import dims
 from ledgerlane.sources.views import AS_OF, BUSINESS, PROJECTIONS
 
@@ -393,17 +391,18 @@ def _conversation_queries() -> dict[str, str]:
             SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS question_no,
               row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS newest_first
             FROM conversations WHERE role = 'user'""",
+        "onboarding_history": """
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, role, text AS content
+            FROM conversations""",
         "onboarding_messages": """
             WITH placed AS (
-              SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS n_messages,
-                string_agg(concat(role, ': ', text), chr(10)) OVER (
-                  PARTITION BY conv_id, turn // 16 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said
-              FROM conversations)
-            SELECT conv_id, turn, n_messages,
-              concat('system: You guide ', CASE WHEN conv_id % 3 = 0 THEN 'a business' ELSE 'an individual customer' END,
+              SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations)
+            SELECT conv_id, turn, position, position + 1 AS n_messages,
+              concat('You guide ', CASE WHEN conv_id % 3 = 0 THEN 'a business' ELSE 'an individual customer' END,
                 ' through identity checks of a European lender. For people ask for name, birth date, address, document,',
                 ' work and source of funds; for companies ask for registration, address, owners, activity and accounts.',
-                ' Follow GDPR and AML rules, ask one question at a time and say why.', chr(10), said) AS transcript
+                ' Follow GDPR and AML rules, ask one question at a time and say why.') AS system_prompt,
+              text AS user_message
             FROM placed WHERE role = 'user'""",
         "parsed_variations": f"""
             WITH replies AS (
@@ -426,32 +425,6 @@ def _conversation_queries() -> dict[str, str]:
 
 
 # Order of the draws; every four share one digest of (seed, block, id).
-DRAWS = (
-    "is_business business_factor expense_ratio has_overdrafts overdrafts has_returned returned_payments"
-    " gambling_transactions irregular_income country_risk label age/r age/a monthly_income/r monthly_income/a"
-    " current_balance/r current_balance/a existing_credit_score/r existing_credit_score/a"
-).split()
-
-
-def _uniform(name: str) -> str:
-    block, word = divmod(DRAWS.index(name), 4)
-    digest = f"md5(concat('42:{block}:', CAST(id AS VARCHAR)))"
-    return f"((('0x' || substr({digest}, {1 + 8 * word}, 8))::BIGINT + 0.5e0) / 4294967296.0e0)"
-
-
-def _normal(name: str) -> str:
-    return f"(sqrt(-2.0e0 * ln({_uniform(name + '/r')})) * cos({real(2.0 * math.pi)} * {_uniform(name + '/a')}))"
-
-
-def _poisson(name: str, rate: float) -> str:
-    term, total, whens = math.exp(-rate), 0.0, []
-    for k in range(12):
-        total += term
-        whens.append(f"WHEN {_uniform(name)} < {real(total)} THEN {k}")
-        term *= rate / (k + 1)
-    return f"(CASE {' '.join(whens)} ELSE 12 END)"
-
-
 PENALISED = """greatest(0.05e0, least(0.95e0, 0.8e0
     - CASE WHEN expense_to_income_ratio > 0.9e0 THEN 0.3e0 ELSE 0.0e0 END
     - CASE WHEN savings_rate < 0.1e0 THEN 0.2e0 ELSE 0.0e0 END
@@ -462,49 +435,12 @@ PENALISED = """greatest(0.05e0, least(0.95e0, 0.8e0
     - CASE WHEN existing_credit_score < 600 THEN 0.3e0 ELSE 0.0e0 END
     - CASE WHEN country_risk > 0.2e0 THEN 0.1e0 ELSE 0.0e0 END))"""
 
-APPLICANTS = f"""
-drawn AS (
-  SELECT id, greatest(18.0e0, least(80.0e0, 40.0e0 + 12.0e0 * {_normal('age')})) AS age,
-    CASE WHEN {_uniform('is_business')} < 0.7e0 THEN 0 ELSE 1 END AS is_business FROM customers),
-based AS (
-  SELECT *, (2000.0e0 + (age - 25.0e0) * 50.0e0)
-    * CASE WHEN is_business = 1 THEN 1.5e0 + 1.5e0 * {_uniform('business_factor')} ELSE 1.0e0 END AS base FROM drawn),
-earning AS (
-  SELECT *, greatest(1000.0e0, base + base * 0.3e0 * {_normal('monthly_income')}) AS monthly_income FROM based),
-spending AS (
-  SELECT *, monthly_income * (0.5e0 + 0.45e0 * {_uniform('expense_ratio')}) AS monthly_expenses FROM earning),
-applicants AS (
-  SELECT id, age, is_business, monthly_income, monthly_expenses,
-    greatest(0.0e0, monthly_income * 2.0e0 + monthly_income * 0.5e0 * {_normal('current_balance')}) AS current_balance,
-    monthly_expenses / monthly_income AS expense_to_income_ratio,
-    (monthly_income - monthly_expenses) / monthly_income AS savings_rate,
-    CASE WHEN {_uniform('has_overdrafts')} < 0.3e0 THEN {_poisson('overdrafts', 1.0)} ELSE 0 END AS overdrafts,
-    CASE WHEN {_uniform('has_returned')} < 0.2e0 THEN {_poisson('returned_payments', 0.5)} ELSE 0 END AS returned_payments,
-    CASE WHEN {_uniform('gambling_transactions')} < 0.1e0 THEN 1 ELSE 0 END AS gambling_transactions,
-    CASE WHEN {_uniform('irregular_income')} < 0.15e0 THEN 1 ELSE 0 END AS irregular_income,
-    greatest(300.0e0, least(850.0e0, 700.0e0 + 80.0e0 * {_normal('existing_credit_score')})) AS existing_credit_score,
-    CASE WHEN {_uniform('country_risk')} < 0.1e0 THEN 0.05e0 WHEN {_uniform('country_risk')} < 0.3e0 THEN 0.1e0
-      WHEN {_uniform('country_risk')} < 0.5e0 THEN 0.15e0 WHEN {_uniform('country_risk')} < 0.7e0 THEN 0.2e0
-      WHEN {_uniform('country_risk')} < 0.9e0 THEN 0.25e0 ELSE 0.3e0 END AS country_risk
-  FROM spending),
-labelled AS (
-  SELECT *, {PENALISED} AS p FROM applicants),
-training AS (
-  SELECT *, CASE WHEN {_uniform('label')} < p THEN 1 ELSE 0 END AS is_good_credit FROM labelled)"""
-
-
 def _credit_queries() -> dict[str, str]:
     statements = ("bank_statements",)
     risk = (
         "overdrafts * 2 + returned_payments * 3 + CASE WHEN gambling_transactions THEN 5 ELSE 0 END"
         " + CASE WHEN irregular_income THEN 3 ELSE 0 END"
     )
-    training = [
-        "id", "is_business", "overdrafts", "returned_payments", "gambling_transactions", "irregular_income",
-        "country_risk", "is_good_credit",
-        *[f"round({c}, 6) AS {c}" for c in ("age", "monthly_income", "monthly_expenses", "current_balance",
-          "expense_to_income_ratio", "savings_rate", "existing_credit_score")],
-    ]
     features = ", ".join(["customer_id", *FEATURE_NAMES])
     histogram = """
         SELECT CAST(least(floor(({score} - 300) / 27.5e0), 19) AS INT) AS bin,
@@ -545,20 +481,30 @@ def _credit_queries() -> dict[str, str]:
               CAST(b.statement_date AS VARCHAR) AS statement_date, b.monthly_income, b.monthly_expenses
             FROM customers c LEFT JOIN latest_scores s ON s.customer_id = c.id
             LEFT JOIN latest_statements b ON b.customer_id = c.id""", LATEST_SCORE, LATEST_STATEMENT),
+        "customer_360_verifications": over((*FEATURE_VIEWS, "kyc_kyb_data"), """
+            SELECT c.id AS customer_id, c.customer_type, k.id AS kyc_id, k.verification_type, k.verification_status,
+              k.risk_score, CAST(k.created_at AS VARCHAR) AS kyc_created_at, s.score,
+              CAST(s.score_date AS VARCHAR) AS score_date, CAST(b.statement_date AS VARCHAR) AS statement_date, b.monthly_income
+            FROM customers c LEFT JOIN kyc_kyb_data k ON k.customer_id = c.id
+            LEFT JOIN latest_scores s ON s.customer_id = c.id
+            LEFT JOIN latest_statements b ON b.customer_id = c.id""", LATEST_SCORE, LATEST_STATEMENT),
         "country_risk": over(("customers",), """
             SELECT c.id, c.country, coalesce(r.risk, 0.2e0) AS country_risk FROM customers c
             LEFT JOIN (VALUES ('Germany', 0.1e0), ('France', 0.15e0), ('Italy', 0.2e0), ('Spain', 0.25e0),
               ('Poland', 0.3e0), ('Netherlands', 0.05e0)) r(country, risk) ON r.country = c.country"""),
         "statement_trends": over(statements, """
             , cents AS (
-              SELECT *, CAST(monthly_income AS DECIMAL(18,4)) AS i, CAST(monthly_expenses AS DECIMAL(18,4)) AS e
+              SELECT *, CAST(monthly_income AS DECIMAL(18,4)) AS i, CAST(monthly_expenses AS DECIMAL(18,4)) AS e,
+                CAST(round(monthly_income * 10000) AS HUGEINT) AS t
               FROM bank_statements)
             SELECT customer_id, CAST(statement_date AS VARCHAR) AS statement_date, CAST(i - e AS DOUBLE) AS net_flow,
               CAST((i - e) - lag(i - e) OVER (PARTITION BY customer_id ORDER BY statement_date) AS DOUBLE) AS net_change,
               count(*) OVER w AS months, CAST(sum(i) OVER w AS DOUBLE) / count(*) OVER w AS income_mean,
-              round(stddev_pop(monthly_income) OVER w + 1e-7, 4) AS income_sd,
-              round(avg(CASE WHEN monthly_income > 0 THEN monthly_expenses / monthly_income ELSE 1.0e0 END) OVER w + 1e-9, 6)
-                AS expense_ratio_mean
+              round(sqrt(CAST(CAST(sum(t * t) OVER w AS HUGEINT) * count(*) OVER w
+                - CAST(sum(t) OVER w AS HUGEINT) * CAST(sum(t) OVER w AS HUGEINT) AS DOUBLE)) / count(*) OVER w / 10000, 4)
+                AS income_sd,
+              round(CAST(sum(CAST(CASE WHEN monthly_income > 0 THEN monthly_expenses / monthly_income ELSE 1.0e0 END
+                AS DECIMAL(20,12))) OVER w AS DOUBLE) / count(*) OVER w, 6) AS expense_ratio_mean
             FROM cents WINDOW w AS (PARTITION BY customer_id)""").replace("\n, cents", ", cents"),
         "statement_risk": over(statements, f"""
             , flags AS (
@@ -619,24 +565,36 @@ def _credit_queries() -> dict[str, str]:
             + " UNION ALL "
             + histogram.format(score="score", source="bureau", table="credit_scores"),
             *SCORE_PARTS),
-        "training_data": over(("customers",), f"SELECT {', '.join(training)} FROM training", APPLICANTS),
+        "training_data": over(FEATURE_VIEWS, f"""
+            SELECT customer_id, {', '.join(f'round({c}, 6) AS {c}' for c in FEATURE_NAMES)},
+              CASE WHEN k.score >= 670 THEN 1 ELSE 0 END AS is_good_credit
+            FROM features JOIN latest_scores k USING (customer_id)""", *FEATURE_PARTS),
         "label_probability": over(FEATURE_VIEWS, f"""
             SELECT customer_id, round({PENALISED}, 6) AS good_credit_probability FROM features""", *FEATURE_PARTS),
-        "classification_report": over(("customers",), f"""
-            , held_out AS (
-              SELECT is_good_credit AS y, CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END AS g FROM training
-              WHERE NOT ((('0x' || substr(md5(concat('42:split:', is_good_credit, ':', id)), 1, 8))::BIGINT + 0.5e0)
-                / 4294967296.0e0 < 0.8e0)),
+        "classification_report": over(FEATURE_VIEWS, """
+            , rated AS (
+              SELECT CASE WHEN k.score >= 670 THEN 1 ELSE 0 END AS y, CASE WHEN credit_score >= 670 THEN 1 ELSE 0 END AS g
+              FROM scored JOIN latest_scores k USING (customer_id)),
             cells AS (
               SELECT k.label, count(*) FILTER (y = k.label AND g = k.label) AS hits,
                 count(*) FILTER (g = k.label) AS predicted, count(*) FILTER (y = k.label) AS support
-              FROM held_out, (VALUES (0), (1)) k(label) GROUP BY k.label),
+              FROM rated, (VALUES (0), (1)) k(label) GROUP BY k.label),
             rates AS (
               SELECT label, support, CASE WHEN predicted > 0 THEN CAST(hits AS DOUBLE) / predicted ELSE 0 END AS precision,
                 CASE WHEN support > 0 THEN CAST(hits AS DOUBLE) / support ELSE 0 END AS recall FROM cells)
             SELECT label, precision, recall,
               CASE WHEN precision + recall > 0 THEN precision * recall * 2.0e0 / (precision + recall) ELSE 0 END AS f1,
-              CAST(support AS BIGINT) AS support FROM rates""", APPLICANTS).replace("\n, held_out", ", held_out"),
+              CAST(support AS BIGINT) AS support FROM rates""", *SCORE_PARTS).replace("\n, rated", ", rated"),
+        "model_auc": over(FEATURE_VIEWS, """
+            , rated AS (
+              SELECT k.score >= 670 AS y, credit_score FROM scored JOIN latest_scores k USING (customer_id)),
+            ranked AS (
+              SELECT y, (rank() OVER (ORDER BY credit_score) + rank() OVER (ORDER BY credit_score)
+                + count(*) OVER (PARTITION BY credit_score) - 1) AS twice FROM rated)
+            SELECT count(*) FILTER (y) AS n_good, count(*) FILTER (NOT y) AS n_bad,
+              round((CAST(sum(twice) FILTER (y) AS DOUBLE) / 2 - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2)
+                / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS auc
+            FROM ranked""", *SCORE_PARTS).replace("\n, rated", ", rated"),
     }
 
 
@@ -722,10 +680,16 @@ def _campaign_queries() -> dict[str, str]:
               FROM tokens k LEFT JOIN picks p ON p.request_id = k.request_id AND concat('{', p.var, '}') = k.token
               GROUP BY k.request_id)
             SELECT r.request_id, t.category_name, t.title, f.prompt,
+              (SELECT string_agg(concat(p.var, '=', p.value), '; ' ORDER BY p.var) FROM picks p
+                WHERE p.request_id = r.request_id) AS variables_used,
               CASE WHEN r.category NOT IN (SELECT category FROM templates) THEN 'Category not found'
                 WHEN t.title IS NULL THEN 'Template not found' END AS error
             FROM requests r LEFT JOIN templates t ON t.category = r.category AND t.template_index = r.template_index
             LEFT JOIN filled f ON f.request_id = r.request_id""", REQUESTS, _templates()).replace("\n, picks", ", picks"),
+        "template_options": over(campaigns, """
+            SELECT o.category, o.template_index, o.var AS variable, o.option_index, o.option,
+              (SELECT count(*) FROM requests r WHERE r.category = o.category AND r.template_index = o.template_index)
+                AS n_requests FROM options o""", REQUESTS, _templates()),
         "template_combinations": over(campaigns, """
             SELECT category, template_index, title, n_variables, CAST(pow(5, n_variables) AS BIGINT) AS n_combinations,
               (SELECT count(*) FROM requests r WHERE r.category = t.category AND r.template_index = t.template_index)
@@ -765,7 +729,7 @@ def _campaign_queries() -> dict[str, str]:
             UNION ALL SELECT customer_id, 'statement', concat('You analyse bank statements for lending. Judge income',
                 ' stability, spending, risk signs and cash flow; give a risk score from 1 (lowest) to 10 and a recommendation.'),
               concat('Assess this statement: ', statement_data, chr(10), 'Indicators: ', risk_indicators),
-              'gpt-4', 0.3e0, 800 FROM latest_statements""", LATEST_STATEMENT).replace("\n, asked", ", asked"),
+              'gpt-4', 0.3e0, 800 FROM bank_statements""").replace("\n, asked", ", asked"),
     }
 
 
@@ -782,35 +746,39 @@ def _integrity_queries() -> dict[str, str]:
     children = ("kyc_kyb_data", "credit_scores", "bank_statements", "customer_service", "collections")
     return {
         "dq_enum_domain": over(
-            ("customers_raw", "kyc_kyb_data", "marketing_campaigns_raw", "customer_service", "collections"),
+            ("customers_raw", "kyc_kyb_data_raw", "marketing_campaigns_raw", "customer_service_raw", "collections_raw"),
             " UNION ALL ".join([
                 enum("customers", "customers_raw", "customer_type", "'individual', 'business'"),
-                enum("kyc_kyb_data", "kyc_kyb_data", "verification_type", "'kyc', 'kyb'"),
-                enum("kyc_kyb_data", "kyc_kyb_data", "verification_status", "'pending', 'approved', 'rejected'"),
+                enum("kyc_kyb_data", "kyc_kyb_data_raw", "verification_type", "'kyc', 'kyb'"),
+                enum("kyc_kyb_data", "kyc_kyb_data_raw", "verification_status", "'pending', 'approved', 'rejected'"),
                 enum("marketing_campaigns", "marketing_campaigns_raw", "channel", "'email', 'sms', 'social_media', 'web'"),
                 enum("marketing_campaigns", "marketing_campaigns_raw", "status", "'draft', 'active', 'paused', 'completed'"),
-                enum("customer_service", "customer_service", "interaction_type", "'chat', 'email', 'phone'"),
-                enum("customer_service", "customer_service", "resolution_status", "'open', 'in_progress', 'resolved', 'closed'"),
-                enum("customer_service", "customer_service", "priority", "'low', 'medium', 'high', 'urgent'"),
-                enum("collections", "collections", "collection_stage", "'early', 'mid', 'late', 'legal'"),
+                enum("customer_service", "customer_service_raw", "interaction_type", "'chat', 'email', 'phone'"),
+                enum("customer_service", "customer_service_raw", "resolution_status", "'open', 'in_progress', 'resolved', 'closed'"),
+                enum("customer_service", "customer_service_raw", "priority", "'low', 'medium', 'high', 'urgent'"),
+                enum("collections", "collections_raw", "collection_stage", "'early', 'mid', 'late', 'legal'"),
             ])),
         "dq_not_null": over(
-            ("customers_raw", "kyc_kyb_data", "marketing_campaigns", "marketing_campaigns_raw", "customer_service"),
+            ("customers_raw", "kyc_kyb_data_raw", "marketing_campaigns_raw", "customer_service_raw"),
             " UNION ALL ".join([
                 null("customers", "customers_raw", "customer_type"), null("customers", "customers_raw", "email"),
-                null("kyc_kyb_data", "kyc_kyb_data", "verification_type"),
-                null("marketing_campaigns", "marketing_campaigns", "campaign_name"),
+                null("kyc_kyb_data", "kyc_kyb_data_raw", "verification_type"),
+                null("marketing_campaigns", "marketing_campaigns_raw", "campaign_name"),
                 null("marketing_campaigns", "marketing_campaigns_raw", "channel"),
-                null("customer_service", "customer_service", "interaction_type"),
+                null("customer_service", "customer_service_raw", "interaction_type"),
             ])),
         "dq_score_range": over(("credit_scores_raw",), """
             SELECT id, customer_id, score FROM credit_scores_raw WHERE score < 300 OR score > 850"""),
         "dq_unique_email": over(("customers_raw",), """
             SELECT email, count(*) AS n_rows FROM customers_raw WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1"""),
-        "dq_fk_orphans": over((*children, "customers"), " UNION ALL ".join(
+        "dq_fk_orphans": over((*[f"{t}_raw" for t in children if t != "bank_statements"], "customers"), " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(f.customer_id) FILTER (c.id IS NULL) AS n_orphans,"
             f" count(DISTINCT f.customer_id) FILTER (c.id IS NULL) AS n_orphan_keys"
-            f" FROM {t} f LEFT JOIN customers c ON c.id = f.customer_id" for t in children)),
+            f" FROM {source} f LEFT JOIN customers c ON c.id = f.customer_id" for t, source in [
+                *[(t, f"{t}_raw") for t in children if t != "bank_statements"],
+                ("bank_statements", """(SELECT DISTINCT CASE WHEN o_custkey % 59 = 0 THEN -o_custkey ELSE o_custkey END
+                  AS customer_id, date_trunc('month', o_orderdate) AS m FROM orders)"""),
+            ])),
         "ingest_defaults": over(("kyc_kyb_data", "marketing_campaigns_raw", "customer_service", "collections"), """
             SELECT 'kyc_kyb_data' AS table_name, 'verification_status' AS column_name, 'pending' AS value,
               true AS stamped, count(*) AS n FROM kyc_kyb_data

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -27,7 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only on a single machine without it."""
+    """Use the shared checkpoint folder of the session; a local master without one gets a folder per application."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -35,5 +33,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="ledgerlane-checkpoint-")
+        # one machine, one folder: driver and executors share it
+        shared = f"/tmp/checkpoints/{context.applicationId}"
     context.setCheckpointDir(shared)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlane.sources.schemas import DDL, table_schema
 
@@ -33,23 +34,40 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def column_profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
     """Rows, NULLs and distinct values per column, from one scan.
 
-    Exact distinct counts send every distinct value of every column over the network
-    once; ``approximate`` keeps a fixed-size sketch per column instead.
+    For exact counts a row becomes one (column, value) row per column, which each task reduces
+    to its different values before anything moves; values travel as digests where they are text.
+    ``approximate`` keeps a fixed-size sketch per column instead.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(
-        *[
-            F.struct(
-                F.count(F.lit(1)).alias("n_rows"),
-                F.count_if(F.col(c).isNull()).alias("n_null"),
-                distinct(F.col(c)).alias("n_distinct"),
-            ).alias(c)
-            for c in df.columns
-        ]
-    )
-    return row.unpivot([], df.columns, "column_name", "p").select(
-        F.lit(table).alias("table_name"), "column_name", "p.n_rows", "p.n_null", "p.n_distinct"
-    )
+    if approximate:
+        row = df.agg(
+            *[
+                F.struct(
+                    F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if(F.col(c).isNull()).alias("n_null"),
+                    F.approx_count_distinct(F.col(c)).alias("n_distinct"),
+                ).alias(c)
+                for c in df.columns
+            ]
+        )
+        return row.unpivot([], df.columns, "column_name", "p").select(
+            F.lit(table).alias("table_name"), "column_name", "p.n_rows", "p.n_null", "p.n_distinct"
+        )
+    kinds = {f.name: f.dataType for f in df.schema}
+    held = [
+        F.when(F.length(c) > 32, F.md5(c)).otherwise(F.col(c)).alias(c)
+        if isinstance(kinds[c], T.StringType) else F.col(c).cast("string").alias(c)
+        for c in df.columns
+    ]
+    values = df.select(*held).unpivot([], df.columns, "column_name", "value")
+    reduced = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    # a table without rows still has columns
+    empty = [(c, None, 0) for c in df.columns]
+    reduced = reduced.union(df.sparkSession.createDataFrame(empty, "column_name string, value string, n bigint"))
+    return reduced.groupBy("column_name").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+        F.count("value").alias("n_distinct"),
+    ).select(F.lit(table).alias("table_name"), "column_name", "n_rows", "n_null", "n_distinct")
 
 
 def column_profiles(tables: dict[str, DataFrame], approximate: bool = False) -> DataFrame:

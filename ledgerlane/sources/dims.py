@@ -179,7 +179,8 @@ OPTION_POOLS = [
         ["new graduates", "shop owners", "freelancers", "parents", "commuters"],
     ),
     (["rate", "down_payment"], ["3.5", "4", "4.5", "5", "5.5"]),
-    (["approval_time", "years_experience"], ["two", "ten", "twenty", "thirty", "forty"]),
+    (["approval_time"], ["two-day", "same-day", "one-week", "48-hour", "overnight"]),
+    (["years_experience"], ["two", "ten", "twenty", "thirty", "forty"]),
     (["loan_amount"], ["€5,000", "€20,000", "€80,000", "€300,000", "€1,000,000"]),
     (
         ["benefit1", "key_feature", "loan_feature", "support_feature", "refinance_feature", "technology_feature",
@@ -195,7 +196,8 @@ OPTION_POOLS = [
         ["cta_action", "action_benefit", "growth_goal", "outcome", "customer_benefit"],
         ["apply by phone", "plan ahead", "hire staff", "cut costs", "open a second site"],
     ),
-    (["social_proof", "market_position"], ["a neighbour", "a test winner", "a good employer", "a pioneer", "a partner"]),
+    (["social_proof"], ["reviews by neighbours", "a test award", "stories of borrowers", "press notes", "a user vote"]),
+    (["market_position"], ["a regional lender", "a test winner", "an online bank", "a pioneer", "a family bank"]),
     (
         ["repayment_terms", "savings_benefit", "promotional_offer", "rewards_structure"],
         ["a lower instalment", "a month free", "one percent back", "no closing fee", "a shorter term"],

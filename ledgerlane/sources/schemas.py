@@ -70,6 +70,9 @@ REQUIRED = {
     "customer_service": ["interaction_type"],
 }
 
+# Columns whose values may come once only, besides the id.
+UNIQUE = {"customers": ["email"]}
+
 # Defaults for columns that the input leaves out.
 DEFAULTS = {
     "kyc_kyb_data": {"verification_status": "pending"},

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlane.operators import quality
-from ledgerlane.sources.schemas import DOMAINS, REQUIRED, SCORE_RANGE, conform
+from ledgerlane.sources.schemas import DDL, DOMAINS, REQUIRED, SCORE_RANGE, UNIQUE, conform
 
 
 def violations(df: DataFrame, table: str) -> Column:
@@ -21,6 +23,16 @@ def violations(df: DataFrame, table: str) -> Column:
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
+def stored_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows below a path, or None if nothing is there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def prepare_rows(df: DataFrame, table: str, after: int = 0, now: Column | None = None) -> DataFrame:
     """Defaults, ids where they are missing, and the declared column order."""
     filled = quality.apply_defaults(df, table, now)
@@ -29,19 +41,40 @@ def prepare_rows(df: DataFrame, table: str, after: int = 0, now: Column | None =
     return conform(filled, table)
 
 
-def append_rows(df: DataFrame, table: str, path: str, after: int = 0, now: Column | None = None) -> None:
+def refuse_repeats(rows: DataFrame, held: DataFrame | None, table: str, column: str) -> None:
+    """Raise if a value of ``column`` comes twice, within the new rows or against the table. Nulls do not clash."""
+    values = rows.where(F.col(column).isNotNull()).select(column)
+    clashes = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
+    if held is not None:
+        clashes = clashes.union(values.join(held.select(column), column, "left_semi"))
+    first = clashes.take(1)
+    if first:
+        raise ValueError(f"{table}: {column} {first[0][0]!r} is held already")
+
+
+def append_rows(df: DataFrame, table: str, path: str, now: Column | None = None) -> None:
     """Append rows in the declared shape. One bad row fails the job, as a constraint would.
 
-    The check runs inside the write: the failing row stops its task and the commit
-    protocol leaves the table as it was.
+    Missing ids go on from the largest one stored, given ones and unique columns must be
+    new. The check of single rows runs inside the write: the failing row stops its task and
+    the commit protocol leaves the table as it was.
     """
+    spark = df.sparkSession
+    target = current_path(spark, path)
+    held = stored_rows(spark, target, conform(spark.createDataFrame([], DDL[table]), table).schema)
+    given = "id" in df.columns
+    after = 0
+    if held is not None and not given:
+        after = held.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = prepare_rows(df, table, after, now)
+    for column in [*(["id"] if given else []), *UNIQUE.get(table, [])]:
+        refuse_repeats(rows, held, table, column)
     broken = violations(rows, table)
     checked = rows.where(
         F.when(F.size(broken) > 0, F.raise_error(F.concat(F.lit(f"{table}: "), F.array_join(broken, ", "))).cast("boolean"))
         .otherwise(F.lit(True))
     )
-    checked.write.mode("append").parquet(path)
+    checked.write.mode("append").parquet(target)
 
 
 def campaign_drafts(requests: DataFrame, start_date: Column) -> DataFrame:
@@ -90,15 +123,30 @@ def apply_email_updates(collections: DataFrame, updates: DataFrame, now: Column)
     )
 
 
-def swap_table(df: DataFrame, name: str, path: str) -> DataFrame:
-    """Write a changed table to a new path, then point its view there.
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a table; a version that failed half way has no success mark."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/*/_SUCCESS")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are: its newest version, or its own folder as long as it has none."""
+    numbers = _versions(spark, path)
+    return f"{path}/_versions/{numbers[-1]}" if numbers else path
+
+
+def swap_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a changed table as its next version; readers that open it from then on see it.
 
-    The old files stay readable for queries that already run on them.
+    Versions lie below the table's folder under a name that readers of the folder skip, so
+    the old files stay readable for queries that already run on them.
     """
-    df.write.mode("errorifexists").parquet(path)
-    fresh = df.sparkSession.read.parquet(path)
-    fresh.createOrReplaceTempView(name)
-    return fresh
+    spark = df.sparkSession
+    numbers = _versions(spark, path)
+    target = f"{path}/_versions/{numbers[-1] + 1 if numbers else 1}"
+    df.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.sources.schemas import DDL
+from ledgerlane.sources.sinks import current_path
 
 TABLES = (
     "customers",
@@ -128,21 +129,54 @@ PROJECTIONS: dict[str, tuple[str, list[str], str | None]] = {
         "orders",
         [
             "o_orderkey AS id",
-            "o_custkey AS customer_id",
+            "CASE WHEN o_orderkey % 61 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id",
             "CASE WHEN o_orderkey % 53 = 0 THEN 900 WHEN o_orderkey % 59 = 0 THEN 299"
             " ELSE CAST(300 + (o_orderkey * 7919 + o_custkey) % 551 AS INT) END AS score",
         ],
         None,
     ),
+    "kyc_kyb_data_raw": (
+        "customer",
+        [
+            "c_custkey AS id",
+            "CASE WHEN c_custkey % 61 = 0 THEN -c_custkey ELSE c_custkey END AS customer_id",
+            "CASE WHEN c_custkey % 67 = 0 THEN 'kyx' WHEN c_custkey % 71 = 0 THEN NULL"
+            f" WHEN {BUSINESS} THEN 'kyb' ELSE 'kyc' END AS verification_type",
+            "CASE WHEN c_custkey % 73 = 0 THEN 'lost' WHEN c_custkey % 10 < 3 THEN 'pending' ELSE 'approved' END"
+            " AS verification_status",
+        ],
+        None,
+    ),
     "marketing_campaigns_raw": (
         "part",
         [
             "p_partkey AS id",
-            "CASE WHEN p_partkey % 37 = 0 THEN 'multi-channel' ELSE 'email' END AS channel",
-            "CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE 'draft' END AS status",
+            "CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE p_name END AS campaign_name",
+            "CASE WHEN p_partkey % 37 = 0 THEN 'multi-channel' WHEN p_partkey % 41 = 0 THEN NULL ELSE 'email' END AS channel",
+            "CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 43 = 0 THEN 'archived' ELSE 'draft' END AS status",
         ],
         None,
     ),
+    "customer_service_raw": (
+        "events",
+        [
+            "event_id AS id",
+            "CASE WHEN event_id % 97 = 0 THEN -1 WHEN event_id % 89 = 0 THEN NULL ELSE user_id END AS customer_id",
+            "CASE WHEN event_id % 101 = 0 THEN 'fax' WHEN event_id % 103 = 0 THEN NULL ELSE 'chat' END AS interaction_type",
+            "CASE WHEN event_id % 107 = 0 THEN 'lost' ELSE 'open' END AS resolution_status",
+            "CASE WHEN event_id % 109 = 0 THEN 'none' ELSE 'low' END AS priority",
+        ],
+        None,
+    ),
+    "collections_raw": (
+        "orders",
+        [
+            "o_orderkey AS id",
+            "CASE WHEN o_orderkey % 47 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id",
+            "CASE WHEN o_orderkey % 43 = 0 THEN 'closed' ELSE 'early' END AS collection_stage",
+        ],
+        "o_orderstatus = 'P'",
+    ),
 }
 
 
@@ -233,16 +267,12 @@ class Lending:
         )
 
     @cached_property
-    def bank_statements(self) -> DataFrame:
-        """One row per customer and month.
-
-        The orders are summed to (customer, month) before they meet the customer
-        table, so the join moves at most one row per month for any customer.
-        """
+    def order_months(self) -> DataFrame:
+        """All that is told per customer and month by one pass over the orders: sums of the statement, newest score."""
         price = cents("o_totalprice")
-        monthly = (
+        score = F.expr("CAST(300 + (o_orderkey * 7919 + o_custkey) % 551 AS INT)")
+        return (
             self.raw("orders")
-            .where("o_custkey % 11 <> 0")
             .groupBy(
                 F.col("o_custkey").alias("customer_id"),
                 F.trunc(F.col("o_orderdate").cast("date"), "month").alias("statement_date"),
@@ -255,35 +285,81 @@ class Lending:
                 F.count_if(F.col("o_orderstatus") == "P").alias("returned"),
                 F.min(F.col("o_orderkey") % 10).alias("min_tenth"),
                 F.max(F.col("o_orderkey") % 4).alias("max_fourth"),
+                F.max(
+                    F.struct(F.col("o_orderdate").cast("date").alias("score_date"), F.col("o_orderkey").alias("id"), score.alias("score"))
+                ).alias("newest_score"),
             )
-        )
-        owners = self.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"))
-        day = F.col("statement_date").cast("string")
-        salary = (F.col("salary") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
-        return monthly.join(owners, "customer_id").select(
-            "customer_id",
-            "statement_date",
-            "balance",
-            F.when(F.col("customer_id") % 13 == 0, 0.0)
-            .otherwise(F.col("salary").cast("double") / 100)
-            .alias("monthly_income"),
-            (F.col("expenses").cast("double") / 100 / 100).alias("monthly_expenses"),
-            "transaction_count",
-            F.concat(
-                F.lit('{"transactions": [{"date": "'), day,
-                F.lit('", "description": "Salary", "amount": '), salary,
-                F.lit('}, {"date": "'), day,
-                F.lit('", "description": "Rent", "amount": -1200}]}'),
-            ).alias("statement_data"),
-            F.concat(
-                F.lit('{"overdrafts": '), F.col("overdrafts").cast("string"),
-                F.lit(', "returned_payments": '), F.col("returned").cast("string"),
-                F.lit(', "gambling_transactions": '), F.when(F.col("min_tenth") == 0, "true").otherwise("false"),
-                F.lit(', "irregular_income": '), F.when(F.col("max_fourth") == 3, "true").otherwise("false"),
-                F.lit("}"),
-            ).alias("risk_indicators"),
         )
 
+    @cached_property
+    def bank_statements(self) -> DataFrame:
+        """One row per customer and month.
+
+        The orders are summed to (customer, month) before they meet the customer
+        table, so the join moves at most one row per month for any customer.
+        """
+        owners = self.raw("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"))
+        monthly = self.order_months.where(HAS_STATEMENTS).drop("newest_score")
+        return monthly.join(owners, "customer_id").select("customer_id", *statement_columns())
+
+    @cached_property
+    def statement_facts(self) -> DataFrame:
+        """Customer and month of every statement before the check of its owner, some keys spoiled for the audit."""
+        owner = F.when(F.col("customer_id") % 59 == 0, -F.col("customer_id")).otherwise(F.col("customer_id"))
+        return self.order_months.select(owner.alias("customer_id"), "statement_date")
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """Every customer with the newest score and the newest statement, from one scan of orders and one of customer.
+
+        Null structs stand for customers without; scores count for individuals only.
+        """
+        parts = [c for c in self.order_months.columns if c not in ("customer_id", "newest_score")]
+        newest = self.order_months.groupBy("customer_id").agg(
+            F.max("newest_score").alias("s"), F.max(F.when(F.expr(HAS_STATEMENTS), F.struct(*parts))).alias("m")
+        )
+        columns = [c for c in PROJECTIONS["customers"][1] if c != "c_custkey AS id"]
+        base = self.raw("customer").selectExpr("c_custkey AS customer_id", *columns, "c_acctbal AS account_balance")
+        joined = base.join(newest, "customer_id", "left")
+        flat = joined.select("*", *[F.col(f"m.{c}").alias(c) for c in parts], F.col("account_balance").alias("balance"))
+        statement = F.struct(*statement_columns())
+        return flat.select(
+            *base.drop("account_balance").columns,
+            F.when(F.col("customer_type") == "individual", F.struct("s.id", "s.score", "s.score_date"))
+            .otherwise(F.lit(None)).alias("score_held"),
+            F.when(F.col("m").isNotNull(), statement).alias("statement_held"),
+        ).withColumn("score_held", F.when(F.col("score_held.id").isNotNull(), F.col("score_held")))
+
+
+#: Customers with a number divisible by eleven have no statements.
+HAS_STATEMENTS = "customer_id % 11 <> 0"
+
+
+def statement_columns() -> list[Column]:
+    """The columns of a statement from the sums of a month and the customer's balance."""
+    day = F.col("statement_date").cast("string")
+    salary = (F.col("salary") * F.lit("0.01").cast("decimal(2,2)")).cast("string")
+    return [
+        F.col("statement_date"),
+        F.col("balance"),
+        F.when(F.col("customer_id") % 13 == 0, 0.0).otherwise(F.col("salary").cast("double") / 100).alias("monthly_income"),
+        (F.col("expenses").cast("double") / 100 / 100).alias("monthly_expenses"),
+        F.col("transaction_count"),
+        F.concat(
+            F.lit('{"transactions": [{"date": "'), day,
+            F.lit('", "description": "Salary", "amount": '), salary,
+            F.lit('}, {"date": "'), day,
+            F.lit('", "description": "Rent", "amount": -1200}]}'),
+        ).alias("statement_data"),
+        F.concat(
+            F.lit('{"overdrafts": '), F.col("overdrafts").cast("string"),
+            F.lit(', "returned_payments": '), F.col("returned").cast("string"),
+            F.lit(', "gambling_transactions": '), F.when(F.col("min_tenth") == 0, "true").otherwise("false"),
+            F.lit(', "irregular_income": '), F.when(F.col("max_fourth") == 3, "true").otherwise("false"),
+            F.lit("}"),
+        ).alias("risk_indicators"),
+    ]
+
 
 @dataclass(frozen=True)
 class StoredLending(Lending):
@@ -292,7 +368,7 @@ class StoredLending(Lending):
     def raw(self, table: str) -> DataFrame:
         if table not in self._opened:
             reader = self.spark.read.schema(DDL[table]) if table in DDL else self.spark.read
-            self._opened[table] = reader.parquet(f"{self.root}/{table}")
+            self._opened[table] = reader.parquet(current_path(self.spark, f"{self.root}/{table}"))
         return self._opened[table]
 
     def view(self, name: str) -> DataFrame:
@@ -314,6 +390,16 @@ class StoredLending(Lending):
     def bank_statements(self) -> DataFrame:
         return self.view("bank_statements")
 
+    @cached_property
+    def statement_facts(self) -> DataFrame:
+        return self.bank_statements
+
+    @cached_property
+    def states(self) -> DataFrame:
+        from ledgerlane.operators import customer360 as c360
+
+        return c360.with_states(self.customers, c360.latest_score(self.score_facts), c360.latest_statement(self.bank_statements))
+
 
 def register_views(lending: Lending) -> Lending:
     """Register the seven tables as temporary views, for SQL written by hand."""

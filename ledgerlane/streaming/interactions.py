@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlane.functions import exprs as x
 from ledgerlane.functions import text as tx
 from ledgerlane.sources.schemas import conform
+from ledgerlane.sources.sinks import stored_rows
 
 # What arrives: one file row per answered message, with the sentiment reply as text.
 MESSAGE_SCHEMA = (
@@ -24,14 +25,10 @@ def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -
     )
 
 
-def flagged(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One row per message id, with parsed sentiment, alert and escalation flag.
-
-    Repeats of an id within the watermark are dropped; state older than it is freed.
-    """
-    once = messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+def flagged(messages: DataFrame) -> DataFrame:
+    """Messages with parsed sentiment, alert and escalation flag. No message is dropped, however late."""
     return (
-        once.withColumn("sentiment", tx.parse_sentiment(F.col("sentiment_reply")))
+        messages.withColumn("sentiment", tx.parse_sentiment(F.col("sentiment_reply")))
         .withColumn("sentiment_score", F.col("sentiment.score"))
         .withColumns({"alert": x.sentiment_alert(), "escalate": x.needs_escalation()})
         .drop("sentiment", "sentiment_reply")
@@ -51,10 +48,15 @@ def as_interactions(messages: DataFrame) -> DataFrame:
     return conform(kept, "customer_service")
 
 
-def alert_counts(messages: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Messages per window and sentiment category; a window is emitted once it is closed."""
+def alert_counts(messages: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Messages per window and sentiment category; a window is emitted once it is closed.
+
+    The watermark frees the state: repeats of an id within it count once, and a message
+    older than it no longer changes a closed window.
+    """
+    once = messages.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
     return (
-        messages.groupBy(F.window("created_at", window).alias("w"), x.sentiment_category().alias("sentiment_category"))
+        once.groupBy(F.window("created_at", window).alias("w"), x.sentiment_category().alias("sentiment_category"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("escalate").alias("n_escalated"))
         .select(F.col("w.start").alias("window_start"), "sentiment_category", "n", "n_escalated")
     )
@@ -70,3 +72,29 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def append_new(batch: DataFrame, path: str) -> None:
+    """Append the messages whose id the table does not hold yet.
+
+    A repeated message carries the date of the first, so only the stored days of the
+    batch are compared. Run again after a failure, a batch that was written adds nothing.
+    """
+    batch = batch.where("id IS NOT NULL").dropDuplicates(["id"])
+    held = stored_rows(batch.sparkSession, path, batch.schema)
+    if held is not None:
+        day = F.col("created_at").cast("date")
+        low, high = batch.agg(F.min(day), F.date_add(F.max(day), 1)).first()
+        near = held.where(F.col("created_at").between(F.lit(low), F.lit(high)) | F.col("created_at").isNull()).select("id")
+        batch = batch.join(near, "id", "left_anti").select(*batch.columns)
+    batch.write.mode("append").parquet(path)
+
+
+def store_messages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add every arrived message to the service table once, late ones as well."""
+    return (
+        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

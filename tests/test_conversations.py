@@ -45,17 +45,22 @@ def test_question_numbers(turns, span):
     assert got == expected
 
 
-def test_message_lists_with_blocks_give_the_whole_history(turns):
-    block = 8
-    blocks = {(r.conv_id, r.block): [tuple(m) for m in r.messages] for r in c.history_blocks(turns, block).collect()}
-    assert max(len(b) for b in blocks.values()) <= block
-    lists = c.message_lists(turns, F.lit("sys"), block, span=32).collect()
+@pytest.mark.parametrize("span", [4, 65536])
+def test_history_and_calls_hold_the_whole_conversation(turns, span):
     held = by_conversation(turns)
-    assert len(lists) == sum(row.role == "user" for said in held.values() for row in said)
-    for row in lists:
-        earlier = [m for (conv, b), ms in sorted(blocks.items()) if conv == row.conv_id and b < row.block for m in ms]
-        own = [tuple(m) for m in row.messages]
-        whole = [own[0], *earlier, *own[1:]]
-        said = [(r.role, r.text) for r in held[row.conv_id] if r.turn <= row.turn]
-        assert whole == [("system", "sys"), *said]
-        assert row.n_messages == len(whole)
+    rows = {(r.conv_id, r.position): (r.role, r.content) for r in c.history(turns, span).collect()}
+    assert len(rows) == sum(map(len, held.values()))
+    calls = c.model_calls(turns, F.lit("sys"), span).collect()
+    assert len(calls) == sum(row.role == "user" for said in held.values() for row in said)
+    for call in calls:
+        before = [rows[call.conv_id, k] for k in range(1, call.position)]
+        said = [(r.role, r.text) for r in held[call.conv_id] if r.turn <= call.turn]
+        assert [*before, ("user", call.user_message)] == said
+        assert call.n_messages == len(said) + 1 and call.system_prompt == "sys"
+
+
+def test_long_and_hot_conversations(spark):
+    long = spark.range(300).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'x' AS text")
+    many = spark.range(500).selectExpr("id + 100 AS conv_id", "0L AS turn", "'user' AS role", "'y' AS text")
+    calls = c.model_calls(long.union(many), F.lit("s"), span=16).collect()
+    assert max(r.n_messages for r in calls) == 300 and len(calls) == 650

@@ -47,10 +47,7 @@ def test_one_hot_customer_is_one_row(spark):
 
 
 def test_profile_keeps_customers_without_children(spark, lending):
-    profile = c360.customer_360(
-        lending.customers, lending.kyc, c360.latest_score(lending.score_facts, lending.score_owners),
-        c360.latest_statement(lending.bank_statements),
-    )
+    profile = c360.customer_360(lending.states, lending.kyc)
     rows = profile.collect()
     assert len(rows) == lending.customers.count() == len({x.customer_id for x in rows})
     assert any(x.bank_statement is None for x in rows) and any(x.credit_score is None for x in rows)
@@ -64,10 +61,7 @@ def test_latest_with_customer_skips_orphans(spark, customers):
         F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") / 50).cast("int")).alias("created_at"),
     )
     expected = list(range(699, 694, -1))
-    # The pool holds orphans only, some owners, or every row: the answer is the same.
-    for pool in (10, 302, 2000):
-        got = [x.id for x in r.latest_with_customer(facts, customers, 5, pool=pool).collect()]
-        assert got == expected, pool
+    assert [x.id for x in r.latest_with_customer(facts, customers, 5).collect()] == expected
 
 
 def test_latest_with_customer_when_few_exist(spark, customers):
@@ -129,6 +123,34 @@ def test_statement_trends_of_one_customer(spark):
     assert got[0].income_mean == 100.0 and abs(got[0].expense_ratio_mean - (0.4 + 1.0 + 0.25) / 3) < 1e-12
 
 
+def test_statement_trends_over_years_and_equal_dates(spark):
+    rows = [(k, 1, DAY(2000 + k // 4, 1 + k % 2, 1), float(k * k), 1.0) for k in range(12)]
+    df = spark.createDataFrame(
+        rows, "id long, customer_id long, statement_date date, monthly_income double, monthly_expenses double"
+    ).repartition(3)
+    got = c360.statement_trends(df).collect()
+    by_order = sorted(rows, key=lambda r: (r[2], r[0]))
+    nets = [r[3] - r[4] for r in by_order]
+    wanted = [(n, None if i == 0 else n - nets[i - 1]) for i, n in enumerate(nets)]
+    assert sorted(map(str, ((x.net_flow, x.net_change) for x in got))) == sorted(map(str, wanted))
+    mean = sum(r[3] for r in rows) / 12
+    sd = (sum((r[3] - mean) ** 2 for r in rows) / 12) ** 0.5
+    assert all(x.months == 12 and abs(x.income_sd - sd) < 1e-9 and abs(x.income_mean - mean) < 1e-12 for x in got)
+
+
+def test_states_equal_the_separate_reductions(spark, lending):
+    held = {x.customer_id: x for x in lending.states.collect()}
+    scores = c360.latest_score(lending.score_facts, lending.score_owners).collect()
+    statements = c360.latest_statement(lending.bank_statements).collect()
+    assert {x.customer_id: tuple(x)[1:] for x in scores} == {
+        k: (v.score_held.id, v.score_held.score, v.score_held.score_date) for k, v in held.items() if v.score_held
+    }
+    assert {x.customer_id: (x.statement_date, x.balance, x.risk_indicators) for x in statements} == {
+        k: (v.statement_held.statement_date, v.statement_held.balance, v.statement_held.risk_indicators)
+        for k, v in held.items() if v.statement_held
+    }
+
+
 def test_income_allocation_only_with_savings(spark):
     rows = [(1, 100.0, 40.0), (2, 100.0, 120.0), (3, 0.0, 10.0)]
     df = spark.createDataFrame(rows, "customer_id long, monthly_income double, monthly_expenses double")

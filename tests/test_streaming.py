@@ -18,15 +18,30 @@ def test_append_once_per_message(spark, tmp_path):
     source, sink, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
     write(spark, source, message(1, 0, -0.9), message(2, 1, 0.9), message(1, 2, -0.9), message(3, 3, 0.0, customer=None))
     flagged = i.flagged(i.read_messages(spark, source))
-    i.append_to(i.as_interactions(flagged), sink, mark).awaitTermination()
+    i.store_messages(i.as_interactions(flagged), sink, mark).awaitTermination()
     rows = spark.read.parquet(sink).orderBy("id").collect()
     assert [(r.id, r.sentiment_score, r.resolution_status) for r in rows] == [(1, -0.9, "resolved"), (2, 0.9, "resolved")]
     write(spark, source, message(4, 4, "oops"), message(2, 5, 0.9))
-    i.append_to(i.as_interactions(i.flagged(i.read_messages(spark, source))), sink, mark).awaitTermination()
+    i.store_messages(i.as_interactions(i.flagged(i.read_messages(spark, source))), sink, mark).awaitTermination()
     rows = spark.read.parquet(sink).orderBy("id").collect()
     assert [(r.id, r.sentiment_score) for r in rows] == [(1, -0.9), (2, 0.9), (4, 0.0)]
 
 
+def test_late_messages_are_stored_once(spark, tmp_path):
+    source, sink, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
+
+    def run():
+        i.store_messages(i.as_interactions(i.flagged(i.read_messages(spark, source))), sink, mark).awaitTermination()
+
+    write(spark, source, message(1, 0, 0.5, day=9))
+    run()
+    write(spark, source, message(2, 0, 0.5, day=2), message(1, 0, 0.5, day=9), message(2, 0, 0.5, day=2))
+    run()
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2]
+    i.append_new(spark.read.parquet(sink), sink)
+    assert spark.read.parquet(sink).count() == 2
+
+
 def test_alerts_per_window(spark, tmp_path):
     source, sink, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
     write(spark, source, *[message(n, n, -0.9 if n % 2 else 0.6) for n in range(60)])
