@@ -71,4 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": bpe_digests,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries need hashes, merges, models or byte strings that DuckDB's SQL does not have.
+ORACLE_SQL: dict[str, str] = {
+    "op1_collision_counting": """
+        WITH RECURSIVE usable AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+        reached(a, b) AS (
+          SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+        components AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN components c ON c.a = e.vec_id LEFT JOIN counts k ON k.a = e.vec_id""",
+}

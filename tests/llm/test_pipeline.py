@@ -1,4 +1,6 @@
 import corpus_pipeline
+from oracle_check import connect, difference
+
 from ledgerlane.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,6 +28,12 @@ def test_every_query_gives_a_row_per_input_row(spark):
     assert sorted(CONTRACT) == sorted(n.split("_")[0] for n in queries.QUERIES)
 
 
+def test_queries_equal_their_sql(spark):
+    for root in (SMALL, "/root/testdata/sf0.1"):
+        for name, sql in queries.ORACLE_SQL.items():
+            assert difference(queries.QUERIES[name](spark, root), connect(root), sql) is None
+
+
 def test_stages_take_odd_rows_and_keep_the_columns(spark):
     rows = [
         (1, "word " * 3000, "en", "s", 5, "x"), (2, None, None, None, None, None), (None, "a b c d", "de", "s", 1, "y"),
