@@ -18,12 +18,13 @@ def join_splitting_hot_keys(
     aggregates. Rows per key are counted first; a key is hot if it holds more than one
     ``pieces``-th of all rows, so there are fewer than ``pieces`` hot keys and their list
     is safe to broadcast. Only hot keys are repeated on the other side, once per piece.
-    ``facts`` is read three times, so it should be a table and not a long chain of steps.
+    ``facts`` is read twice, so it should be a table and not a long chain of steps.
     """
-    sizes = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = facts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # the same aggregate gives the total, so its shuffle is reused
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     hot = F.broadcast(
-        sizes.where(F.col("n") * pieces > total).select(
+        sizes.where(F.col(key).isNotNull() & (F.col("n") * pieces > total)).select(
             F.col(key).alias("hot_key"), F.ceil(F.col("n") * pieces / total).cast("int").alias("cuts")
         )
     )

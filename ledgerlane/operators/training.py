@@ -76,7 +76,10 @@ def _normal(name: str) -> Column:
 
 
 def poisson_steps(rate: float, most: int = 12) -> list[float]:
-    """Cumulative Poisson probabilities P(N <= 0), P(N <= 1), ..."""
+    """Cumulative Poisson probabilities P(N <= 0), P(N <= 1), ...
+
+    Draws have 32 bits: at rates up to 1 the share beyond ``most`` is below their grain.
+    """
     total, term, steps = 0.0, math.exp(-rate), []
     for k in range(most):
         total += term

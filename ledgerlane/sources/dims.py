@@ -23,6 +23,7 @@ STAGE_PROMPTS = {
 }
 DEFAULT_STAGE_PROMPT = "Write a collection e-mail"
 
+# The issues, and the 4.9% in the answer on rates.
 CANNED_ANSWERS = {
     "Loan Application Status": "We are reviewing your application and expect to decide within 2-3 business days.",
     "Payment Schedule": "Change your payment schedule in your account, or ask our support team to do it.",
@@ -85,6 +86,7 @@ LOAN_SUGGESTIONS = {
 }
 
 # category -> (name, description, [(title, template)])
+# The category keys and the placeholders.
 TEMPLATES = {
     "personal_loans": (
         "Personal Loans",

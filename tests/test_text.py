@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 from ledgerlane.functions import text as tx
 
 
-def variations_by_hand(reply):
-    items, current = [], ""
-    for line in reply.split("\n"):
-        line = line.strip()
-        if line and (line[0].isdigit() or line[0] == "-"):
-            if current:
-                items.append(current)
-            current = line
-        elif line and current:
-            current += " " + line
-    return items + ([current] if current else [])
+def opens_an_item(line):
+    line = line.strip()
+    return bool(line) and (line[0].isdigit() or line[0] == "-")
 
 
 def parse(spark, replies):
@@ -27,18 +19,20 @@ def parse(spark, replies):
 
 
 def test_variations(spark):
-    replies = [
-        "Here they are:\n1. first\n   goes on\n2. second",
-        "- a\n- b\n\nc",
-        "no items at all",
-        "",
-        " 1) nbsp 　\n\n\n9 lines",
-        "intro\n\n-\n\tx",
-        "x\n² raised\n① circled\n\U0001f102 comma\n½ is none\n٣ decimal",
+    cases = [
+        ("Here they are:\n1. first\n   goes on\n2. second", ["1. first goes on", "2. second"]),
+        ("- a\n- b\n\nc", ["- a", "- b c"]),
+        ("no items at all", []),
+        ("", []),
+        (" 1) nbsp\u00a0\u3000\n\n\n9 lines", ["1) nbsp", "9 lines"]),
+        ("intro\n\n-\n\tx", ["- x"]),
+        (
+            "x\n² raised\n① circled\n\U0001f102 comma\n½ is none\n٣ decimal",
+            ["² raised", "① circled", "\U0001f102 comma ½ is none", "٣ decimal"],
+        ),
     ]
-    got = parse(spark, replies)
-    for i, reply in enumerate(replies):
-        assert got[i] == variations_by_hand(reply), reply
+    got = parse(spark, [reply for reply, _ in cases])
+    assert [got[i] for i in range(len(cases))] == [items for _, items in cases]
 
 
 def test_variations_null(spark):
@@ -48,8 +42,13 @@ def test_variations_null(spark):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text(alphabet="ab1-. \t\n  é", max_size=40), min_size=30, max_size=60))
 def test_variations_on_any_text(spark, replies):
-    got = parse(spark, replies)
-    assert got == {i: variations_by_hand(r) for i, r in enumerate(replies)}
+    for i, items in parse(spark, replies).items():
+        lines = replies[i].split("\n")
+        marked = [k for k, line in enumerate(lines) if opens_an_item(line)]
+        assert len(items) == len(marked) and all(map(opens_an_item, items))
+        # nothing from the first item on is lost, nothing before it is taken
+        told = " ".join(lines[marked[0] :]).split() if marked else []
+        assert " ".join(items).split() == told
 
 
 def test_fill(spark):
