@@ -29,7 +29,9 @@ DECAY = np.float32(0.5)
 #: Distances of the second and third letter from the first, spans of three to five.
 SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 #: Labelled documents the machine learns from, at most, by label.
-BOUNDS = {1: 2000, 0: 4000}
+BOUNDS = {1: 2000, 0: 3000}
+#: Words whose decisions are made in one go while learning.
+TOGETHER = 40_000
 LANDMARKS = 240
 RIDGE = 1e-6
 #: Likelihood ratio from which a word tells toxic sentences; chance alone gives it to about one word in 100,000.
@@ -213,10 +215,9 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
     if prior in (0.0, 1.0):
         return Machine(np.zeros(1 << HASH_BITS, np.float32), 0.0, None, prior)
     # sentences take the label of their document; a word is known by the share of documents of each kind that hold it
-    sentences = [[MARKS.sub("", s) for s in SENTENCE.split(t.lower()) if s] for t in texts]
-    held = [{w for s in doc for w in s.split()} for doc in sentences]
-    toxic = Counter(w for words, y in zip(held, labels) if y for w in words)
-    clean = Counter(w for words, y in zip(held, labels) if not y for w in words)
+    toxic, clean = Counter(), Counter()
+    for text, y in zip(texts, labels):
+        (toxic if y else clean).update(set(MARKS.sub("", text.lower()).split()))
     n_toxic, n_clean = sum(labels), len(labels) - sum(labels)
     share = n_toxic / (n_toxic + n_clean)
 
@@ -233,10 +234,10 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
         return Machine(np.zeros(1 << HASH_BITS, np.float32), 0.0, None, prior)
     # of each toxic sentence the word that tells most is its witness
     witnesses = Counter()
-    for doc, y in zip(sentences, labels):
+    for text, y in zip(texts, labels):
         if y:
-            for s in doc:
-                told = [w for w in s.split() if w in strength]
+            for s in SENTENCE.split(text.lower()):
+                told = [w for w in MARKS.sub("", s).split() if w in strength]
                 if told:
                     witnesses[max(told, key=lambda w: (strength[w], w))] += 1
     # the strongest words with a letter put in stand for disguised ones, unless such a word is itself in use
@@ -248,7 +249,6 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
     positive = [w for w, _ in witnesses.most_common(3000)]
     common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in witnesses]
     negative = common[:4000] + common[4000 :: max(1, len(common) // 4000)]
-    every = Words.of(common)
     near = [w for w in common if len(w) > 3][: landmarks // 2]
     for _ in range(2):
         # landmarks: the words that tell most, and the clean words nearest to them
@@ -265,8 +265,11 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
             weights = np.zeros(1 << HASH_BITS, np.float32)
             weights[held] = marks @ (root @ w)
             # the clean words nearest to the border join the negatives
-            order = np.argsort(-(every.sums(weights) + bias), kind="stable")
-            negative = sorted(set(negative) | {common[i] for i in order[:2000]})
+            decisions = [
+                Words.of(common[k : k + TOGETHER]).sums(weights) for k in range(0, len(common), TOGETHER)
+            ]
+            order = np.argsort(-np.concatenate([*decisions, np.zeros(0)]), kind="stable")[:2000]
+            negative = sorted(set(negative) | {common[i] for i in order})
         near = [common[i] for i in order[: landmarks // 2]]
     machine = Machine(weights, bias, None, prior)
     known = np.concatenate([machine.features([t]) for t in texts])
