@@ -13,6 +13,16 @@ def remainder(divisor: int, doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def hashed_sample(docs: DataFrame, bound: int, text: str = "text") -> DataFrame:
+    """(at, text) of at most `bound` different texts, those first by a hash; only the hashes are sorted.
+
+    The chosen hashes go to every executor, `bound` numbers; copies of a text meet as one row per task.
+    """
+    rows = docs.select(F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    chosen = rows.groupBy("at").agg(F.lit(1).alias("one")).select("at").orderBy("at").limit(bound)
+    return rows.join(F.broadcast(chosen), "at").groupBy("at").agg(F.min("text").alias("text"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, bounds: dict[int, int]) -> pd.DataFrame:
     """(text, label) of at most `bounds[value]` documents per label value, those first by a hash of the id.
 

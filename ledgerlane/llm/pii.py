@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ledgerlane.llm.common import text_or_empty
+from ledgerlane.llm.labelled import hashed_sample
 
 # The kinds in their order, and the patterns of the base scan.
 KINDS = ["email", "ip", "card", "phone"]
@@ -331,11 +332,8 @@ def fit(texts: list[str]) -> Field:
 
 def learned(docs: DataFrame, bound: int = LEARNED_DOCUMENTS) -> Field:
     """A field from at most `bound` documents that hold a digit run or an at sign, those first by a hash of the text."""
-    rows = (
-        docs.select(F.col("text")).where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]{14}|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
-        .withColumn("at", F.xxhash64("text")).orderBy("at", "text").limit(bound).select("text")
-    )
-    return fit(sorted(r["text"] for r in rows.collect()))
+    likely = docs.where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]{14}|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"))
+    return fit(sorted(r["text"] for r in hashed_sample(likely, bound).collect()))
 
 
 def written_spans(spans: list[Span]) -> str:
