@@ -35,7 +35,7 @@ TOGETHER = 4_000_000
 #: Bytes of a word above which it is merged with a heap, by itself.
 LONG_WORD = 64
 CLOSE = "\x00"
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = ["\x1c", "\x1d", "\x1e", "\x1f"]
 NEVER = np.int64(1) << 40
 
 
@@ -257,8 +257,9 @@ def symbols_of_later_versions(path: str) -> str:
 class Encoder:
     """Encodes texts word by word; keeps what it saw last: bounded numbers of chunks and words, and one batch."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, spell: bool = True):
         path = path or default_vocabulary()
+        self.spell = spell
         self.vocabulary = Vocabulary(path)
         self.ascii = re.compile(ASCII_PATTERN, re.ASCII)
         self.general = regex.compile(PATTERN)
@@ -272,7 +273,8 @@ class Encoder:
         # chunks between white space are looked up whole; the words inside them are learned once
         self.packed: dict[str, bytes] = {}
         self.spelled: dict[str, str] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_spelled: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own, before anything is normalised."""
@@ -284,7 +286,9 @@ class Encoder:
 
     def plain(self, text: str) -> list[str]:
         if text.isascii():
-            return self.ascii.findall(text.lower())
+            lowered = text.lower()
+            # letters alone are one word
+            return [lowered] if lowered.isalpha() else self.ascii.findall(lowered)
         text = unicodedata.normalize("NFC", text)
         # letter by letter, the final sigma has no form of its own
         lowered = text.replace("Σ", "σ").lower()
@@ -293,36 +297,46 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         """The text between white space. No word and no composed letter goes over white space."""
         # four control characters part chunks for Python but not for the vocabulary
-        return [text] if SEPARATORS.search(text) else text.split()
+        return [text] if any(s in text for s in SEPARATORS) else text.split()
 
-    def learn(self, chunks: set[str]) -> None:
+    def forget(self) -> None:
+        """Keep the caches within their bounds."""
         if len(self.packed) > CACHED_CHUNKS:
             self.packed.clear()
             self.spelled.clear()
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [c for c in chunks if c not in self.packed]
-        parts = [self.words(c) for c in new]
-        known, spaced, specials = self.known, self.vocabulary.spaced, self.vocabulary.specials
+            self.known_spelled.clear()
+
+    def learn(self, chunks: set[str]) -> None:
+        new = list(chunks)
+        # letters alone are one word; the rest goes the long way
+        parts = [[w] if (w := c.lower()).isascii() and w.isalpha() and c.isascii() else self.words(c) for c in new]
+        known, specials = self.known, self.vocabulary.specials
         words = list({w for part in parts for w in part if w not in known})
         found = self.vocabulary.encode_words(words)
-        # every token is followed by a space here, the last one of a text loses it
-        tokens = list(map(spaced.__getitem__, np.frombuffer(b"".join(found), "<u4").tolist()))
-        stops = np.cumsum([len(f) // 4 for f in found]).tolist()
-        known.update(zip(words, zip(found, ["".join(tokens[a:b]) for a, b in zip([0, *stops], stops)])))
+        known.update(zip(words, found))
         for special, i in specials.items():
             # its text is only ever a word of its own if the text held it
-            known[special] = (np.array([i], "<u4").tobytes(), spaced[i])
-        for chunk, part in zip(new, parts):
-            if len(part) == 1:
-                self.packed[chunk], self.spelled[chunk] = known[part[0]]
-            else:
-                pairs = [known[w] for w in part]
-                self.packed[chunk] = b"".join([p for p, _ in pairs])
-                self.spelled[chunk] = "".join([t for _, t in pairs])
+            known[special] = np.array([i], "<u4").tobytes()
+        get = known.__getitem__
+        self.packed.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
+        if self.spell:
+            self.learn_spelling(words, found, new, parts)
+
+    def learn_spelling(self, words: list[str], found: list[bytes], chunks: list[str], parts: list[list[str]]) -> None:
+        """What words and chunks decode to; every token is followed by a space, the last one of a text loses it."""
+        spaced, specials = self.vocabulary.spaced, self.vocabulary.specials
+        tokens = list(map(spaced.__getitem__, np.frombuffer(b"".join(found), "<u4").tolist()))
+        stops = np.cumsum([len(f) // 4 for f in found]).tolist()
+        spelled = self.known_spelled
+        spelled.update(zip(words, ["".join(tokens[a:b]) for a, b in zip([0, *stops], stops)]))
+        spelled.update((special, spaced[i]) for special, i in specials.items())
+        get = spelled.__getitem__
+        self.spelled.update(zip(chunks, [get(p[0]) if len(p) == 1 else "".join(map(get, p)) for p in parts]))
 
     def encoded(self, texts: Iterable[str]) -> Iterator[tuple[bytes, str]]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers and what they decode to.
+        """Of each text, its ids as little-endian unsigned 32-bit integers and, if spelled, what they decode to.
 
         This vocabulary has no decoder: tokens are joined by spaces.
         """
@@ -330,10 +344,14 @@ class Encoder:
         letters = 0
 
         def ready() -> Iterator[tuple[bytes, str]]:
-            self.learn({c for chunks in waiting for c in chunks})
+            self.forget()
+            packed, new = self.packed, set()
+            for chunks in waiting:
+                new.update([c for c in chunks if c not in packed])
+            self.learn(new)
             for chunks in waiting:
-                packed = b"".join(map(self.packed.__getitem__, chunks))
-                yield packed, "".join(map(self.spelled.__getitem__, chunks))[:-1]
+                decoded = "".join(map(self.spelled.__getitem__, chunks))[:-1] if self.spell else ""
+                yield b"".join(map(packed.__getitem__, chunks)), decoded
 
         for text in texts:
             waiting.append(self.chunks(text))
@@ -348,14 +366,14 @@ def decode_ids(vocabulary: Vocabulary, ids) -> str:
     return " ".join(vocabulary.tokens[i] for i in ids)
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, spell: bool = True) -> Encoder:
+    """One encoder per worker process, vocabulary and use."""
+    if (path, spell) not in _ENCODERS:
+        _ENCODERS[path, spell] = Encoder(path, spell)
+    return _ENCODERS[path, spell]
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
