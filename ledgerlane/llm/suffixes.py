@@ -34,6 +34,8 @@ PAGE = 1 << 20
 BUCKETS = 2
 #: Different pieces of one k-gram above which their strings are dealt out one by one, by their own content.
 CROWDED = 4096
+#: Bytes of pieces that are sorted together, as long as a k-gram's pieces stay together.
+SORTED_BYTES = 200_000
 #: Bytes of a character of the suffix sort.
 CHARACTER = 8
 LEAST_ID = -(1 << 63)
@@ -226,12 +228,33 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-PAGES = "page long, ids binary, text binary, pieces binary"
+PAGES = "page long, ids binary, text binary"
 DEALT = "bucket long, page long, part binary"
 
 
+def opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """ids, hashes of the texts, ends and the text of a page."""
+    return *unpack(row.ids, "<i8", "<i8", "<i8"), zstandard.ZstdDecompressor().decompress(row.text)
+
+
+def analysed(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First starts, numbers of starts, k-grams and contents of a page's pieces, and which equal an earlier one of it.
+
+    Made anew wherever they are needed: that costs less than moving them.
+    """
+    first, count, lead = page_pieces(text, ends)
+    content = np.array(
+        [xxhash.xxh3_64_intdigest(text[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist())], np.uint64
+    )
+    order = np.lexsort((np.arange(len(first)), content, lead))
+    same = np.zeros(len(first), bool)
+    if len(first):
+        same[order[1:]] = (lead[order][1:] == lead[order][:-1]) & (content[order][1:] == content[order][:-1])
+    return first, count, lead, content, same
+
+
 def pages_of(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
-    """Whole texts in pages: ids (doc_id or the least long, hash of the text, end), compressed text, pieces."""
+    """Whole texts in pages: ids (doc_id or the least long, hash of the text, end) and compressed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -244,19 +267,8 @@ def pages_of(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
             held.sort(key=lambda x: x[:2])
             text = b"".join(t for _, _, t in held)
             ends = np.cumsum([len(t) for _, _, t in held])
-            first, count, lead = page_pieces(text, ends)
-            content = np.array([
-                xxhash.xxh3_64_intdigest(text[a : a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist())
-            ], np.uint64)
-            # a piece that an earlier one of this page equals is settled here
-            order = np.lexsort((np.arange(len(first)), content, lead))
-            same = np.zeros(len(first), bool)
-            if len(first):
-                same[order[1:]] = (lead[order][1:] == lead[order][:-1]) & (content[order][1:] == content[order][:-1])
             ids = pack(np.array([d for d, _, _ in held], "<i8"), np.array([h for _, h, _ in held], "<i8"), ends.astype("<i8"))
-            pieces = pack(first.astype("<i8"), count.astype("<i4"), same.astype("u1"), lead.astype("<u8"), content.astype("<u8"))
-            return pd.DataFrame({"page": [page], "ids": [ids], "text": [zstandard.ZstdCompressor(level=3).compress(text)],
-                                 "pieces": [pieces]})
+            return pd.DataFrame({"page": [page], "ids": [ids], "text": [zstandard.ZstdCompressor(level=3).compress(text)]})
 
         for batch in batches:
             keys = batch["doc_id"].to_numpy()
@@ -281,9 +293,10 @@ def dealt(pages: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, hashes, ends = unpack(row.ids, "<i8", "<i8", "<i8")
-                first, _, same, lead, content = unpack(row.pieces, "<i8", "<i4", "u1", "<u8", "<u8")
-                open_ones = np.flatnonzero(same == 0)
+                ids, hashes, ends, text = opened(row)
+                first, _, lead, content, same = analysed(text, ends)
+                # a piece that an earlier one of its page equals is settled there
+                open_ones = np.flatnonzero(~same)
                 owner = np.searchsorted(ends, first[open_ones], side="right")
                 bucket = (lead[open_ones] >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -297,7 +310,7 @@ def dealt(pages: DataFrame, buckets: int) -> DataFrame:
                         np.diff(ids[used], prepend=0), hashes[used])))
                 yield pd.DataFrame(parts, columns=["bucket", "page", "part"])
 
-    return pages.select("page", "ids", "pieces").mapInPandas(run, DEALT)
+    return pages.mapInPandas(run, DEALT)
 
 
 #: What a bucket says of a piece: it repeats an earlier one; it must be sorted; its strings must be sorted one by one.
@@ -353,30 +366,29 @@ def to_sort(pages: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, hashes, ends = unpack(row.ids, "<i8", "<i8", "<i8")
-                first, count, _, lead, _ = unpack(row.pieces, "<i8", "<i4", "u1", "<u8", "<u8")
-                found: dict[int, list[tuple[int, int, bytes]]] = {}
-                text = None
+                ids, hashes, ends, text = opened(row)
+                first, count, lead = page_pieces(text, ends)
+                found: dict[int, list[tuple[int, int, int]]] = {}
                 for blob in row.told:
                     number, verdict = unpack(blob, "<i4", "u1")
                     for i, v in zip(number.tolist(), verdict.tolist()):
                         if v == REPEATS:
                             continue
-                        text = text or zstandard.ZstdDecompressor().decompress(row.text)
                         a, n = int(first[i]), int(count[i])
                         if v == SORTED:
-                            found.setdefault(int(lead[i] >> np.uint64(20)) % buckets, []).append((a, n))
+                            found.setdefault(int(lead[i] >> np.uint64(20)) % buckets, []).append((a, n, int(lead[i])))
                         else:
                             for p in range(a, a + n):
                                 own = xxhash.xxh64_intdigest(text[p : p + LENGTH])
-                                found.setdefault(own % buckets, []).append((p, 1))
+                                found.setdefault(own % buckets, []).append((p, 1, own))
                 parts = []
                 for bucket, places in found.items():
-                    a, n = np.array(places, np.int64).T
+                    a, n = np.array([x[:2] for x in places], np.int64).T
                     owner = np.searchsorted(ends, a, side="right")
-                    content = b"".join(text[p : p + c + LENGTH - 1] for p, c in places)
+                    content = b"".join(text[p : p + c + LENGTH - 1] for p, c, _ in places)
+                    group = np.array([x[2] for x in places], "<u8")
                     parts.append((bucket, row.page, pack(
-                        a, n.astype("<i4"), ids[owner], hashes[owner], np.frombuffer(content, np.uint8))))
+                        a, n.astype("<i4"), ids[owner], hashes[owner], group, np.frombuffer(content, np.uint8))))
                 yield pd.DataFrame(parts, columns=["bucket", "page", "part"])
 
     return pages.join(told, "page").mapInPandas(run, DEALT)
@@ -384,9 +396,10 @@ def to_sort(pages: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
 
 def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """The starts of a bucket's pieces whose string starts earlier in another one."""
-    place, ids, hashes, page, pieces, lead = [], [], [], [], [], []
+    place, ids, hashes, page, pieces, lead = [], [], [], [], [], []  # lead: the k-gram, or the string of a single start
     for k, row in enumerate(rows.itertuples(index=False)):
-        a, n, doc, text_hash, content = unpack(row.part, "<i8", "<i4", "<i8", "<i8", "u1")
+        a, n, doc, text_hash, group, content = unpack(row.part, "<i8", "<i4", "<i8", "<i8", "<u8", "u1")
+        lead.append(group)
         raw, at = content.tobytes(), 0
         for size in (n + LENGTH - 1).tolist():
             pieces.append(raw[at : at + size])
@@ -395,11 +408,23 @@ def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         ids.append(doc)
         hashes.append(text_hash)
         page.append(np.full(len(a), k))
-    place, ids, hashes, page = map(np.concatenate, (place, ids, hashes, page))
+    place, ids, hashes, page, lead = map(np.concatenate, (place, ids, hashes, page, lead))
     pages = rows["page"].to_numpy()
     order = np.empty(len(place), np.int64)
     order[np.lexsort((place, pages[page], hashes, ids))] = np.arange(len(place))
-    owner, start = repeated_starts(pieces, order)
+    # equal strings share a k-gram: pieces of different ones need not be sorted together
+    by_lead = np.argsort(lead, kind="stable")
+    size = np.cumsum([len(pieces[i]) for i in by_lead.tolist()])
+    border = np.append(lead[by_lead][1:] != lead[by_lead][:-1], True)
+    owners, starts, low, done = [], [], 0, 0
+    for high in (np.flatnonzero(border) + 1).tolist():
+        if size[high - 1] - done >= SORTED_BYTES or high == len(by_lead):
+            chosen = by_lead[low:high]
+            which, start = repeated_starts([pieces[i] for i in chosen.tolist()], order[chosen])
+            owners.append(chosen[which])
+            starts.append(start)
+            low, done = high, size[high - 1]
+    owner, start = np.concatenate(owners), np.concatenate(starts)
     at = place[owner] + start
     out = []
     sequence = np.lexsort((at, page[owner]))
@@ -418,10 +443,8 @@ def settled(pages: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, _, ends = unpack(row.ids, "<i8", "<i8", "<i8")
-                first, count, same, _, _ = unpack(row.pieces, "<i8", "<i4", "u1", "<u8", "<u8")
-                text = zstandard.ZstdDecompressor().decompress(row.text)
-                gone = same.astype(bool)
+                ids, _, ends, text = opened(row)
+                first, count, _, _, gone = analysed(text, ends)
                 for blob in row.told if row.told is not None else []:
                     number, verdict = unpack(blob, "<i4", "u1")
                     gone[number[verdict == REPEATS]] = True
