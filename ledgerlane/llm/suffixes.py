@@ -8,7 +8,8 @@ named and the sort recurses on the names, the other starts are merged in by one
 suffix is compared with its neighbour over the prefix of `LENGTH` bytes.
 
 Whole texts travel as compressed pages of about a megabyte. Pages and buckets exchange packed arrays, a row per page and
-bucket; repeats inside a page are settled there, so a passage in every document costs a row per page at most.
+bucket; repeats inside a page are settled there, of whole pieces and of strings that are dealt out one by one, so a string
+in every document comes to its bucket once per page at most.
 """
 
 from __future__ import annotations
@@ -360,8 +361,24 @@ def gathered(told: DataFrame, name: str) -> DataFrame:
     return told.groupBy("page").agg(F.collect_list("told").alias(name))
 
 
+def single_starts(text: bytes, first: np.ndarray, count: np.ndarray, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first starts, their strings' hashes, later starts) of the strings of a page that are dealt out one by one."""
+    pieces = [number[verdict == SINGLE] for number, verdict in (unpack(blob, "<i4", "u1") for blob in told)]
+    chosen = np.sort(np.concatenate([np.zeros(0, np.int64), *pieces]).astype(np.int64))
+    starts = np.repeat(first[chosen], count[chosen])
+    starts += np.arange(len(starts)) - np.repeat(np.cumsum(count[chosen]) - count[chosen], count[chosen])
+    own = np.fromiter((xxhash.xxh64_intdigest(text[p : p + LENGTH]) for p in starts.tolist()), np.uint64, len(starts))
+    _, earliest, which = np.unique(own, return_index=True, return_inverse=True)
+    before = starts[earliest[which]]
+    # strings of one hash that differ all stay
+    later = np.fromiter(
+        (a < p and text[a : a + LENGTH] == text[p : p + LENGTH] for a, p in zip(before.tolist(), starts.tolist())), bool, len(starts)
+    )
+    return starts[~later], own[~later], starts[later]
+
+
 def to_sort(pages: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
-    """Per page and bucket: the content of the pieces to sort, with their places."""
+    """Per page and bucket: the content of the pieces to sort, with their places; single strings once per page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -371,16 +388,12 @@ def to_sort(pages: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
                 found: dict[int, list[tuple[int, int, int]]] = {}
                 for blob in row.told:
                     number, verdict = unpack(blob, "<i4", "u1")
-                    for i, v in zip(number.tolist(), verdict.tolist()):
-                        if v == REPEATS:
-                            continue
+                    for i in number[verdict == SORTED].tolist():
                         a, n = int(first[i]), int(count[i])
-                        if v == SORTED:
-                            found.setdefault(int(lead[i] >> np.uint64(20)) % buckets, []).append((a, n, int(lead[i])))
-                        else:
-                            for p in range(a, a + n):
-                                own = xxhash.xxh64_intdigest(text[p : p + LENGTH])
-                                found.setdefault(own % buckets, []).append((p, 1, own))
+                        found.setdefault(int(lead[i] >> np.uint64(20)) % buckets, []).append((a, n, int(lead[i])))
+                starts, hashed, _ = single_starts(text, first, count, row.told)
+                for p, own in zip(starts.tolist(), hashed.tolist()):
+                    found.setdefault(own % buckets, []).append((p, 1, own))
                 parts = []
                 for bucket, places in found.items():
                     a, n = np.array([x[:2] for x in places], np.int64).T
@@ -448,7 +461,10 @@ def settled(pages: DataFrame, with_text: bool = False) -> DataFrame:
                 for blob in row.told if row.told is not None else []:
                     number, verdict = unpack(blob, "<i4", "u1")
                     gone[number[verdict == REPEATS]] = True
+                _, _, later = single_starts(text, first, count, row.told if row.told is not None else [])
                 marks = np.zeros(len(text) + 1, np.int32)
+                np.add.at(marks, later, 1)
+                np.add.at(marks, later + LENGTH, -1)
                 np.add.at(marks, first[gone], 1)
                 np.add.at(marks, first[gone] + count[gone] + LENGTH - 1, -1)
                 for blob in row.starts if row.starts is not None else []:

@@ -84,3 +84,25 @@ def test_kept_bytes_and_repeated_rows(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in suffixes.remove_repeats(frame, True).collect())
     assert found == [(1, 0, text.encode()), (1, 300, b""), (2, 150, b"x")]
+
+
+def test_a_hot_string_comes_to_its_bucket_once_per_page(spark):
+    dice = random.Random(7)
+    hot = "".join(dice.choices("abcdefghij ", k=140))
+    rows = [(k, "".join(dice.choices("klmnop", k=60)) + hot + "".join(dice.choices("klmnop", k=60))) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    # the pages are made anew in each plan, so they are kept
+    pages = suffixes.written(suffixes.pages_of(frame, 8_000), "pages")
+    judged = suffixes.dealt(pages, 4).groupBy("bucket").applyInPandas(lambda rows: suffixes.judge(rows, 2), suffixes.TOLD)
+    sent = {}
+    for row in suffixes.to_sort(pages, suffixes.gathered(judged, "told"), 4).collect():
+        _, n, _, _, _, content = suffixes.unpack(row["part"], "<i8", "<i4", "<i8", "<i8", "<u8", "u1")
+        at = 0
+        for size in (n + suffixes.LENGTH - 1).tolist():
+            if size == suffixes.LENGTH:
+                sent.setdefault(content[at : at + size].tobytes(), []).append(row["page"])
+            at += size
+    assert max(map(len, sent.values())) > 1  # the hot strings are dealt out one by one, from several pages
+    assert all(len(found) == len(set(found)) for found in sent.values())
+    found = suffixes.remove_repeats(frame, page_bytes=8_000, crowded=2)
+    assert sorted(map(tuple, found.collect()), key=str) == by_hand(rows)
