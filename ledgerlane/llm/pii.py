@@ -13,6 +13,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +37,10 @@ Span = tuple[int, int, str]
 
 #: Documents whose base spans the field is learned from, at most.
 LEARNED_DOCUMENTS = 400
-#: Longest candidate segment, in characters, and how far apart marks may be to share a region.
+#: Longest candidate segment, in characters; marks up to twice as far apart share a region.
 LONGEST = 64
-NEAR = 24
+#: Characters past a region that a match begun inside it may take; no pattern of `WIDE` takes as many.
+BEYOND = 160
 
 
 def luhn(digits: str) -> bool:
@@ -121,8 +123,8 @@ WIDE = {
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{0,3}[0-9]{2,7}){2,5}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]{0,2}\(?[0-9]{2,5}\)?){2,4}(?![0-9A-Za-z])"),
 }
-#: Where the field may have something to say.
-MARK = re.compile(r"[0-9]{3}|[0-9][.\x20(\[{]|@|[\[({]\s?at\s?[\])}]|\sat\s[A-Za-z0-9-]+\s?[\[({]?\s?dot\s")
+#: Where the field may have something to say: every match of `WIDE` holds one.
+MARK = re.compile(rf"[0-9]{{3}}|[0-9][.\s()\[{{/-]|@|[\[({{]\s?at\s?[\])}}]|\sat(?=\s[A-Za-z0-9-]{{1,24}}{DOT}[A-Za-z0-9-])")
 WORD_BEFORE = re.compile(r"(\w+)\W*$")
 CUES = {
     "email": {"email", "mail", "contact", "write"}, "ip": {"ip", "host", "address", "server"},
@@ -171,8 +173,7 @@ class Field:
         ends = [candidates[i][1] for i in order]
         total, taken = [0.0] * (len(order) + 1), [None] * (len(order) + 1)
         for k, i in enumerate(order, 1):
-            before = int(np.searchsorted(ends, candidates[i][0], side="right"))
-            before = min(before, k - 1)
+            before = min(bisect_right(ends, candidates[i][0]), k - 1)
             with_it = total[before] + scores[i]
             if with_it > total[k - 1]:
                 total[k], taken[k] = with_it, before
@@ -189,7 +190,7 @@ class Field:
 
     def found(self, text: str, held: list[Span]) -> list[Span]:
         """The spans the field adds to those already held; they never overlap them."""
-        added = []
+        added, held = [], merged(held)
         for start, end in regions(text, held):
             options = candidates(text, start, end, held)
             if options:
@@ -197,17 +198,27 @@ class Field:
         return added
 
 
-def regions(text: str, held: list[Span]) -> Iterator[tuple[int, int]]:
-    """Stretches around marks outside the held spans."""
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, in order; they neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def regions(text: str, held: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches around marks outside the held ones; no two overlap, so no candidate lies in two."""
     start = end = None
     k = 0
-    ordered = sorted(held)
     for m in MARK.finditer(text):
-        while k < len(ordered) and ordered[k][1] <= m.start():
+        while k < len(held) and held[k][1] <= m.start():
             k += 1
-        if k < len(ordered) and ordered[k][0] < m.end():
+        if k < len(held) and held[k][0] < m.end():
             continue
-        if end is not None and m.start() - end <= NEAR:
+        if end is not None and m.start() - end <= 2 * LONGEST:
             end = m.end()
             continue
         if end is not None:
@@ -217,17 +228,22 @@ def regions(text: str, held: list[Span]) -> Iterator[tuple[int, int]]:
         yield max(0, start - LONGEST), min(len(text), end + LONGEST)
 
 
-def candidates(text: str, start: int, end: int, held: list[Span]) -> list[Span]:
-    """Segments of every kind inside a region, with shorter ones that stop at an earlier group of digits."""
+def candidates(text: str, start: int, end: int, held: list[tuple[int, int]]) -> list[Span]:
+    """Segments of every kind that begin in a region, with shorter ones that stop at an earlier group of digits."""
     out = set()
+    ends = [b for _, b in held]
     for kind, pattern in WIDE.items():
-        for m in pattern.finditer(text, start, end):
+        # matches may run past the region, so none is cut by its end
+        for m in pattern.finditer(text, start, min(len(text), end + BEYOND)):
+            if m.start() >= end:
+                break
             options = [m.span()]
             if kind in ("card", "phone"):
                 groups = [g.span() for g in DIGITS.finditer(text, *m.span())]
                 options += [(m.start(), g[1]) for g in groups[1:-1]] + [(g[0], m.end()) for g in groups[1:-1]]
             for a, b in options:
-                if b - a <= LONGEST and all(b <= x or a >= y for x, y, _ in held):
+                k = bisect_right(ends, a)
+                if b - a <= LONGEST and (k == len(held) or b <= held[k][0]):
                     out.add((a, b, kind))
     return sorted(out)
 

@@ -102,3 +102,26 @@ def test_rows(spark):
     assert pii.digests(frame.limit(0)).count() == 0
     redacted = [r[0] for r in frame.select(pii.spans(frame)["redacted"]).collect()]
     assert "write to [email] today" in redacted
+
+
+@pytest.mark.parametrize("gap", [25, 30, 40, 64, 90, 110, 128, 130])
+def test_two_disguised_spans_are_each_found_once(field, gap):
+    first, second = "jo.81 (at) mail7 dot example dot com", "(974) 555-3436"
+    filler = ("so we went on and on with it " * 5)[: gap - 6].rstrip().ljust(gap - 6, "x")
+    text = f"write to {first} {filler} call {second} or"
+    wanted = [(text.index(p), text.index(p) + len(p), k) for p, k in ((first, "email"), (second, "phone"))]
+    assert field.found(text, pii.base_spans(text)) == wanted
+
+
+def test_no_candidate_lies_in_two_regions_or_is_cut():
+    dice = random.Random(12)
+    parts = ["jo@x", " (at) ", " at ", " dot ", ".", "(974) 555-3436", "12-34-56", "1 2", "4929 3483", " word ", "226[.]203[.]165[.]104"]
+    for _ in range(1500):
+        text = "".join(dice.choice(parts) if dice.random() < 0.5 else "a " * dice.randrange(60) for _ in range(dice.randrange(12)))
+        found = [c for r in pii.regions(text, []) for c in pii.candidates(text, *r, [])]
+        assert len(found) == len(set(found)), text
+        for kind, pattern in pii.WIDE.items():
+            for m in pattern.finditer(text):
+                assert pii.MARK.search(text, m.start()).start() < m.end(), (text, m)
+                if m.end() - m.start() <= pii.LONGEST:
+                    assert (*m.span(), kind) in found, (text, m)
