@@ -4,8 +4,8 @@ Every vector is projected on random lines. Two vectors collide on a line if thei
 centred on either; near ones collide on most lines, so pairs with at least `least` collisions are verified by their cosine
 in double precision. Window and count are set from the threshold: a pair right at it passes with probability `recall`.
 
-The first line deals the vectors of a label to tiles: sorted blocks meet only the blocks whose window they can reach, and
-each pair of blocks is one task row of bounded size. In it the other projections are sorted and the windows around each
+The first line deals the vectors of a label to tiles: sorted blocks meet only the blocks within `DEALT_REACH` on it, twice
+the window, so it may be one of the lines that a pair misses; each pair of blocks is one task row of bounded size. In it the other projections are sorted and the windows around each
 query are counted for all candidates at once. A tile returns counts and a spanning forest of its links, never the pairs.
 """
 
@@ -26,6 +26,8 @@ LINES = 24
 RECALL = 0.999
 #: Half window in standard deviations of the difference of two projections right at the threshold.
 REACH = 2.5
+#: The same for blocks to meet; a difference right at the threshold lies beyond it once in 1.7 million pairs.
+DEALT_REACH = 5.0
 #: Vectors of a block; a tile compares two blocks.
 BLOCK = 192
 #: Strips of the first line in a half window.
@@ -123,6 +125,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 })
 
     window, least = calibrated(threshold, lines, recall)
+    dealt, strips = window * DEALT_REACH / REACH, math.ceil(STRIPS * DEALT_REACH / REACH)
     kind = dict(keyed.dtypes)["label"]
     lined = written(
         classes.select("copy", "label", "v", "n").mapInPandas(
@@ -141,13 +144,13 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         F.min("along").alias("low"), F.max("along").alias("high"), F.count(F.lit(1)).alias("rows")
     )
     left, right = blocks.alias("l"), blocks.alias("r")
-    near = F.explode(F.sequence(F.col("strip") - STRIPS - 1, F.col("strip") + STRIPS + 1))
+    near = F.explode(F.sequence(F.col("strip") - strips - 1, F.col("strip") + strips + 1))
     tiles = (
         left.withColumn("reach", near).alias("l")
         .join(right, (F.col("l.label") == F.col("r.label")) & (F.col("l.length") == F.col("r.length"))
               & (F.col("l.reach") == F.col("r.strip")))
         .where("struct(l.strip, l.piece) <= struct(r.strip, r.piece)")
-        .where((F.col("r.low") - F.col("l.high") <= window) & (F.col("l.low") - F.col("r.high") <= window))
+        .where((F.col("r.low") - F.col("l.high") <= dealt) & (F.col("l.low") - F.col("r.high") <= dealt))
         .select(
             F.col("l.label").alias("label"), F.col("l.length").alias("length"),
             F.col("l.strip").alias("ls"), F.col("l.piece").alias("lp"), F.col("r.strip").alias("rs"), F.col("r.piece").alias("rp"),

@@ -86,3 +86,49 @@ def test_collisions_count_lines_within_the_window():
     a, b = dice.standard_normal((9, 6)), dice.standard_normal((11, 6))
     wanted = (np.abs(a[:, None] - b[None]) <= 0.7).sum(2)
     assert (vectors.collisions(a, b, 0.7) == wanted).all()
+
+
+def pairs_at_the_threshold(n, size, along=None):
+    """2 n vectors, of which k and n + k have a cosine just above 0.93; `along` sets their distance on the first line."""
+    dice = np.random.default_rng(9)
+    line = vectors.directions(size, 1)[0]
+    out = [[], []]
+    cosine = 0.9301
+    while len(out[0]) < n:
+        a = dice.standard_normal(size)
+        a /= np.linalg.norm(a)
+        b = dice.standard_normal(size)
+        b -= (b @ a) * a
+        if along:
+            # turn the difference so that it covers `along` standard deviations of the first line
+            flat = line - (line @ a) * a
+            b -= (b @ flat) / (flat @ flat) * flat
+            share = (along * math.sqrt(2 - 2 * cosine) + (1 - cosine) * (line @ a)) / math.sqrt(1 - cosine**2) / np.linalg.norm(flat)
+            if abs(share) >= 1:
+                continue
+            b = share * flat / np.linalg.norm(flat) + math.sqrt(1 - share**2) * b / np.linalg.norm(b)
+        out[0].append(a)
+        out[1].append(cosine * a + math.sqrt(1 - cosine**2) * b / np.linalg.norm(b))
+    return np.array(out[0] + out[1])
+
+
+def links(spark, found):
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(found)], "vec_id long, embedding array<double>, label int")
+    return np.array([r["n_links"] for r in vectors.near_duplicates(frame).orderBy("vec_id").collect()])
+
+
+def test_pairs_far_apart_on_the_first_line_are_compared(spark):
+    found = pairs_at_the_threshold(300, 64, along=4.5)
+    apart = (found[300:] - found[:300]) @ vectors.directions(64, 1)[0]
+    assert np.allclose(apart, 4.5 * math.sqrt(2 - 2 * 0.9301))
+    lines = vectors.directions(64).T
+    window, least = vectors.calibrated(0.93, vectors.LINES, vectors.RECALL)
+    counted = (np.abs(found[300:] @ lines - found[:300] @ lines) <= window).sum(1) >= least
+    assert counted.mean() > 0.95
+    assert (links(spark, found)[:300] >= counted).all()
+
+
+def test_recall_of_the_whole_search_at_the_threshold(spark):
+    n = 4000
+    found = links(spark, pairs_at_the_threshold(n, 64))
+    assert (found[:n] > 0).mean() >= vectors.RECALL
