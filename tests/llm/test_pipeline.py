@@ -15,6 +15,11 @@ CONTRACT = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "held_out", "score", "predicted"],
     "op10": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12": [
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    ],
+    "op13": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
 
 
@@ -23,6 +28,10 @@ def test_every_query_gives_a_row_per_input_row(spark):
         found = run(spark, SMALL)
         wanted = CONTRACT[name.split("_")[0]]
         assert found.columns[: len(wanted)] == wanted
+        if name.startswith("op12_"):
+            # a row per node; the root and the conversations' ends are among them
+            assert found.where("depth = 0 AND parent_conv_id IS NULL").count() == 1
+            continue
         source = "embeddings" if name.startswith("op1_") else "documents"
         assert found.count() == spark.read.parquet(f"{SMALL}/{source}.parquet").count()
     assert sorted(CONTRACT) == sorted(n.split("_")[0] for n in queries.QUERIES)
