@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -68,11 +69,14 @@ PINNED = Scorecard(
 def credit_profiles(states: DataFrame) -> DataFrame:
     """What the features need from customers with their states; customers without children stay."""
     held = [F.col(f"statement_held.{c}").alias(c) for c in ("monthly_income", "monthly_expenses", "balance", "risk_indicators")]
-    return states.select("*", F.col("score_held.score").alias("score"), *held).drop("score_held", "statement_held")
+    score = [F.col("score_held.score").alias("score"), F.col("score_held").isNotNull().alias("has_score")]
+    return states.select("*", *score, *held).drop("score_held", "statement_held")
 
 
-def credit_features(profiles: DataFrame, as_of: str, reference_defaults: bool = False) -> DataFrame:
-    """The thirteen model features per customer, all double and never NULL.
+def credit_features(
+    profiles: DataFrame, as_of: str, reference_defaults: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """The thirteen model features per customer, all double and never NULL, and the columns to ``keep``.
 
     ``reference_defaults`` keeps age, business flag and country at their fallback
     values instead of reading the customer.
@@ -110,12 +114,15 @@ def credit_features(profiles: DataFrame, as_of: str, reference_defaults: bool =
         x.display_name().alias("customer"),
         "email",
         *[values[f].cast("double").alias(f) for f in FEATURES],
+        *keep,
     )
 
 
-def lending_features(lending, as_of: str, reference_defaults: bool = False) -> DataFrame:
+def lending_features(
+    lending, as_of: str, reference_defaults: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
     """Features of every customer from one pass over the lending tables."""
-    return credit_features(credit_profiles(lending.states), as_of, reference_defaults)
+    return credit_features(credit_profiles(lending.states), as_of, reference_defaults, keep)
 
 
 def _standardised(w: Weight) -> Column:

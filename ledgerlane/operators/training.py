@@ -1,23 +1,22 @@
-"""Training rows, the logistic-regression pipeline, evaluation, and scoring with the fitted model."""
+"""Training rows, the fitted model and where it is stored, evaluation, and scoring with it."""
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
-from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlane.functions import exprs as x
-from ledgerlane.operators.scoring import FEATURES, Scorecard, Weight, with_score
+from ledgerlane.operators import logistic, ranks
+from ledgerlane.operators.scoring import FEATURES, Scorecard, score_by_card
+from ledgerlane.sources.sinks import current_path, stored_rows, swap_table
 
 SEED = 42
 TRAINING_ROWS = 1500
+TRAINING_SHARE = Fraction(4, 5)
 LABEL = "is_good_credit"
 
 # Country weights drawn for a synthetic applicant, with probabilities.
@@ -171,42 +170,17 @@ def training_rows(ids: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def in_training(share: float = 0.8, seed: int = SEED, label: str = LABEL) -> Column:
-    """Split by a draw per (label, id): the share holds within each label up to chance."""
-    return x.uniform(str(seed), "split", F.col(label), F.col("id")) < share
-
-
-def split_rows(df: DataFrame, share: float = 0.8, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    chosen = in_training(share, seed)
+def split_rows(
+    df: DataFrame, key: str = "id", label: str = LABEL, share: Fraction = TRAINING_SHARE, seed: int = SEED
+) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: exactly floor(share * rows) of each label train, chosen by draws per key."""
+    chosen = ranks.in_share(df, key, label, share, seed)
     return df.where(chosen), df.where(~chosen)
 
 
-def fit(train: DataFrame, strength: float = 1.0) -> PipelineModel:
-    """Standardise, then logistic regression with an L2 penalty of ``strength`` for the whole set.
-
-    Spark averages the loss over rows, so the penalty is divided by their number. It also
-    scales by the sample deviation; the factor (n - 1) / n on the penalty makes the fitted
-    function the one that scaling by the population deviation would give.
-    """
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw_features")
-    assembled = assembler.transform(train).select("raw_features", F.col(LABEL).cast("double").alias(LABEL))
-    # a bounded sample: one cached partition serves every pass of the fit
-    assembled = assembled.coalesce(1).persist()
-    scaler = StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True).fit(
-        assembled
-    )
-    n = assembled.count()
-    regression = LogisticRegression(
-        featuresCol="scaled_features",
-        labelCol=LABEL,
-        regParam=strength * (n - 1) / n**2,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=200,
-        tol=1e-9,
-    ).fit(scaler.transform(assembled))
-    assembled.unpersist()
-    return PipelineModel([assembler, scaler, regression])
+def fit(train: DataFrame, strength: float = 1.0) -> Scorecard:
+    """The model features of all rows, standardised, in a logistic regression with an L2 penalty of ``strength``."""
+    return logistic.fit(train, LABEL, FEATURES, strength)
 
 
 def training_ids(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
@@ -214,52 +188,36 @@ def training_ids(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
     return spark.range(0, n, 1, 1 + n // 100_000)
 
 
-def bounded(rows: DataFrame, key: str, most: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``most`` labelled rows, those first by a hash of the key: the same on every run and partitioning."""
-    return rows.orderBy(F.xxhash64(key), key).limit(most)
+def save_model(card: Scorecard, spark: SparkSession, path: str) -> None:
+    """Store a model as the next version of the table at ``path``; its readers go on with the version they opened."""
+    swap_table(spark.createDataFrame(logistic.card_rows(card), logistic.CARD_SCHEMA).coalesce(1), path)
 
 
-def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None, retrain: bool = False) -> PipelineModel:
-    """The model saved at ``path``; trained and saved first if absent or if asked to."""
-    if not retrain:
-        try:
-            spark.read.text(f"{path}/metadata").schema
-            return PipelineModel.load(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-    rows = training_rows(training_ids(spark)) if rows is None else rows
-    model = fit(split_rows(rows)[0])
-    model.write().overwrite().save(path)
-    return model
+def load_model(spark: SparkSession, path: str) -> Scorecard | None:
+    """The newest model stored at ``path``, or None."""
+    stored = stored_rows(spark, current_path(spark, path), T.StructType.fromDDL(logistic.CARD_SCHEMA))
+    rows = [] if stored is None else stored.collect()
+    return logistic.card_of(rows) if rows else None
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Score every row of ``features`` in one distributed pass."""
-    scored = model.transform(features)
-    kept = features.columns
-    return with_score(scored, vector_to_array("probability")[1]).select(
-        *kept, "probability", "credit_score", "risk_level"
-    )
+def train_or_load(spark: SparkSession, path: str, rows: DataFrame | None = None, retrain: bool = False) -> Scorecard:
+    """The model saved at ``path``; trained on all of ``rows`` that train, and saved, if absent or if asked to."""
+    held = None if retrain else load_model(spark, path)
+    if held is not None:
+        return held
+    rows = training_rows(training_ids(spark)) if rows is None else rows
+    card = fit(split_rows(rows)[0])
+    save_model(card, spark, path)
+    return card
 
 
-def scorecard_of(model: PipelineModel) -> Scorecard:
-    """The fitted coefficients and scaling as a scorecard, for explanations."""
-    _, scaler, regression = model.stages
-    return Scorecard(
-        float(regression.intercept),
-        tuple(
-            Weight(f, float(c), float(m), float(s))
-            for f, c, m, s in zip(FEATURES, regression.coefficients, scaler.mean, scaler.std)
-        ),
-    )
+def predict(card: Scorecard, features: DataFrame) -> DataFrame:
+    """Score every row of ``features`` by plain column arithmetic."""
+    return score_by_card(features, card).select(*features.columns, "probability", "credit_score", "risk_level")
 
 
 def roc_auc(scored: DataFrame, label: str = LABEL, score: str = "probability") -> float:
-    typed = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("score"))
-    return BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
-    ).evaluate(typed)
+    return ranks.auc_by_ranges(scored, label, score).first()["auc"]
 
 
 def exact_auc(df: DataFrame, label: str, score: str) -> DataFrame:

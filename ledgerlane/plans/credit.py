@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
 from ledgerlane.operators import customer360 as c360
+from ledgerlane.operators import logistic, ranks
 from ledgerlane.operators import reports as r
 from ledgerlane.operators import scoring as s
 from ledgerlane.operators import training as t
 from ledgerlane.plans.registry import query
+from ledgerlane.session import ensure_checkpoint_dir
 from ledgerlane.sources.schemas import SCORE_RANGE, STATEMENT_DATA
 from ledgerlane.sources.views import AS_OF, Lending
 
@@ -211,11 +212,14 @@ def score_histogram(book: Lending) -> DataFrame:
     return batch.withColumn("source", F.lit("batch")).unionByName(bureau.withColumn("source", F.lit("bureau")))
 
 
+def labelled(features: DataFrame) -> DataFrame:
+    """Features of customers with a bureau score, labelled good from 670 on."""
+    return features.withColumn(t.LABEL, F.when(F.col("existing_credit_score") >= GOOD_SCORE, 1).otherwise(0))
+
+
 def labelled_customers(book: Lending) -> DataFrame:
-    """Features of the customers that have a bureau score, labelled good from 670 on."""
     states = book.states.where(F.col("score_held").isNotNull())
-    features = s.credit_features(s.credit_profiles(states), AS_OF)
-    return features.withColumn(t.LABEL, F.when(F.col("existing_credit_score") >= GOOD_SCORE, 1).otherwise(0))
+    return labelled(s.credit_features(s.credit_profiles(states), AS_OF))
 
 
 @query
@@ -250,14 +254,57 @@ def model_auc(book: Lending) -> DataFrame:
     return t.exact_auc(rated_customers(book), t.LABEL, "credit_score")
 
 
+@query
+def split_counts(book: Lending) -> DataFrame:
+    """Labelled customers that train and that test, per label: four fifths of each, rounded down, train."""
+    ensure_checkpoint_dir(book.spark)
+    rows = labelled_customers(book).select("customer_id", t.LABEL).checkpoint()
+    chosen = ranks.in_share(rows, "customer_id", t.LABEL, t.TRAINING_SHARE)
+    return rows.groupBy(t.LABEL).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(chosen).alias("n_train"), F.count_if(~chosen).alias("n_test")
+    )
+
+
+@query
+def probability_auc(book: Lending) -> DataFrame:
+    """Area under the curve of the pinned scorecard's probabilities, exact, by ranges of probability."""
+    ensure_checkpoint_dir(book.spark)
+    scored = s.score_by_card(labelled_customers(book)).select(t.LABEL, "probability").checkpoint()
+    return ranks.auc_by_ranges(scored, t.LABEL, "probability")
+
+
+@query
+def fit_gradient(book: Lending) -> DataFrame:
+    """The penalised gradient at the coefficients fitted on all labelled customers, per feature: zero at the minimum."""
+    rows = labelled_customers(book)
+    found = logistic.gradient(rows, t.LABEL, t.fit(rows))
+    # adding zero makes a rounded -0.0 a 0.0
+    return found.withColumn("gradient", F.round("gradient", 6) + F.lit(0.0))
+
+
 @query
 def batch_scoring(book: Lending) -> DataFrame:
-    """Every customer scored by a model fitted on a bounded sample of the labelled customers."""
-    return score_with(book, t.fit(t.bounded(labelled_customers(book), "customer_id")))
+    """Every customer scored by a model fitted on all labelled customers.
+
+    The features are computed once, for the fit and the scores. The fit runs when the query is
+    built; `batch_scores` with a given or stored model builds the plan alone.
+    """
+    ensure_checkpoint_dir(book.spark)
+    fixed = s.lending_features(book, AS_OF, keep=["has_score"]).checkpoint()
+    card = t.fit(labelled(fixed.where("has_score")))
+    return scored_customers(fixed, card)
+
+
+def batch_scores(book: Lending, model: s.Scorecard | str) -> DataFrame:
+    """Every customer scored by a given model, or by the one stored at a path. Plans only; nothing runs."""
+    card = t.load_model(book.spark, model) if isinstance(model, str) else model
+    if card is None:
+        raise ValueError(f"no model at {model}")
+    return scored_customers(s.lending_features(book, AS_OF), card)
 
 
-def score_with(book: Lending, model: PipelineModel) -> DataFrame:
-    return t.predict(model, s.lending_features(book, AS_OF)).select(
+def scored_customers(features: DataFrame, card: s.Scorecard) -> DataFrame:
+    return t.predict(card, features).select(
         "customer_id",
         "customer",
         "email",

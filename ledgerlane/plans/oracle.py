@@ -595,6 +595,23 @@ def _credit_queries() -> dict[str, str]:
               round((CAST(sum(twice) FILTER (y) AS DOUBLE) / 2 - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2)
                 / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS auc
             FROM ranked""", *SCORE_PARTS).replace("\n, rated", ", rated"),
+        "probability_auc": over(FEATURE_VIEWS, """
+            , rated AS (
+              SELECT k.score >= 670 AS y, probability FROM scored JOIN latest_scores k USING (customer_id)),
+            ranked AS (
+              SELECT y, rank() OVER (ORDER BY probability) * 2 + count(*) OVER (PARTITION BY probability) - 1 AS twice
+              FROM rated)
+            SELECT count(*) FILTER (y) AS n_good, count(*) FILTER (NOT y) AS n_bad,
+              round((CAST(sum(twice) FILTER (y) AS DOUBLE) / 2 - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2)
+                / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 9) AS auc
+            FROM ranked""", *SCORE_PARTS).replace("\n, rated", ", rated"),
+        "split_counts": over(FEATURE_VIEWS, """
+            SELECT CASE WHEN score >= 670 THEN 1 ELSE 0 END AS is_good_credit, count(*) AS n_rows,
+              count(*) * 4 // 5 AS n_train, count(*) - count(*) * 4 // 5 AS n_test
+            FROM latest_scores GROUP BY 1""", LATEST_SCORE),
+        "fit_gradient": over(FEATURE_VIEWS, f"""
+            SELECT feature, (SELECT count(*) FROM latest_scores) AS n_rows, 0.0e0 AS gradient
+            FROM (VALUES ('intercept'), {', '.join(f"({text(f)})" for f in FEATURE_NAMES)}) f(feature)""", LATEST_SCORE),
     }
 
 

@@ -123,11 +123,12 @@ def apply_email_updates(collections: DataFrame, updates: DataFrame, now: Column)
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions of a table; a version that failed half way has no success mark."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/*/_SUCCESS")
+def _versions(spark: SparkSession, path: str, finished: bool = True) -> list[int]:
+    """Numbers of the finished versions of a table, or of all; a write that failed half way leaves no success mark."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/*" + ("/_SUCCESS" if finished else ""))
     found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder)
-    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+    paths = [f.getPath().getParent() if finished else f.getPath() for f in found or []]
+    return sorted(int(p.getName()) for p in paths)
 
 
 def current_path(spark: SparkSession, path: str) -> str:
@@ -136,17 +137,26 @@ def current_path(spark: SparkSession, path: str) -> str:
     return f"{path}/_versions/{numbers[-1]}" if numbers else path
 
 
-def swap_table(df: DataFrame, path: str) -> DataFrame:
+def swap_table(df: DataFrame, path: str, tries: int = 20) -> DataFrame:
     """Write a changed table as its next version; readers that open it from then on see it.
 
     Versions lie below the table's folder under a name that readers of the folder skip, so
-    the old files stay readable for queries that already run on them.
+    the old files stay readable for queries that already run on them. Of two writers that
+    aim at one number the later one goes on to the next; a number that a failed write has
+    used is not used again.
     """
     spark = df.sparkSession
-    numbers = _versions(spark, path)
-    target = f"{path}/_versions/{numbers[-1] + 1 if numbers else 1}"
-    df.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    for _ in range(tries):
+        numbers = _versions(spark, path, finished=False)
+        target = f"{path}/_versions/{numbers[-1] + 1 if numbers else 1}"
+        try:
+            df.write.mode("errorifexists").parquet(target)
+        except AnalysisException as taken:
+            if taken.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            continue
+        return spark.read.parquet(target)
+    raise RuntimeError(f"{path}: other writers took {tries} versions")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

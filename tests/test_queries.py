@@ -30,7 +30,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"batch_scoring"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python(name, spark):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):

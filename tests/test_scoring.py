@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlane.operators import logistic
 from ledgerlane.operators import scoring as s
 from ledgerlane.operators import training as t
+from ledgerlane.plans import credit
 
 
 @pytest.fixture(scope="module")
@@ -85,13 +87,12 @@ def test_poisson_steps():
     assert abs(steps[0] - math.exp(-1)) < 1e-15 and steps == sorted(steps) and abs(steps[-1] - 1) < 1e-8
 
 
-def test_split_share(rows):
+def test_split_is_exact_for_each_label(rows):
     train, test = t.split_rows(rows)
-    n = rows.count()
-    assert train.count() + test.count() == n
+    assert train.count() + test.count() == rows.count() and train.join(test, "id").count() == 0
     for label in (0, 1):
-        part = train.where(F.col(t.LABEL) == label).count() / rows.where(F.col(t.LABEL) == label).count()
-        assert abs(part - 0.8) < 0.04
+        n = rows.where(F.col(t.LABEL) == label).count()
+        assert train.where(F.col(t.LABEL) == label).count() == n * 4 // 5
 
 
 def test_fit_equals_newton_solution(rows, model):
@@ -107,10 +108,37 @@ def test_fit_equals_newton_solution(rows, model):
         gradient = design.T @ (p - y) + penalty @ w
         hessian = (design * (p * (1 - p))[:, None]).T @ design + penalty
         w -= np.linalg.solve(hessian, gradient)
-    regression = model.stages[-1]
-    n = len(y)
-    assert abs(regression.intercept - w[0]) < 1e-6
-    assert np.allclose(regression.coefficients.toArray() * np.sqrt((n - 1) / n), w[1:], atol=1e-6)
+    assert abs(model.intercept - w[0]) < 1e-9
+    assert np.allclose([k.coefficient for k in model.weights], w[1:], atol=1e-9)
+    assert np.allclose([k.mean for k in model.weights], features.mean(0))
+    assert np.allclose([k.std for k in model.weights], features.std(0))
+
+
+def test_gradient_vanishes_at_the_fit_only(rows, model):
+    train = t.split_rows(rows)[0]
+    found = logistic.gradient(train, t.LABEL, model).collect()
+    assert len(found) == 14 and {r.n_rows for r in found} == {train.count()}
+    assert max(abs(r.gradient) for r in found) < 1e-6
+    assert max(abs(r.gradient) for r in logistic.gradient(train, t.LABEL, s.PINNED).collect()) > 1
+
+
+def test_fit_beyond_its_sample(spark, monkeypatch):
+    """The starting sample moves the first step only: tables far above and below it give the same minimum."""
+    rows = t.training_rows(spark.range(0, 6000, 1, 5)).cache()
+    whole = logistic.fit(rows, t.LABEL)
+    monkeypatch.setattr(logistic, "SAMPLED", 50)
+    few = logistic.fit(rows.repartition(7), t.LABEL)
+    assert np.allclose([w.coefficient for w in whole.weights], [w.coefficient for w in few.weights], atol=1e-8)
+
+
+def test_fit_with_nulls_constants_and_separable_labels(spark):
+    rows = [(float(k), 7.0, int(k >= 20)) for k in range(40)] + [(None, 1.0, 1), (1.0, 1.0, None)]
+    card = logistic.fit(spark.createDataFrame(rows, "a double, b double, y int"), "y", ["a", "b"])
+    assert card.weights[0].coefficient > 1 and abs(card.weights[1].coefficient) < 1e-9
+    with pytest.raises(ValueError):
+        logistic.fit(spark.createDataFrame([(1.0, 1)], "a double, y int"), "y", ["a"])
+    with pytest.raises(ValueError):
+        logistic.fit(spark.createDataFrame([], "a double, y int"), "y", ["a"])
 
 
 def test_held_out_auc_and_report(rows, model):
@@ -130,18 +158,30 @@ def test_report_by_hand(spark):
     assert (got[0].precision, got[0].support) == (0.8, 6)
 
 
-def test_scorecard_of_model_gives_the_same_scores(spark, lending, model):
-    features = s.lending_features(lending, "2001-12-31")
-    by_model = {r.customer_id: r.probability for r in t.predict(model, features).collect()}
-    by_card = {r.customer_id: r.probability for r in s.score_by_card(features, t.scorecard_of(model)).collect()}
-    assert by_model.keys() == by_card.keys()
-    assert all(abs(by_model[k] - by_card[k]) < 1e-9 for k in by_model)
-
-
 def test_train_once_then_load(spark, rows, tmp_path):
     path = str(tmp_path / "model")
+    assert t.load_model(spark, path) is None
     first = t.train_or_load(spark, path, rows)
-    again = t.train_or_load(spark, path, rows.limit(0))
-    assert first.stages[-1].coefficients == again.stages[-1].coefficients
+    assert t.train_or_load(spark, path, rows.limit(0)) == first == t.load_model(spark, path)
     fresh = t.train_or_load(spark, path, rows.where("id < 1500"), retrain=True)
-    assert fresh.stages[-1].coefficients != first.stages[-1].coefficients
+    assert fresh != first and t.load_model(spark, path) == fresh
+
+
+def test_scores_by_a_given_and_by_a_stored_model(spark, lending, model, tmp_path):
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError):
+        credit.batch_scores(lending, path)
+    t.save_model(model, spark, path)
+    given, stored = (sorted(credit.batch_scores(lending, m).collect()) for m in (model, path))
+    assert given == stored and len(given) == lending.customers.count()
+    fitted = credit.batch_scoring(lending)
+    assert fitted.columns == credit.batch_scores(lending, model).columns and fitted.count() == len(given)
+
+
+def test_batch_scores_plan_without_a_job(spark, lending, model):
+    spark.sparkContext.setJobGroup("plans only", "")
+    try:
+        credit.batch_scores(lending, model)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plans only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
