@@ -7,12 +7,12 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlane.functions import exprs as x
 from ledgerlane.operators import logistic, ranks
 from ledgerlane.operators.scoring import FEATURES, Scorecard, score_by_card
-from ledgerlane.sources.sinks import current_path, stored_rows, swap_table
+from ledgerlane.sources.files import stored_rows
+from ledgerlane.sources.sinks import current_path, swap_table
 
 SEED = 42
 TRAINING_ROWS = 1500
@@ -195,7 +195,7 @@ def save_model(card: Scorecard, spark: SparkSession, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> Scorecard | None:
     """The newest model stored at ``path``, or None."""
-    stored = stored_rows(spark, current_path(spark, path), T.StructType.fromDDL(logistic.CARD_SCHEMA))
+    stored = stored_rows(spark, current_path(spark, path), logistic.CARD_SCHEMA)
     rows = [] if stored is None else stored.collect()
     return logistic.card_of(rows) if rows else None
 

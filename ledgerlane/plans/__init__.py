@@ -9,6 +9,7 @@ from ledgerlane.plans import (  # noqa: F401
     integrity,
     interactions,
     questions,
+    streams,
 )
 from ledgerlane.plans.registry import QUERIES, run
 

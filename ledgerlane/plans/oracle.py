@@ -840,6 +840,47 @@ def _question_queries() -> dict[str, str]:
     }
 
 
+def _stream_queries() -> dict[str, str]:
+    service = ("customer_service",)
+    category = (
+        "CASE WHEN score >= 0.5 THEN 'Positive' WHEN score <= -0.5 THEN 'Negative' ELSE 'Neutral' END"
+    )
+    return {
+        "streamed_interactions": over(service, """
+            SELECT id, customer_id, 'chat' AS interaction_type, subject AS message,
+              coalesce(sentiment_score, 0.0e0) AS sentiment_score, 'resolved' AS resolution_status, id % 3 AS batch
+            FROM customer_service WHERE customer_id IS NOT NULL"""),
+        "alert_windows": over(service, f"""
+            , placed AS (
+              SELECT id, created_at AS sent, coalesce(sentiment_score, 0.0e0) AS score, id % 50 = 7 AS late,
+                epoch_us(created_at) AS us, min(epoch_us(created_at)) OVER () AS first_us,
+                (max(epoch_us(created_at)) OVER () - min(epoch_us(created_at)) OVER ()) // 4 + 1 AS width
+              FROM customer_service),
+            marks AS (
+              SELECT max(us) FILTER (NOT late AND (us - first_us) // width < 3) // 1000 - 600000 AS before_last,
+                max(us) // 1000 - 600000 AS at_end
+              FROM placed),
+            counted AS (
+              SELECT date_trunc('hour', sent) AS window_start, {category} AS sentiment_category, score < -0.5 AS escalated
+              FROM placed, marks WHERE NOT late OR us > before_last * 1000)
+            SELECT CAST(window_start AS VARCHAR) AS window_start, sentiment_category, count(*) AS n,
+              CAST(count(*) FILTER (escalated) AS BIGINT) AS n_escalated
+            FROM counted, marks WHERE epoch_ms(window_start) + 3600000 <= at_end GROUP BY 1, 2""").replace(
+                "\n, placed", ", placed"),
+        "append_ids": over(service, """
+            , loads AS (
+              SELECT 'load 1' AS load, resolution_status = 'resolved' AS resolved FROM customer_service WHERE id % 2 = 0
+              UNION ALL SELECT 'load 2', true FROM customer_service WHERE id % 2 <> 0 AND customer_id IS NOT NULL),
+            sizes AS (SELECT load, count(*) AS n, count(*) FILTER (resolved) AS n_resolved FROM loads GROUP BY load),
+            ends AS (SELECT *, CAST(sum(n) OVER (ORDER BY load) AS BIGINT) AS last_id FROM sizes)
+            SELECT load, n AS n_rows, n AS n_ids, last_id - n + 1 AS first_id, last_id, n_resolved FROM ends""").replace(
+                "\n, loads", ", loads"),
+        "append_unique": over(("customers",), """
+            SELECT repeated, true AS refused, count(*) AS n_rows, count(DISTINCT email) AS n_emails
+            FROM customers, (VALUES ('e-mail'), ('id')) r(repeated) GROUP BY repeated"""),
+    }
+
+
 def oracle_queries() -> dict[str, str]:
     """SQL per query name. The query that trains a model has none."""
     return {
@@ -851,4 +892,5 @@ def oracle_queries() -> dict[str, str]:
         **_campaign_queries(),
         **_integrity_queries(),
         **_question_queries(),
+        **_stream_queries(),
     }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ledgerlane.operators import quality
+from ledgerlane.sources import keys
 from ledgerlane.sources.schemas import DDL, DOMAINS, REQUIRED, SCORE_RANGE, UNIQUE, conform
 
 
@@ -23,16 +23,6 @@ def violations(df: DataFrame, table: str) -> Column:
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
-def stored_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """The rows below a path, or None if nothing is there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def prepare_rows(df: DataFrame, table: str, after: int = 0, now: Column | None = None) -> DataFrame:
     """Defaults, ids where they are missing, and the declared column order."""
     filled = quality.apply_defaults(df, table, now)
@@ -41,40 +31,33 @@ def prepare_rows(df: DataFrame, table: str, after: int = 0, now: Column | None =
     return conform(filled, table)
 
 
-def refuse_repeats(rows: DataFrame, held: DataFrame | None, table: str, column: str) -> None:
-    """Raise if a value of ``column`` comes twice, within the new rows or against the table. Nulls do not clash."""
-    values = rows.where(F.col(column).isNotNull()).select(column)
-    clashes = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
-    if held is not None:
-        clashes = clashes.union(values.join(held.select(column), column, "left_semi"))
-    first = clashes.take(1)
-    if first:
-        raise ValueError(f"{table}: {column} {first[0][0]!r} is held already")
-
-
 def append_rows(df: DataFrame, table: str, path: str, now: Column | None = None) -> None:
     """Append rows in the declared shape. One bad row fails the job, as a constraint would.
 
     Missing ids go on from the largest one stored, given ones and unique columns must be
-    new. The check of single rows runs inside the write: the failing row stops its task and
-    the commit protocol leaves the table as it was.
+    new. Both are looked up in the key index beside the table, of which the buckets of the
+    new keys are read; the table itself is not. The check of single rows runs inside the
+    write: the failing row stops its task and the commit protocol leaves the table as it was.
     """
     spark = df.sparkSession
     target = current_path(spark, path)
-    held = stored_rows(spark, target, conform(spark.createDataFrame([], DDL[table]), table).schema)
+    schema = conform(spark.createDataFrame([], DDL[table]), table).schema
+    unique = ["id", *UNIQUE.get(table, [])]
+    after = keys.cover(spark, target, schema, unique)
     given = "id" in df.columns
-    after = 0
-    if held is not None and not given:
-        after = held.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = prepare_rows(df, table, after, now)
-    for column in [*(["id"] if given else []), *UNIQUE.get(table, [])]:
-        refuse_repeats(rows, held, table, column)
+    for column in unique if given else unique[1:]:
+        first = keys.clashes(rows, target, column).take(1)
+        if first:
+            value = int(first[0][0]) if column == "id" else first[0][0]
+            raise ValueError(f"{table}: {column} {value!r} is held already")
     broken = violations(rows, table)
     checked = rows.where(
         F.when(F.size(broken) > 0, F.raise_error(F.concat(F.lit(f"{table}: "), F.array_join(broken, ", "))).cast("boolean"))
         .otherwise(F.lit(True))
     )
     checked.write.mode("append").parquet(target)
+    keys.cover(spark, target, schema, unique)
 
 
 def campaign_drafts(requests: DataFrame, start_date: Column) -> DataFrame:

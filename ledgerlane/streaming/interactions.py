@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlane.functions import exprs as x
 from ledgerlane.functions import text as tx
 from ledgerlane.sources.schemas import conform
-from ledgerlane.sources.sinks import stored_rows
+from ledgerlane.sources.files import stored_rows
 
 # What arrives: one file row per answered message, with the sentiment reply as text.
 MESSAGE_SCHEMA = (
@@ -17,7 +17,8 @@ MESSAGE_SCHEMA = (
 )
 
 
-def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1 << 30) -> DataFrame:
+    """All files that have come below a path. What has come by the start of a run is one batch, unless limited."""
     return (
         spark.readStream.schema(MESSAGE_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -74,26 +75,29 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def append_new(batch: DataFrame, path: str) -> None:
-    """Append the messages whose id the table does not hold yet.
+def append_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Write one batch as its own partition, without the messages that earlier batches hold.
 
-    A repeated message carries the date of the first, so only the stored days of the
-    batch are compared. Run again after a failure, a batch that was written adds nothing.
+    The partition is replaced as a whole, so a batch that is run again after a failure, with the
+    same rows and the same number, leaves the table as it was. A repeated message carries the date
+    of the first, so only the stored days of the batch are compared.
     """
+    spark, columns = batch.sparkSession, batch.columns
     batch = batch.where("id IS NOT NULL").dropDuplicates(["id"])
-    held = stored_rows(batch.sparkSession, path, batch.schema)
+    held = stored_rows(spark, path, batch.withColumn("batch", F.lit(0).cast("long")).schema)
     if held is not None:
         day = F.col("created_at").cast("date")
         low, high = batch.agg(F.min(day), F.date_add(F.max(day), 1)).first()
-        near = held.where(F.col("created_at").between(F.lit(low), F.lit(high)) | F.col("created_at").isNull()).select("id")
-        batch = batch.join(near, "id", "left_anti").select(*batch.columns)
-    batch.write.mode("append").parquet(path)
+        near = F.col("created_at").between(F.lit(low), F.lit(high)) | F.col("created_at").isNull()
+        earlier = held.where((F.col("batch") < number) & near).select("id")
+        batch = batch.join(earlier, "id", "left_anti").select(*columns)
+    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
 def store_messages(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Add every arrived message to the service table once, late ones as well."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path))
+        stream.writeStream.foreachBatch(lambda batch, number: append_batch(batch, number, path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

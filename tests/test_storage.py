@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import quality as q
-from ledgerlane.sources import catalog, sinks
+from ledgerlane.sources import catalog, keys, sinks
 from ledgerlane.sources.schemas import DDL, DOMAINS, FACTORS, conform
 
 def now():
@@ -203,3 +203,68 @@ def test_queries_run_on_stored_tables(spark, lending, tmp_path):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect())), name
     for name in set(QUERIES) - set(same) - {"batch_scoring"}:
         QUERIES[name](stored).limit(5).collect()
+
+
+def customers(spark, *rows):
+    return spark.createDataFrame([(i, "individual", e) for i, e in rows], "id long, customer_type string, email string")
+
+
+def test_repeated_keys_are_refused_by_the_index_alone(spark, tmp_path):
+    path = str(tmp_path / "customers")
+    sinks.append_rows(customers(spark, (1, "a"), (2, "b")), "customers", path, now())
+    sinks.append_rows(customers(spark, (4, "c"), (5, "d")), "customers", path, now())
+    for bad in ([(9, "a")], [(2, "z")], [(10, "y"), (11, "y")], [(12, "x"), (12, "w")]):
+        with pytest.raises(ValueError, match="held already"):
+            sinks.append_rows(customers(spark, *bad), "customers", path, now())
+    assert spark.read.parquet(path).count() == 4
+    # the id goes on from the largest one in the log, though no table row is read for it
+    sinks.append_rows(customers(spark, (0, "e")).drop("id"), "customers", path, now())
+    assert spark.read.parquet(path).where("email = 'e'").first().id == 6
+
+
+def test_only_the_buckets_of_new_keys_are_read(spark, tmp_path):
+    path = str(tmp_path / "customers")
+    sinks.append_rows(customers(spark, *[(k, f"m{k}") for k in range(500)]), "customers", path, now())
+    index = spark.read.parquet(f"{path}/_keys/values")
+    assert index.where("name = 'email'").count() == index.where("name = 'id'").count() == 500
+    bucket = spark.range(1).select(keys.bucket_of(F.lit("m7"))).first()[0]
+    read = keys.held_values(spark, path, "email", [bucket])
+    files = read.select(F.input_file_name()).distinct().collect()
+    assert files and all(f"name=email/bucket={bucket}/" in f[0] for f in files)
+    assert "PartitionFilters: [isnotnull(name" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_append_that_failed_before_its_index_is_made_good(spark, tmp_path):
+    path = str(tmp_path / "customers")
+    sinks.append_rows(customers(spark, (1, "a")), "customers", path, now())
+    # rows that reached the table without the index, as after a crash
+    spark.read.parquet(path).withColumns({"id": F.lit(40).cast("long"), "email": F.lit("lost")}).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="'lost' is held already"):
+        sinks.append_rows(customers(spark, (2, "lost")), "customers", path, now())
+    sinks.append_rows(customers(spark, (0, "b")).drop("id"), "customers", path, now())
+    assert spark.read.parquet(path).where("email = 'b'").first().id == 41
+
+
+def test_a_new_version_brings_its_own_index(spark, tmp_path):
+    path = str(tmp_path / "customers")
+    sinks.append_rows(customers(spark, (1, "a"), (2, "b")), "customers", path, now())
+    sinks.swap_table(spark.read.parquet(path).where("id = 1"), path)
+    sinks.append_rows(customers(spark, (2, "b")), "customers", path, now())
+    with pytest.raises(ValueError, match="'a' is held already"):
+        sinks.append_rows(customers(spark, (3, "a")), "customers", path, now())
+
+
+def test_writers_of_one_number_do_not_overwrite_each_other(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    real, calls = sinks._versions, []
+
+    def stale(*args, **kw):
+        calls.append(1)
+        # the first look misses a version that another writer has just made
+        return [] if len(calls) == 1 else real(*args, **kw)
+
+    sinks.swap_table(spark.range(3), path)
+    monkeypatch.setattr(sinks, "_versions", stale)
+    sinks.swap_table(spark.range(5), path)
+    monkeypatch.undo()
+    assert [spark.read.parquet(f"{path}/_versions/{n}").count() for n in (1, 2)] == [3, 5]

@@ -38,8 +38,12 @@ def test_late_messages_are_stored_once(spark, tmp_path):
     write(spark, source, message(2, 0, 0.5, day=2), message(1, 0, 0.5, day=9), message(2, 0, 0.5, day=2))
     run()
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2]
-    i.append_new(spark.read.parquet(sink), sink)
-    assert spark.read.parquet(sink).count() == 2
+    assert {r.id: r.batch for r in spark.read.parquet(sink).collect()} == {1: 0, 2: 1}
+    # a batch that runs again replaces itself, and one that was lost half way comes back
+    again = i.as_interactions(i.flagged(spark.read.schema(i.MESSAGE_SCHEMA).parquet(source)))
+    i.append_batch(again.where("id = 2"), 1, sink)
+    i.append_batch(again, 2, sink)
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2]
 
 
 def test_alerts_per_window(spark, tmp_path):
