@@ -8,6 +8,8 @@ between the table and the index is made good by the next one; values added twice
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from pyspark.sql.types import StructType
 
 from ledgerlane.sources.files import stored_rows
 
-#: Buckets of an index. An append writes one file per bucket it touches, so few for small tables; fixed once written.
-BUCKETS = 16
+#: Hash buckets by which the index is ordered. An append that touches at most `NAMED` of them names them to the scan.
+BUCKETS = 1024
+NAMED = 64
 VALUES = "value string, name string, bucket int"
 FILES = "file string, max_id bigint"
 
@@ -46,9 +49,10 @@ def cover(spark: SparkSession, path: str, schema: StructType, columns: Sequence[
     if new:
         rows = spark.read.schema(schema).parquet(*new)
         if columns:
-            # one file per bucket and append, in order of value: few pages of it hold a given value
-            keys = keys_of(rows, columns).repartition("name", "bucket").sortWithinPartitions("name", "bucket", "value")
-            keys.write.mode("append").partitionBy("name", "bucket").parquet(f"{path}/_keys/values")
+            # in order of column and bucket: a scan for some buckets skips all other pages
+            held = keys_of(rows, columns).repartitionByRange("name", "bucket", "value")
+            ordered = held.sortWithinPartitions("name", "bucket", "value")
+            ordered.write.mode("append").parquet(f"{path}/_keys/values")
         added = rows.agg(F.max("id")).first()[0]
         named = spark.createDataFrame([(f, added) for f in new], FILES)
         named.coalesce(1).write.mode("append").parquet(f"{path}/_keys/files")
@@ -57,11 +61,15 @@ def cover(spark: SparkSession, path: str, schema: StructType, columns: Sequence[
 
 
 def held_values(spark: SparkSession, path: str, name: str, buckets: Sequence[int]) -> DataFrame | None:
-    """The indexed values of a column in some buckets; other buckets are not read."""
+    """The indexed values of a column in some buckets. The scan skips the pages of other buckets, as they are sorted."""
     index = stored_rows(spark, f"{path}/_keys/values", VALUES)
     if index is None or not buckets:
         return None
-    return index.where((F.col("name") == name) & F.col("bucket").isin(list(buckets))).select("value")
+    named = index.where(F.col("name") == name)
+    if len(buckets) <= NAMED:
+        # single comparisons reach the scan one by one; a list of them would only give its ends
+        named = named.where(reduce(or_, [F.col("bucket") == b for b in buckets]))
+    return named.select("value")
 
 
 def clashes(rows: DataFrame, path: str, name: str) -> DataFrame:

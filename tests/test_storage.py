@@ -229,9 +229,15 @@ def test_only_the_buckets_of_new_keys_are_read(spark, tmp_path):
     assert index.where("name = 'email'").count() == index.where("name = 'id'").count() == 500
     bucket = spark.range(1).select(keys.bucket_of(F.lit("m7"))).first()[0]
     read = keys.held_values(spark, path, "email", [bucket])
-    files = read.select(F.input_file_name()).distinct().collect()
-    assert files and all(f"name=email/bucket={bucket}/" in f[0] for f in files)
-    assert "PartitionFilters: [isnotnull(name" in read._jdf.queryExecution().executedPlan().toString()
+    assert "m7" in [r.value for r in read.collect()] and read.count() < 20
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(bucket,{bucket})" in plan and "EqualTo(name,email)" in plan
+    # each file is in order of column and bucket, so its pages hold a few buckets each
+    for file in index.select(F.input_file_name().alias("f")).distinct().collect():
+        rows = spark.read.parquet(file.f).collect()
+        assert [(r.name, r.bucket) for r in rows] == sorted((r.name, r.bucket) for r in rows)
+    # with more buckets than are named the whole column is read
+    assert keys.held_values(spark, path, "email", range(keys.BUCKETS)).count() == 500
 
 
 def test_an_append_that_failed_before_its_index_is_made_good(spark, tmp_path):
