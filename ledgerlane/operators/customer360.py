@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import exprs as x
+from ledgerlane.operators.numbering import number_within
 from ledgerlane.sources.views import money
 
 
@@ -127,6 +128,42 @@ def verifications(states: DataFrame, kyc: DataFrame) -> DataFrame:
     )
 
 
+RECORDS = ["id", "verification_type", "verification_status", "risk_score", "created_at"]
+
+
+def service_contexts(states: DataFrame, kyc: DataFrame, size: int = 100) -> DataFrame:
+    """What a reply is told about a customer, in numbered pieces of at most ``size`` verification records.
+
+    Piece 1 holds the customer, the newest score and the newest statement; every piece holds its share of the records in
+    order of date and id. Records are numbered by sorted ranges and grouped by (customer, piece), so a customer with a
+    third of all records is many small groups. A customer without records has one piece with an empty list.
+    """
+    owned = kyc.where(F.col("customer_id").isNotNull()).select("customer_id", *RECORDS)
+    numbered = number_within(owned, "customer_id", ["created_at", "id"])
+    pieces = (
+        numbered.groupBy("customer_id", F.floor((F.col("position") - 1) / size).alias("at"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", *RECORDS))).alias("held"))
+        .select(
+            "customer_id", (F.col("at") + 1).alias("piece"), F.size("held").cast("long").alias("n_records"),
+            F.transform("held", lambda r: F.struct(*[r[c].alias(c) for c in RECORDS])).alias("records"),
+        )
+    )
+    person = [c for c in states.columns if c not in ("customer_id", "score_held", "statement_held")]
+    statement = F.struct(*[F.col(f"statement_held.{c}").alias(c) for c in STATEMENT_COLUMNS])
+    joined = states.join(pieces, "customer_id", "left").withColumn("piece", F.coalesce("piece", F.lit(1).cast("long")))
+    first = F.col("piece") == 1
+    context = F.struct(
+        F.when(first, F.struct(F.col("customer_id").alias("id"), *person)).alias("customer"),
+        F.coalesce("records", F.array().cast(pieces.schema["records"].dataType)).alias("kyc_data"),
+        F.when(first, F.col("score_held")).alias("credit_score"),
+        F.when(first & F.col("statement_held").isNotNull(), statement).alias("bank_statement"),
+    )
+    return joined.select(
+        "customer_id", "piece", F.coalesce("n_records", F.lit(0).cast("long")).alias("n_records"),
+        F.to_json(context, {"ignoreNullFields": "false"}).alias("context"),
+    )
+
+
 def statement_trends(statements: DataFrame) -> DataFrame:
     """Net flow, change against the statement before, and each customer's averages.
 

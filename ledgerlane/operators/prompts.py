@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from ledgerlane.functions import exprs as x
 from ledgerlane.functions import text as tx
 from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.sources import dims
+from ledgerlane.sources.files import stored_rows
 
 
 def render_prompts(requests: DataFrame, templates: DataFrame, seed: int = 42) -> DataFrame:
@@ -295,3 +296,51 @@ def complete(
                 yield part.assign(**{reply: replies, "error": error})
 
     return df.mapInPandas(send, schema)
+
+
+REPLIES = "prompt_sha256 string, reply string, batch string"
+
+
+def stored_replies(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt_sha256, reply): one reply per prompt of those kept at ``path``."""
+    held = stored_rows(spark, path, REPLIES)
+    if held is None:
+        held = spark.createDataFrame([], REPLIES)
+    return held.groupBy("prompt_sha256").agg(F.min("reply").alias("reply"))
+
+
+def complete_once(
+    df: DataFrame,
+    answer: Callable[[list[str]], list[str]],
+    path: str,
+    prompt: str = "user_prompt",
+    reply: str = "reply",
+    batch_size: int = 64,
+    parts: int = 16,
+) -> DataFrame:
+    """Send each different prompt once and keep its reply at ``path``; rows get the reply of their prompt.
+
+    Prompts that have a reply there are not sent, so a run that was lost half way goes on and a rerun sends nothing.
+    The rest is sent in ``parts`` by hash of the prompt, each written before the next is sent: a lost task repeats
+    calls of its own part only, and its output counts once. A call that fails keeps nothing, so its prompts are sent by
+    the next run; until then their rows have a null reply. Null prompts are not sent. The join splits prompts that many
+    rows share. Only digests and replies are stored.
+    """
+    if reply in df.columns or "prompt_sha256" in df.columns:
+        raise ValueError(f"the rows have a column {reply!r} or 'prompt_sha256' already")
+    spark = df.sparkSession
+    keyed = df.withColumn("prompt_sha256", F.sha2(F.col(prompt), 256))
+    wanted = keyed.where(F.col(prompt).isNotNull()).groupBy("prompt_sha256").agg(F.min(prompt).alias(prompt))
+    part = F.pmod(F.xxhash64("prompt_sha256"), F.lit(parts))
+    for n in range(parts):
+        # what earlier parts have written holds none of these prompts
+        new = wanted.where(part == n).join(stored_replies(spark, path), "prompt_sha256", "left_anti")
+        if new.isEmpty():
+            continue
+        sent = complete(new, answer, prompt, "reply", batch_size).where("error IS NULL")
+        sent.select("prompt_sha256", "reply", F.lit(str(n)).alias("batch")).write.mode("append").parquet(path)
+    # a prompt that many rows share is one row on the right; the facts are cut into pieces by their own hash
+    spread = keyed.withColumn("__spread", F.xxhash64(*df.columns))
+    replies = stored_replies(spark, path).withColumnRenamed("reply", reply)
+    joined = join_splitting_hot_keys(spread, replies, "prompt_sha256", "left", "__spread")
+    return joined.select(*df.columns, reply)

@@ -188,10 +188,19 @@ def feature_contributions(features: DataFrame, card: Scorecard = PINNED, top: in
 
 
 def feature_statistics(features: DataFrame) -> DataFrame:
-    """Mean and population deviation of every feature, from one pass."""
-    row = features.agg(
-        *[F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in FEATURES]
-    )
+    """Mean and population deviation of every feature, from one pass.
+
+    Values count in millionths as whole numbers, so the sums are exact and the order of rows cannot move them.
+    """
+    n = F.count(F.lit(1))
+
+    def measured(f: str) -> Column:
+        value = F.rint(F.col(f) * 1e6).cast("decimal(18,0)")
+        mean = F.sum(value).cast("double") / n
+        spread = F.sum(value * value).cast("double") / n - mean * mean
+        return F.struct((mean / 1e6).alias("mean"), (F.sqrt(F.greatest(spread, F.lit(0.0))) / 1e6).alias("std")).alias(f)
+
+    row = features.agg(*[measured(f) for f in FEATURES])
     return row.unpivot([], FEATURES, "feature", "s").select("feature", "s.mean", "s.std")
 
 

@@ -183,7 +183,7 @@ def top_feature_impacts(book: Lending) -> DataFrame:
 @query
 def model_feature_insights(book: Lending) -> DataFrame:
     return s.model_insights(s.lending_features(book, AS_OF)).withColumns(
-        {"mean": F.round(F.col("mean") + 1e-7, 4), "std": F.round(F.col("std") + 1e-7, 4)}
+        {"mean": F.round("mean", 4), "std": F.round("std", 4)}
     )
 
 

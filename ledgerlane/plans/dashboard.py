@@ -11,6 +11,7 @@ from ledgerlane.functions import exprs as x
 from ledgerlane.operators import reports as r
 from ledgerlane.plans.registry import query
 from ledgerlane.sources import catalog
+from ledgerlane.sources.files import scratch_folder
 from ledgerlane.sources.schemas import DOMAINS
 from ledgerlane.sources.views import TABLES, Lending, register_views
 
@@ -104,3 +105,20 @@ def column_profile(book: Lending) -> DataFrame:
 def adhoc_sql(book: Lending) -> DataFrame:
     register_views(book)
     return book.spark.sql("SELECT id, customer_type, email, country FROM customers WHERE country = 'Germany'")
+
+
+@query
+def sketched_profile(book: Lending) -> DataFrame:
+    """The profile of two loads from their stored sketches, and whether each estimate is within 4 % of the exact count."""
+    path = scratch_folder(book.spark, "sketches")
+    tables = {t: book.view(t) for t in TABLES if t != "bank_statements"}
+    for load in (0, 1):
+        for name, rows in tables.items():
+            part = rows.where(F.pmod("id", F.lit(2)) == load)
+            catalog.profile_sketch(part, name).write.mode("append").parquet(path)
+    united = catalog.united_profile(book.spark.read.parquet(path))
+    exact = catalog.column_profiles(tables).select("table_name", "column_name", F.col("n_distinct").alias("exact"))
+    return united.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "n_rows", "n_null",
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.04).alias("close"),
+    )

@@ -96,3 +96,9 @@ def service_prompts(book: Lending) -> DataFrame:
     profiles = c360.customer_360(book.states, book.kyc)
     said = F.coalesce("message", "subject") if "message" in book.service.columns else F.col("subject")
     return p.service_replies(book.service.select("id", "customer_id", said.alias("message")), profiles)
+
+
+@query
+def service_contexts(book: Lending) -> DataFrame:
+    """The whole context of a reply per customer, every verification record in it, in numbered pieces."""
+    return c360.service_contexts(book.states, book.kyc)

@@ -300,6 +300,10 @@ def _dashboard_queries() -> dict[str, str]:
         "table_row_counts": over(tuple(columns), " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in columns)),
         "column_profile": over(tuple(columns), " UNION ALL ".join(profile)),
+        "sketched_profile": over(
+            tuple(t for t in columns if t != "bank_statements"),
+            "SELECT table_name, column_name, n_rows, n_null, true AS close FROM ("
+            + " UNION ALL ".join(p for p in profile if not p.endswith("bank_statements")) + ")"),
         "adhoc_sql": over(("customers",), "SELECT id, customer_type, email, country FROM customers WHERE country = 'Germany'"),
     }
 
@@ -370,6 +374,25 @@ def _interaction_queries() -> dict[str, str]:
                 FROM kyc_kyb_data GROUP BY customer_id) n ON n.customer_id = c.id
               LEFT JOIN latest_scores s ON s.customer_id = c.id
               LEFT JOIN latest_statements b ON b.customer_id = c.id)"""),
+        "service_contexts": over(("customers", "kyc_kyb_data", "credit_scores", "bank_statements"), """
+            SELECT c.id AS customer_id, k.piece, k.n AS n_records, CAST(to_json({
+                customer: CASE WHEN k.piece = 1 THEN {id: c.id, customer_type: c.customer_type, first_name: c.first_name,
+                  last_name: c.last_name, company_name: c.company_name, email: c.email, date_of_birth: c.date_of_birth,
+                  country: c.country, registration_number: c.registration_number} END,
+                kyc_data: k.records,
+                credit_score: CASE WHEN k.piece = 1 AND s.id IS NOT NULL
+                  THEN {id: s.id, score: s.score, score_date: s.score_date} END,
+                bank_statement: CASE WHEN k.piece = 1 AND b.customer_id IS NOT NULL THEN {statement_date: b.statement_date,
+                  balance: b.balance, monthly_income: b.monthly_income, monthly_expenses: b.monthly_expenses,
+                  transaction_count: b.transaction_count, risk_indicators: b.risk_indicators} END}) AS VARCHAR) AS context
+            FROM customers c
+            JOIN (SELECT customer_id, (rn - 1) // 100 + 1 AS piece, count(*) AS n,
+                list({id: id, verification_type: verification_type, verification_status: verification_status,
+                  risk_score: risk_score, created_at: created_at} ORDER BY rn) AS records
+              FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at, id) AS rn FROM kyc_kyb_data)
+              GROUP BY 1, 2) k ON k.customer_id = c.id
+            LEFT JOIN latest_scores s ON s.customer_id = c.id
+            LEFT JOIN latest_statements b ON b.customer_id = c.id""", LATEST_SCORE, LATEST_STATEMENT),
         "parsed_sentiment": over(service, """
             SELECT id,
               CASE WHEN priority IN ('low', 'urgent') OR (priority <> 'high' AND sentiment_score IS NULL) THEN 0.0e0
@@ -551,8 +574,11 @@ def _credit_queries() -> dict[str, str]:
             SELECT {title('f.feature')} AS feature, any_value(coefficient) AS coefficient,
               abs(any_value(coefficient)) AS importance,
               CASE WHEN any_value(coefficient) > 0 THEN 'Positive' ELSE 'Negative' END AS effect,
-              round(avg(value) + 1e-7, 4) AS mean, round(stddev_pop(value) + 1e-7, 4) AS std
-            FROM long_features f JOIN card k ON k.feature = f.feature GROUP BY f.feature
+              round(sum(millionths)::DOUBLE / count(*) / 1e6, 4) AS mean,
+              round(sqrt(greatest(sum(millionths * millionths)::DOUBLE / count(*)
+                - sum(millionths)::DOUBLE / count(*) * (sum(millionths)::DOUBLE / count(*)), 0.0e0)) / 1e6, 4) AS std
+            FROM (SELECT feature, round(value * 1e6)::HUGEINT AS millionths FROM long_features) f
+            JOIN card k ON k.feature = f.feature GROUP BY f.feature
             ORDER BY importance DESC, f.feature LIMIT 10""", *FEATURE_PARTS, CARD_TABLE, LONG_FEATURES),
         "score_summary": over(FEATURE_VIEWS, """
             SELECT avg(credit_score) AS avg_score, count(*) FILTER (risk_level = 'High Risk') AS high_risk,

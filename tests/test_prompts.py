@@ -95,3 +95,47 @@ def test_only_the_failed_call_loses_its_rows(spark):
 def test_sentiment_prompts(spark):
     row = p.sentiment_prompts(spark.createDataFrame([(1, "bad day")], "id int, message string")).first()
     assert row.user_prompt == "bad day" and row.max_tokens == 200
+
+
+def sent_log(folder):
+    """An answer that leaves a file per prompt it is asked, and so tells how often each was sent."""
+    import os
+    import uuid
+
+    def answer(texts):
+        if "fails" in texts:
+            raise RuntimeError("no service")
+        for t in texts:
+            open(os.path.join(folder, f"{t}.{uuid.uuid4().hex}"), "w").close()
+        return [t.upper() for t in texts]
+
+    return answer
+
+
+def test_equal_prompts_are_sent_once_and_a_rerun_sends_none(spark, tmp_path):
+    log, kept = tmp_path / "log", str(tmp_path / "kept")
+    log.mkdir()
+    rows = [(i, f"p{i % 5}" if i % 3 else "hot") for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id int, user_prompt string").repartition(6)
+    for _ in range(2):
+        got = {r.id: r.reply for r in p.complete_once(df, sent_log(str(log)), kept, parts=3).collect()}
+        assert got == {i: t.upper() if t else None for i, t in rows}
+        assert sorted(f.name.split(".")[0] for f in log.iterdir()) == ["hot", "p0", "p1", "p2", "p3", "p4"]
+    more = spark.createDataFrame([(1, "p1"), (2, "new")], "id int, user_prompt string")
+    assert {r.reply for r in p.complete_once(more, sent_log(str(log)), kept, parts=3).collect()} == {"P1", "NEW"}
+    assert len(list(log.iterdir())) == 7
+    assert p.complete_once(df.limit(0), sent_log(str(log)), kept, parts=3).collect() == []
+
+
+def test_a_failed_call_keeps_nothing_and_is_sent_again(spark, tmp_path):
+    log, kept = tmp_path / "log", str(tmp_path / "kept")
+    log.mkdir()
+    df = spark.createDataFrame([(1, "fails"), (2, "fine")], "id int, user_prompt string")
+    for _ in range(2):
+        got = {r.id: r.reply for r in p.complete_once(df, sent_log(str(log)), kept, batch_size=1, parts=1).collect()}
+        assert got == {1: None, 2: "FINE"}
+    assert len(list(log.iterdir())) == 1
+    healed = p.complete_once(df, lambda texts: [t.title() for t in texts], kept, parts=1)
+    assert {r.id: r.reply for r in healed.collect()} == {1: "Fails", 2: "FINE"}
+    with pytest.raises(ValueError):
+        p.complete_once(df.withColumn("reply", df.id), sent_log(str(log)), kept)
