@@ -55,7 +55,9 @@ def column_profile(df: DataFrame, table: str, approximate: bool = False) -> Data
     kinds = {f.name: f.dataType for f in df.schema}
     held = [
         F.when(F.length(c) > 32, F.md5(c)).otherwise(F.col(c)).alias(c)
-        if isinstance(kinds[c], T.StringType) else F.col(c).cast("string").alias(c)
+        if isinstance(kinds[c], T.StringType)
+        # adding zero makes -0.0 and 0.0 one value
+        else (F.col(c) + F.lit(0.0) if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else F.col(c)).cast("string").alias(c)
         for c in df.columns
     ]
     values = df.select(*held).unpivot([], df.columns, "column_name", "value")
