@@ -13,7 +13,7 @@ from ledgerlane.operators import scoring as s
 from ledgerlane.operators import training as t
 from ledgerlane.plans.registry import query
 from ledgerlane.session import ensure_checkpoint_dir
-from ledgerlane.sources.schemas import SCORE_RANGE, STATEMENT_DATA
+from ledgerlane.sources.schemas import FACTORS, SCORE_RANGE, STATEMENT_DATA
 from ledgerlane.sources.views import AS_OF, Lending
 
 # Fixed value: a bureau score counts as good from here on.
@@ -34,6 +34,30 @@ def score_history(book: Lending) -> DataFrame:
     )
 
 
+# What a stored score says about its reasons.
+HISTORIES = ["excellent", "good", "fair"]
+MIXES = ["diverse", "limited", "moderate"]
+
+
+@query
+def score_factors(book: Lending) -> DataFrame:
+    """The reasons of every score as the JSON text that is stored, and as they read back from it."""
+    at = F.pmod("id", F.lit(3)).cast("int")
+    written = x.json_text(
+        FACTORS,
+        payment_history=F.element_at(F.array(*map(F.lit, HISTORIES)), at + 1),
+        credit_utilization=F.concat((F.pmod("id", F.lit(31)) + 10).cast("string"), F.lit("%")),
+        length_of_credit=F.concat((F.pmod("customer_id", F.lit(11)) + 5).cast("string"), F.lit(" years")),
+        credit_mix=F.element_at(F.array(*map(F.lit, MIXES)), F.pmod("customer_id", F.lit(3)).cast("int") + 1),
+    )
+    stored = book.credit_scores.select("id", written.alias("factors"))
+    read = stored.withColumn("f", x.parse_json("factors", FACTORS))
+    return read.select(
+        "id", "factors", "f.payment_history", F.rtrim(F.col("f.credit_utilization"), F.lit("%")).cast("int").alias("utilization"),
+        F.split_part("f.length_of_credit", F.lit(" "), F.lit(1)).cast("int").alias("years"), "f.credit_mix",
+    )
+
+
 @query
 def latest_score(book: Lending) -> DataFrame:
     return c360.latest_score(book.score_facts, book.score_owners)

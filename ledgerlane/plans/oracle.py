@@ -482,6 +482,14 @@ def _credit_queries() -> dict[str, str]:
         "score_history": over(("credit_scores", "customers"), f"""
             SELECT f.id, {NAME} AS customer, score, CAST(score_date AS VARCHAR) AS score_date
             FROM credit_scores f JOIN customers c ON f.customer_id = c.id ORDER BY f.score_date DESC, f.id DESC"""),
+        "score_factors": over(("credit_scores",), """
+            , said AS (
+              SELECT id, (['excellent', 'good', 'fair'])[id % 3 + 1] AS payment_history, CAST(id % 31 + 10 AS INT) AS utilization,
+                CAST(customer_id % 11 + 5 AS INT) AS years, (['diverse', 'limited', 'moderate'])[customer_id % 3 + 1] AS credit_mix
+              FROM credit_scores)
+            SELECT *, concat('{"payment_history":"', payment_history, '","credit_utilization":"', utilization,
+              '%","length_of_credit":"', years, ' years","credit_mix":"', credit_mix, '"}') AS factors
+            FROM said""").replace("\n, said", ", said"),
         "latest_score": over(("credit_scores",), """
             SELECT customer_id, id, score, CAST(score_date AS VARCHAR) AS score_date FROM latest_scores""", LATEST_SCORE),
         "latest_statement": over(statements, """
