@@ -82,7 +82,8 @@ def fit(rows: DataFrame, label: str, features: list[str] = FEATURES, strength: f
     """
     ensure_checkpoint_dir(rows.sparkSession)
     columns = [F.col(c).cast("double").alias(c) for c in (*features, label)]
-    fixed = rows.select(*columns).dropna().checkpoint()
+    # fixed first: a filter on computed columns would be pushed below them and compute them again
+    fixed = rows.select(*columns).checkpoint().dropna()
     stats = fixed.agg(
         F.count(F.lit(1)), F.sum(label), *[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]
     ).first()

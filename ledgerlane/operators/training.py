@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlane.functions import exprs as x
 from ledgerlane.operators import logistic, ranks
 from ledgerlane.operators.scoring import FEATURES, Scorecard, score_by_card
+from ledgerlane.session import ensure_checkpoint_dir
 from ledgerlane.sources.files import stored_rows
 from ledgerlane.sources.sinks import current_path, swap_table
 
@@ -173,7 +174,12 @@ def training_rows(ids: DataFrame, seed: int = SEED) -> DataFrame:
 def split_rows(
     df: DataFrame, key: str = "id", label: str = LABEL, share: Fraction = TRAINING_SHARE, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows: exactly floor(share * rows) of each label train, chosen by draws per key."""
+    """Training and test rows: exactly floor(share * rows) of each label train, chosen by draws per key.
+
+    The rows are fixed in the checkpoint folder first, as the counting passes and both parts read them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     chosen = ranks.in_share(df, key, label, share, seed)
     return df.where(chosen), df.where(~chosen)
 
