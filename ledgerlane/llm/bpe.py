@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +28,19 @@ from ledgerlane.llm.common import text_or_empty
 # Fixed values of the vocabulary's own file format: its pre-tokenizer pattern and word end.
 WORD_END = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+ASCII_PATTERN = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+"
 
-CACHED_CHUNKS = 300_000
-CACHED_WORDS = 500_000
+#: What an encoder remembers at most between batches: words, and the letters of these.
+CACHED_WORDS = 800_000
+CACHED_LETTERS = 16_000_000
 #: Letters of text that are encoded together, at least one text.
-TOGETHER = 4_000_000
+TOGETHER = 8_000_000
 #: Bytes of a word above which it is merged with a heap, by itself.
 LONG_WORD = 64
 CLOSE = "\x00"
 SEPARATORS = ["\x1c", "\x1d", "\x1e", "\x1f"]
+#: Ends a chunk where many are cut into words at once; no word holds white space.
+BREAK = "\n"
 NEVER = np.int64(1) << 40
 
 
@@ -254,112 +259,154 @@ def symbols_of_later_versions(path: str) -> str:
     return "".join(c for k, c in enumerate(doubtful) if 3 * k in joined)
 
 
+def lower_case_of_later_versions(path: str) -> dict[int, str]:
+    """Lower case of the letters that the library knows and this Python's Unicode tables do not.
+
+    Letters that both know are lower-cased alike: case mappings of assigned letters never change.
+    """
+    from tokenizers import Tokenizer
+
+    points = [c for c in [*range(0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(c)) == "Cn"]
+    made = Tokenizer.from_file(path).normalizer.normalize_str("\n".join(map(chr, points))).split(" ")
+    return {c: lower for c, lower in zip(points, made) if chr(c) != lower}
+
+
 class Encoder:
-    """Encodes texts word by word; keeps what it saw last: bounded numbers of chunks and words, and one batch."""
+    """Encodes a batch of texts at once: each different chunk between white space is cut into words once.
+
+    No word and no composed letter goes over white space. Every word met gets a number, under which its tokens lie in one
+    array; words are remembered between batches, bounded by number and letters, chunks are not.
+    """
 
     def __init__(self, path: str | None = None, spell: bool = True):
         path = path or default_vocabulary()
         self.spell = spell
         self.vocabulary = Vocabulary(path)
-        self.ascii = re.compile(ASCII_PATTERN, re.ASCII)
-        self.general = regex.compile(PATTERN)
+        self.ascii = re.compile(f"{ASCII_PATTERN}|{BREAK}", re.ASCII)
+        pattern = f"{PATTERN}|{BREAK}"
+        self.general = regex.compile(pattern)
         self.later = frozenset(symbols_of_later_versions(path))
+        self.later_lower = lower_case_of_later_versions(path)
+        self.unknown = frozenset(map(chr, self.later_lower))
         newer = "[" + "".join(map(regex.escape, sorted(self.later))) + "]" if self.later else "(?!)"
         self.rare = regex.compile(
-            PATTERN.replace(r"[\p{L}]", rf"(?:(?!{newer})\p{{L}})")
+            pattern.replace(r"[\p{L}]", rf"(?:(?!{newer})\p{{L}})")
             .replace(r"[\p{N}]", rf"(?!{newer})\p{{N}}")
             .replace(r"[^\s\p{L}\p{N}]", rf"(?:{newer}|[^\s\p{{L}}\p{{N}}])")
         )
-        # chunks between white space are looked up whole; the words inside them are learned once
-        self.packed: dict[str, bytes] = {}
-        self.spelled: dict[str, str] = {}
-        self.known: dict[str, bytes] = {}
-        self.known_spelled: dict[str, str] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words but the break, which has no tokens, and the special tokens."""
+        # a special token's text is only ever a word of its own if the text held it
+        specials = self.vocabulary.specials
+        self.numbers = {BREAK: 0} | {special: k + 1 for k, special in enumerate(specials)}
+        self.letters = 0
+        self.pool = np.array([*specials.values()], "<u4")
+        self.starts = np.array([0, *range(len(specials))], np.int64)
+        self.sizes = np.array([0, *[1] * len(specials)], np.int64)
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own, before anything is normalised."""
         split = self.vocabulary.split
-        if split and "<|" in text:
-            parts = split.split(text)
-            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.plain(part))]
-        return self.plain(text)
+        parts = split.split(text) if split and "<|" in text else [text]
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self.plain(part)) if w != BREAK]
 
     def plain(self, text: str) -> list[str]:
+        """The words of a text without special tokens, and its line breaks."""
         if text.isascii():
-            lowered = text.lower()
-            # letters alone are one word
-            return [lowered] if lowered.isalpha() else self.ascii.findall(lowered)
+            return self.ascii.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         # letter by letter, the final sigma has no form of its own
         lowered = text.replace("Σ", "σ").lower()
+        if not self.unknown.isdisjoint(lowered):
+            lowered = lowered.translate(self.later_lower)
         return (self.general if self.later.isdisjoint(lowered) else self.rare).findall(lowered)
 
-    def chunks(self, text: str) -> list[str]:
-        """The text between white space. No word and no composed letter goes over white space."""
-        # four control characters part chunks for Python but not for the vocabulary
-        return [text] if any(s in text for s in SEPARATORS) else text.split()
-
-    def forget(self) -> None:
-        """Keep the caches within their bounds."""
-        if len(self.packed) > CACHED_CHUNKS:
-            self.packed.clear()
-            self.spelled.clear()
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-            self.known_spelled.clear()
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks)
-        # letters alone are one word; the rest goes the long way
-        parts = [[w] if (w := c.lower()).isascii() and w.isalpha() and c.isascii() else self.words(c) for c in new]
-        known, specials = self.known, self.vocabulary.specials
-        words = list({w for part in parts for w in part if w not in known})
-        found = self.vocabulary.encode_words(words)
-        known.update(zip(words, found))
-        for special, i in specials.items():
-            # its text is only ever a word of its own if the text held it
-            known[special] = np.array([i], "<u4").tobytes()
-        get = known.__getitem__
-        self.packed.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """The numbers of these words; new ones are encoded and get the next numbers."""
+        fresh = sorted(set(words).difference(self.numbers))
+        packed = self.vocabulary.encode_words(fresh)
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        self.numbers.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
+        self.letters += sum(map(len, fresh))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), "<u4")])
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all chunks one after another, number of tokens of each)."""
+        numbers = self.numbered(self.plain(BREAK.join([*chunks, ""]))) if chunks else np.zeros(0, np.int64)
+        stops = np.cumsum(self.sizes[numbers])[numbers == 0]
+        return stretches(self.pool, self.starts[numbers], self.sizes[numbers]), np.diff(stops, prepend=0)
+
+    def together(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """Encode texts without special tokens, each different chunk once."""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        simple = np.fromiter(map(str.isascii, chunks), bool, len(chunks))
+        order = np.argsort(~simple, kind="stable")
+        few = int(simple.sum())
+        first, first_sizes = self.cut([chunks[i] for i in order[:few].tolist()])
+        second, second_sizes = self.cut([chunks[i] for i in order[few:].tolist()])
+        tokens, size = np.concatenate([first, second]), np.concatenate([first_sizes, second_sizes])
+        stops = np.cumsum(size)
+        place = np.empty(len(chunks), np.int64)
+        place[order] = np.arange(len(chunks))
+        spelled: list[str] = []
         if self.spell:
-            self.learn_spelling(words, found, new, parts)
-
-    def learn_spelling(self, words: list[str], found: list[bytes], chunks: list[str], parts: list[list[str]]) -> None:
-        """What words and chunks decode to; every token is followed by a space, the last one of a text loses it."""
-        spaced, specials = self.vocabulary.spaced, self.vocabulary.specials
-        tokens = list(map(spaced.__getitem__, np.frombuffer(b"".join(found), "<u4").tolist()))
-        stops = np.cumsum([len(f) // 4 for f in found]).tolist()
-        spelled = self.known_spelled
-        spelled.update(zip(words, ["".join(tokens[a:b]) for a, b in zip([0, *stops], stops)]))
-        spelled.update((special, spaced[i]) for special, i in specials.items())
-        get = spelled.__getitem__
-        self.spelled.update(zip(chunks, [get(p[0]) if len(p) == 1 else "".join(map(get, p)) for p in parts]))
+            # every token is followed by a space, the last one of a text loses it
+            spaced = list(map(self.vocabulary.spaced.__getitem__, tokens.tolist()))
+            spelled = ["".join(spaced[a:b]) for a, b in zip((stops - size).tolist(), stops.tolist())]
+        used = place[coded.indices.to_numpy()]
+        ids = stretches(tokens, (stops - size)[used], size[used])
+        packed = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
+        offsets = split.offsets.to_numpy()
+        ends = np.append(0, np.cumsum(size[used]))[offsets].tolist()
+        for k in range(len(texts)):
+            decoded = ""
+            if self.spell:
+                decoded = "".join(map(spelled.__getitem__, used[offsets[k] : offsets[k + 1]].tolist()))[:-1]
+            yield bytes(packed[4 * ends[k] : 4 * ends[k + 1]]), decoded
+
+    def alone(self, text: str) -> tuple[bytes, str]:
+        """Encode one text word by word."""
+        numbers = self.numbered(self.words(text))
+        ids = stretches(self.pool, self.starts[numbers], self.sizes[numbers])
+        return ids.tobytes(), decode_ids(self.vocabulary, ids) if self.spell else ""
+
+    def ready(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        if len(self.sizes) > CACHED_WORDS or self.letters > CACHED_LETTERS:
+            self.clear()
+        # four control characters part chunks for Arrow but not for the vocabulary
+        special = ["<|" in text or any(s in text for s in SEPARATORS) for text in texts]
+        rest = self.together([text for text, own in zip(texts, special) if not own])
+        for text, own in zip(texts, special):
+            yield self.alone(text) if own else next(rest)
 
     def encoded(self, texts: Iterable[str]) -> Iterator[tuple[bytes, str]]:
         """Of each text, its ids as little-endian unsigned 32-bit integers and, if spelled, what they decode to.
 
         This vocabulary has no decoder: tokens are joined by spaces.
         """
-        waiting: list[list[str]] = []
+        waiting: list[str] = []
         letters = 0
-
-        def ready() -> Iterator[tuple[bytes, str]]:
-            self.forget()
-            packed, new = self.packed, set()
-            for chunks in waiting:
-                new.update([c for c in chunks if c not in packed])
-            self.learn(new)
-            for chunks in waiting:
-                decoded = "".join(map(self.spelled.__getitem__, chunks))[:-1] if self.spell else ""
-                yield b"".join(map(packed.__getitem__, chunks)), decoded
-
         for text in texts:
-            waiting.append(self.chunks(text))
+            waiting.append(text)
             letters += len(text)
             if letters >= TOGETHER:
-                yield from ready()
+                yield from self.ready(waiting)
                 waiting, letters = [], 0
-        yield from ready()
+        yield from self.ready(waiting)
+
+
+def stretches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of `values` with these starts and sizes, one after another."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 def decode_ids(vocabulary: Vocabulary, ids) -> str:

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from ledgerlane.llm import bpe, repair
 
-POOL = "abcdeé'st  \n.!0é߀ñカ中😀‍\x1c\x1f́İΣς<|"
+POOL = "abcdeé'st\x01  \n.!0é߀ñカ中😀‍\x1c\x1f́İΣς<|"
 
 
 def library():
@@ -31,6 +31,15 @@ def test_ids_and_decoded_text_equal_the_library():
         assert decoded == tool.decode(encoding.ids, skip_special_tokens=False), repr(text)
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    tool = library()
+    every = [" ".join(f"a {c}b {c}" for c in points[low : low + 500]) for low in range(0, len(points), 500)]
+    wanted = [e.ids for e in tool.encode_batch_fast(every, add_special_tokens=False)]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids, _ in bpe.encoder().encoded(every)]
+    assert [k for k, (a, b) in enumerate(zip(found, wanted)) if a != b] == []
+
+
 def test_exact_merging_agrees_with_itself():
     table = bpe.Encoder().vocabulary
     dice = random.Random(4)
@@ -42,8 +51,8 @@ def test_exact_merging_agrees_with_itself():
 def test_caches_are_bounded_and_do_not_change_results(monkeypatch):
     every = texts()[:200]
     wanted = list(bpe.Encoder().encoded(every))
-    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 5)
     monkeypatch.setattr(bpe, "CACHED_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHED_LETTERS", 5)
     monkeypatch.setattr(bpe, "TOGETHER", 50)
     assert list(bpe.Encoder().encoded(every)) == wanted
 
