@@ -288,6 +288,7 @@ class Encoder:
         self.later = frozenset(symbols_of_later_versions(path))
         self.later_lower = lower_case_of_later_versions(path)
         self.unknown = frozenset(map(chr, self.later_lower))
+        self.newer = self.later | self.unknown
         newer = "[" + "".join(map(regex.escape, sorted(self.later))) + "]" if self.later else "(?!)"
         self.rare = regex.compile(
             pattern.replace(r"[\p{L}]", rf"(?:(?!{newer})\p{{L}})")
@@ -346,15 +347,15 @@ class Encoder:
         split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.values.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        simple = np.fromiter(map(str.isascii, chunks), bool, len(chunks))
-        order = np.argsort(~simple, kind="stable")
-        few = int(simple.sum())
-        first, first_sizes = self.cut([chunks[i] for i in order[:few].tolist()])
-        second, second_sizes = self.cut([chunks[i] for i in order[few:].tolist()])
-        tokens, size = np.concatenate([first, second]), np.concatenate([first_sizes, second_sizes])
+        # the slower patterns see only the chunks that need them
+        groups: list[list[int]] = [[], [], []]
+        for i, chunk in enumerate(chunks):
+            groups[0 if chunk.isascii() else 1 if self.newer.isdisjoint(chunk) else 2].append(i)
+        made = [self.cut([chunks[i] for i in group]) for group in groups]
+        tokens, size = np.concatenate([t for t, _ in made]), np.concatenate([n for _, n in made])
         stops = np.cumsum(size)
         place = np.empty(len(chunks), np.int64)
-        place[order] = np.arange(len(chunks))
+        place[np.array(sum(groups, []), np.int64)] = np.arange(len(chunks))
         spelled: list[str] = []
         if self.spell:
             # every token is followed by a space, the last one of a text loses it

@@ -6,7 +6,8 @@ stretch of ids can be read by finding its symbols through the expansion lengths
 
 File format: a Parquet table, one row per shard, with part and number (the order of shards), part_start (ids of the part
 before the shard), doc_ids (its documents in order), and as little-endian bytes: doc ends (int64, in ids, relative to
-the shard), rules (uint32 pairs; rule k is symbol 65536 + k), sequence (uint32).
+the shard), rules (uint32 pairs; rule k is symbol 65536 + k), expansions (uint32 per rule, how many ids it stands for),
+sequence (uint32).
 """
 
 from __future__ import annotations
@@ -123,9 +124,11 @@ def expand(rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         out = wider
 
 
-def read_range(rules: np.ndarray, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
+def read_range(rules: np.ndarray, expansions: np.ndarray, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a shard; only the symbols that reach into the range are expanded."""
-    size = lengths(rules)[sequence]
+    size = np.ones(len(sequence), np.int64)
+    made = sequence >= TERMINALS
+    size[made] = expansions[sequence[made] - TERMINALS]
     ends = np.cumsum(size)
     first = int(np.searchsorted(ends, start, side="right"))
     last = int(np.searchsorted(ends, stop, side="left"))
@@ -136,7 +139,8 @@ def read_range(rules: np.ndarray, sequence: np.ndarray, start: int, stop: int) -
     return ids[start - offset : stop - offset]
 
 
-SHARD = "part int, number long, part_start long, doc_ids array<long>, ends binary, rules binary, sequence binary, n_ids long"
+SHARD = "part int, number long, part_start long, doc_ids array<long>, ends binary, rules binary, expansions binary, "
+SHARD += "sequence binary, n_ids long"
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> None:
@@ -165,8 +169,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, shard_ids:
             ids = np.frombuffer(b"".join(held), "<u4")
             ends = np.cumsum([len(h) // 4 for h in held])
             rules, sequence = compress(ids)
-            row = (part, number, before, list(names), ends.astype("<i8").tobytes(), rules.tobytes(), sequence.tobytes(), len(ids))
-            columns = ["part", "number", "part_start", "doc_ids", "ends", "rules", "sequence", "n_ids"]
+            row = (part, number, before, list(names), ends.astype("<i8").tobytes(), rules.tobytes(),
+                   lengths(rules)[TERMINALS:].astype("<u4").tobytes(), sequence.tobytes(), len(ids))
+            columns = ["part", "number", "part_start", "doc_ids", "ends", "rules", "expansions", "sequence", "n_ids"]
             return pd.DataFrame([row], columns=columns)
 
         for batch in batches:
@@ -220,6 +225,43 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_ids(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids) of the ids start to stop of the whole table, a row per shard that holds some; ids are uint32 bytes.
+
+    The totals of the parts, one per task that wrote, give the parts concerned; part and place are compared in the scan, so
+    other shards' grammars are not read, and of the shards found only the symbols that reach into the range are expanded.
+    A range beyond the table's ends gives the ids there are; an empty one no rows.
+    """
+    shards = spark.read.schema(SHARD).parquet(path)
+    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    concerned, ahead = [], 0
+    for part, n in totals:
+        if ahead < stop and start < ahead + n and start < stop:
+            concerned.append((part, ahead))
+        ahead += n
+    if not concerned:
+        return spark.createDataFrame([], "start long, ids binary")
+    (first, before_first), (last, before_last) = concerned[0], concerned[-1]
+    wanted = (
+        F.col("part").between(first, last)
+        & ((F.col("part") != first) | (F.col("part_start") + F.col("n_ids") > start - before_first))
+        & ((F.col("part") != last) | (F.col("part_start") < stop - before_last))
+    )
+    offsets = F.broadcast(spark.createDataFrame(concerned, "part int, ahead long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                low, high = max(start - row.at, 0), min(stop - row.at, row.n_ids)
+                rules = np.frombuffer(row.rules, "<u4").reshape(-1, 2)
+                expansions, sequence = np.frombuffer(row.expansions, "<u4"), np.frombuffer(row.sequence, "<u4")
+                ids = read_range(rules, expansions, sequence, low, high)
+                yield pd.DataFrame({"start": [row.at + low], "ids": [ids.astype("<u4").tobytes()]})
+
+    found = shards.where(wanted).join(offsets, "part").withColumn("at", F.col("part_start") + F.col("ahead"))
+    return found.select("at", "n_ids", "rules", "expansions", "sequence").mapInPandas(run, "start long, ids binary")
+
+
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write the shards of all documents to the shared folder and read them back."""
     path = scratch(docs.sparkSession, "repair")

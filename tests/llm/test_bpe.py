@@ -87,7 +87,8 @@ def test_grammar_round_trip_and_ranges():
             assert len(sequence) + 2 * len(rules) <= max(1, len(ids))
             for _ in range(5):
                 a, b = sorted(dice.integers(0, size + 1, 2).tolist())
-                assert (repair.read_range(rules, sequence, a, b) == ids[a:b]).all()
+                expansions = repair.lengths(rules)[repair.TERMINALS :]
+                assert (repair.read_range(rules, expansions, sequence, a, b) == ids[a:b]).all()
 
 
 def test_repeated_ids_shrink():
@@ -111,3 +112,25 @@ def test_shards_keep_order_and_ids(spark, tmp_path):
         at += len(ids)
     assert len(found) == len(ROWS)
     assert repair.round_trip(rows.limit(0)).count() == 0
+
+
+def test_ranges_are_read_from_the_table(spark, tmp_path):
+    tool = library()
+    texts = [" ".join(["one fine day", "x" * (k % 7), "the same words again"] * (k % 11)) for k in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "ranges")
+    repair.write(rows, path, shard_ids=300)
+    every = [i for t in texts for i in [*tool.encode(t, add_special_tokens=False).ids, 1]]
+    shards = spark.read.schema(repair.SHARD).parquet(path)
+    assert shards.count() > 8 and shards.select("part").distinct().count() > 1
+    for row in shards.collect():
+        rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
+        held = np.frombuffer(row["expansions"], "<u4").tolist()
+        assert held == [len(repair.expand(rules, np.array([repair.TERMINALS + k]))) for k in range(len(rules))]
+    dice = random.Random(6)
+    ranges = [(0, len(every)), (5, 5), (len(every) - 3, len(every) + 50), (len(every), len(every) + 9)]
+    for a, b in ranges + [tuple(sorted(dice.sample(range(len(every)), 2))) for _ in range(4)]:
+        found = sorted(repair.read_ids(spark, path, a, b).collect(), key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(r["ids"] for r in found), "<u4").tolist() == every[a:b]
+        assert not found or found[0]["start"] == a
+    assert repair.read_ids(spark, path, 10, 40).count() == 1
