@@ -9,7 +9,9 @@ suffix is compared with its neighbour over the prefix of `LENGTH` bytes.
 
 Whole texts travel as compressed pages of about a megabyte. Pages and buckets exchange packed arrays, a row per page and
 bucket; repeats inside a page are settled there, of whole pieces and of strings that are dealt out one by one, so a string
-in every document comes to its bucket once per page at most.
+in every document comes to its bucket once per page at most. A k-gram with more than `LOCAL` different pieces in one page,
+as of a passage that many documents share between texts of their own, is sent as one mark for the page, and all its strings
+are dealt out one by one wherever it occurs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ WINDOW = LENGTH - GRAM + 1
 PAGE = 1 << 20
 #: Buckets per shuffle partition.
 BUCKETS = 2
+#: Pages behind a bucket, so that a bucket does not grow with the input.
+BUCKET_PAGES = 64
+#: Different pieces of one k-gram in one page above which the page sends a mark instead of the pieces.
+LOCAL = 32
 #: Different pieces of one k-gram above which their strings are dealt out one by one, by their own content.
 CROWDED = 4096
 #: Bytes of pieces that are sorted together, as long as a k-gram's pieces stay together.
@@ -297,8 +303,11 @@ def pages_of(docs: DataFrame, page_bytes: int = PAGE) -> DataFrame:
     return rows.mapInPandas(run, PAGES)
 
 
-def dealt(pages: DataFrame, buckets: int) -> DataFrame:
-    """Per page and bucket: the pieces' k-grams, contents, numbers, and the documents' ids and hashes."""
+def dealt(pages: DataFrame, buckets: int, local: int = LOCAL) -> DataFrame:
+    """Per page and bucket: the pieces' k-grams, contents, numbers, documents' ids and hashes, and which are marks.
+
+    A mark stands for all pieces of its k-gram in the page, where they differ in more than `local` ways.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -307,6 +316,12 @@ def dealt(pages: DataFrame, buckets: int) -> DataFrame:
                 first, _, lead, content, same = analysed(text, ends)
                 # a piece that an earlier one of its page equals is settled there
                 open_ones = np.flatnonzero(~same)
+                _, earliest, which, times = np.unique(
+                    lead[open_ones], return_index=True, return_inverse=True, return_counts=True
+                )
+                many = times[which] > local
+                sent = ~many | (earliest[which] == np.arange(len(open_ones)))
+                open_ones, mark = open_ones[sent], many[sent]
                 owner = np.searchsorted(ends, first[open_ones], side="right")
                 bucket = (lead[open_ones] >> np.uint64(20)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
@@ -314,46 +329,52 @@ def dealt(pages: DataFrame, buckets: int) -> DataFrame:
                 parts = []
                 for group in np.split(order, cuts[1:]) if len(order) else []:
                     at, docs_of = open_ones[group], owner[group]
-                    used, local = np.unique(docs_of, return_inverse=True)
+                    used, nth = np.unique(docs_of, return_inverse=True)
                     parts.append((int(bucket[group[0]]), row.page, pack(
-                        lead[at], content[at], np.diff(at, prepend=0).astype("<i4"), np.diff(local, prepend=0).astype("<i4"),
-                        np.diff(ids[used], prepend=0), hashes[used])))
+                        lead[at], content[at], np.diff(at, prepend=0).astype("<i4"), np.diff(nth, prepend=0).astype("<i4"),
+                        np.diff(ids[used], prepend=0), hashes[used], mark[group].astype("u1"))))
                 yield pd.DataFrame(parts, columns=["bucket", "page", "part"])
 
     return pages.mapInPandas(run, DEALT)
 
 
-#: What a bucket says of a piece: it repeats an earlier one; it must be sorted; its strings must be sorted one by one.
-REPEATS, SORTED, SINGLE = 1, 2, 3
+#: What a bucket says of a piece: it repeats an earlier one; it must be sorted; its strings must be sorted one by one,
+#: or those of all the page's pieces of its k-gram.
+REPEATS, SORTED, SINGLE, MARKED = 1, 2, 3, 4
 
 
 def judge(rows: pd.DataFrame, crowded: int) -> pd.DataFrame:
     """Of all pieces of a bucket, those that repeat the content of an earlier one and those that need sorting."""
-    kinds = ("<u8", "<u8", "<i4", "<i4", "<i8", "<i8")
-    lead, content, number, doc, text_hash, page = [], [], [], [], [], []
+    kinds = ("<u8", "<u8", "<i4", "<i4", "<i8", "<i8", "u1")
+    lead, content, number, doc, text_hash, page, mark = [], [], [], [], [], [], []
     for k, row in enumerate(rows.itertuples(index=False)):
-        a, c, at, local, ids, hashes = unpack(row.part, *kinds)
-        local = np.cumsum(local)
+        a, c, at, nth, ids, hashes, marks = unpack(row.part, *kinds)
+        nth = np.cumsum(nth)
         lead.append(a)
         content.append(c)
         number.append(np.cumsum(at))
-        doc.append(np.cumsum(ids)[local])
-        text_hash.append(hashes[local])
+        doc.append(np.cumsum(ids)[nth])
+        text_hash.append(hashes[nth])
         page.append(np.full(len(a), k))
-    lead, content, number, doc, text_hash, page = map(np.concatenate, (lead, content, number, doc, text_hash, page))
+        mark.append(marks.astype(bool))
+    lead, content, number, doc, text_hash, page, mark = map(
+        np.concatenate, (lead, content, number, doc, text_hash, page, mark)
+    )
     pages = rows["page"].to_numpy()
     order = np.lexsort((number, pages[page], text_hash, doc, content, lead))
+    order = order[~mark[order]]
     same_lead = lead[order][1:] == lead[order][:-1]
     same = same_lead & (content[order][1:] == content[order][:-1])
-    verdict = np.zeros(len(order), np.uint8)
+    verdict = np.zeros(len(lead), np.uint8)
+    verdict[mark] = MARKED
     verdict[order[1:][same]] = REPEATS
     # first ones of each content, where a k-gram has several contents
-    firsts = order[np.append(True, ~same)]
-    starts = np.flatnonzero(np.append(True, lead[firsts][1:] != lead[firsts][:-1]))
+    firsts = order[np.append(True, ~same)[: len(order)]]
+    starts = np.flatnonzero(np.append(True, lead[firsts][1:] != lead[firsts][:-1])[: len(firsts)])
     count = np.diff(starts, append=len(firsts))
     several = np.repeat(count, count)
     verdict[firsts[several > 1]] = SORTED
-    verdict[firsts[several > crowded]] = SINGLE
+    verdict[firsts[(several > crowded) | np.isin(lead[firsts], lead[mark])]] = SINGLE
     told = np.flatnonzero(verdict)
     told = told[np.lexsort((number[told], page[told]))]
     out = []
@@ -370,9 +391,16 @@ def gathered(told: DataFrame, name: str) -> DataFrame:
     return told.groupBy("page").agg(F.collect_list("told").alias(name))
 
 
-def single_starts(text: bytes, first: np.ndarray, count: np.ndarray, told: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def single_starts(
+    text: bytes, first: np.ndarray, count: np.ndarray, lead: np.ndarray, told: list[bytes]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first starts, their strings' hashes, later starts) of the strings of a page that are dealt out one by one."""
-    pieces = [number[verdict == SINGLE] for number, verdict in (unpack(blob, "<i4", "u1") for blob in told)]
+    pieces = []
+    for number, verdict in (unpack(blob, "<i4", "u1") for blob in told):
+        marked = number[verdict == MARKED]
+        pieces.append(number[verdict == SINGLE])
+        if len(marked):
+            pieces.append(np.flatnonzero(np.isin(lead, lead[marked])))
     chosen = np.sort(np.concatenate([np.zeros(0, np.int64), *pieces]).astype(np.int64))
     starts = np.repeat(first[chosen], count[chosen])
     starts += np.arange(len(starts)) - np.repeat(np.cumsum(count[chosen]) - count[chosen], count[chosen])
@@ -400,7 +428,7 @@ def to_sort(pages: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
                     for i in number[verdict == SORTED].tolist():
                         a, n = int(first[i]), int(count[i])
                         found.setdefault(int(lead[i] >> np.uint64(20)) % buckets, []).append((a, n, int(lead[i])))
-                starts, hashed, _ = single_starts(text, first, count, row.told)
+                starts, hashed, _ = single_starts(text, first, count, lead, row.told)
                 for p, own in zip(starts.tolist(), hashed.tolist()):
                     found.setdefault(own % buckets, []).append((p, 1, own))
                 parts = []
@@ -466,11 +494,11 @@ def settled(pages: DataFrame, with_text: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids, _, ends, text = opened(row)
-                first, count, _, _, gone = analysed(text, ends)
+                first, count, lead, _, gone = analysed(text, ends)
                 for blob in row.told if row.told is not None else []:
                     number, verdict = unpack(blob, "<i4", "u1")
                     gone[number[verdict == REPEATS]] = True
-                _, _, later = single_starts(text, first, count, row.told if row.told is not None else [])
+                _, _, later = single_starts(text, first, count, lead, row.told if row.told is not None else [])
                 marks = np.zeros(len(text) + 1, np.int32)
                 np.add.at(marks, later, 1)
                 np.add.at(marks, later + LENGTH, -1)
@@ -498,7 +526,7 @@ def settled(pages: DataFrame, with_text: bool = False) -> DataFrame:
     return pages.mapInPandas(run, RESULT + (", kept binary" if with_text else ""))
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, page_bytes: int = PAGE, crowded: int = CROWDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, page_bytes: int = PAGE, crowded: int = CROWDED, local: int = LOCAL) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
     A byte goes if a `LENGTH`-byte string over it also starts earlier: in a document with a smaller id (null ids come
@@ -506,9 +534,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, page_bytes: int = P
     stays. A null text has no bytes, texts shorter than `LENGTH` lose none. Only doc_id and text are used.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pages = written(pages_of(docs, page_bytes), "pages")
-    told = written(dealt(pages, buckets).groupBy("bucket").applyInPandas(lambda rows: judge(rows, crowded), TOLD), "told")
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pages.count() / BUCKET_PAGES))
+    told = written(dealt(pages, buckets, local).groupBy("bucket").applyInPandas(lambda rows: judge(rows, crowded), TOLD), "told")
     by_page = gathered(told, "told")
     parts = to_sort(pages, by_page, buckets)
     starts = written(parts.groupBy("bucket").applyInPandas(sort_bucket, TOLD), "starts")

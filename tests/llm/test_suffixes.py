@@ -106,3 +106,35 @@ def test_a_hot_string_comes_to_its_bucket_once_per_page(spark):
     assert all(len(found) == len(set(found)) for found in sent.values())
     found = suffixes.remove_repeats(frame, page_bytes=8_000, crowded=2)
     assert sorted(map(tuple, found.collect()), key=str) == by_hand(rows)
+
+
+def test_a_shared_passage_sends_a_mark_per_page(spark):
+    dice = random.Random(11)
+    passage = "".join(dice.choices("abcdefghij ", k=300))
+    rows = [(k, "".join(dice.choices("klmnop", k=70)) + passage + "".join(dice.choices("klmnop", k=70))) for k in range(160)]
+    rows += [(500, passage), (501, passage), (-1, "x" + passage[40:260])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    pages = suffixes.written(suffixes.pages_of(frame, 9_000), "pages")
+
+    def entries(local):
+        most = {}
+        for row in suffixes.dealt(pages, 1, local).collect():
+            lead, *_ = suffixes.unpack(row["part"], "<u8", "<u8", "<i4", "<i4", "<i8", "<i8", "u1")
+            for gram in lead.tolist():
+                most[gram] = most.get(gram, 0) + 1
+        return max(most.values())
+
+    assert entries(10**6) > 100  # one per document without marks
+    assert entries(4) <= 4 * pages.count()
+    for crowded in (suffixes.CROWDED, 2):
+        found = suffixes.remove_repeats(frame, page_bytes=9_000, crowded=crowded, local=4)
+        assert sorted(map(tuple, found.collect()), key=str) == by_hand(rows)
+
+
+def test_marks_and_buckets_never_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_PAGES", 0.05)
+    rows = corpus(8, 120)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for local in (0, 1, 3):
+        found = suffixes.remove_repeats(frame, page_bytes=20_000, local=local)
+        assert sorted(map(tuple, found.collect()), key=str) == by_hand(rows)
