@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.operators.skew import join_splitting_hot_keys
 from ledgerlane.session import ensure_checkpoint_dir
 
 
@@ -55,7 +56,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round alternates the two star operations of Kiveris et al. (2014): every node links its larger neighbours to
     its smallest one, then its smaller neighbours likewise. The edge set never grows beyond one row per edge, each
-    round is a reduction with map-side combine, so a node with a third of all edges costs one row per task. Nodes
+    round is a reduction with map-side combine, and the edges of a node with more than 1/1024 of them are cut into pieces
+    before they meet its smallest neighbour, so a node with a third of all edges is spread over many tasks. Nodes
     without an edge do not appear. Lineage is cut in the shared checkpoint folder. Rows with a null end and loops are
     no links. Raises if `rounds` do not suffice (diameters halve, so 60 rounds stand for any real graph).
     """
@@ -70,15 +72,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
-            both.where(F.col("b") > F.col("a")).join(least, "a")
+            join_splitting_hot_keys(both.where(F.col("b") > F.col("a")), least, "a", "inner", spread="b")
             .select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
         )
         # small star: of every node, the smaller neighbours and the node itself move to the smallest one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
+        ends = F.explode(F.array("a", "b")).alias("b")
         small = (
-            joined.select(F.col("m").alias("a"), F.col("a").alias("b"))
-            .union(joined.select(F.col("m").alias("a"), "b"))
+            join_splitting_hot_keys(large, least, "b", "inner", spread="a")
+            .select(F.col("m").alias("a"), ends)
             .where(F.col("a") != F.col("b"))
             .distinct()
         )

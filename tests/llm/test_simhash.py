@@ -83,3 +83,12 @@ def test_groups_with_nulls_repeats_and_clashing_columns(spark):
     wanted = [(5, 3), (3, 3), (3, 3), (None, 3), (7, 7), (8, 7), (9, 9), (None, None)]
     assert found == sorted(wanted, key=str)
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_components_of_hubs_at_either_end(spark):
+    # one node with nearly all edges, as the largest and as the smallest one, beside chains and null ends
+    for hub in (10**9, -(10**9)):
+        edges = [(hub, k) for k in range(3000)] + [(5000 + k, 5001 + k) for k in range(20)] + [(None, 3), (4, None)]
+        found = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        least = min(hub, 0)
+        assert found == {**{k: least for k in range(3000)}, hub: least, **{5000 + k: 5000 for k in range(21)}}
