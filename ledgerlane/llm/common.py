@@ -72,8 +72,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (
-            join_splitting_hot_keys(both.where(F.col("b") > F.col("a")), least, "a", "inner", spread="b")
-            .select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct()
+            # the smaller end is always `a`, so these are the edges to larger neighbours
+            join_splitting_hot_keys(current, least, "a", "inner", spread="b")
+            .select(F.col("m").alias("a"), "b").where(F.col("a") != F.col("b")).distinct().checkpoint(eager=True)
         )
         # small star: of every node, the smaller neighbours and the node itself move to the smallest one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
