@@ -1,10 +1,12 @@
 """Benchmark passages in documents, found by latent semantic retrieval and verified by their words.
 
 Terms are the words of the benchmark. Document frequencies come from all documents. A randomised SVD, computed by Spark
-over the TF-IDF passages of a bounded sample of documents together with the benchmark's own, gives the latent space. Every
-passage of every document is projected and compared with all items by cosine; the bound of each item is set from copies
-of it with words left out, placed in passages of other text. Documents that hold the end of an item's answer have a lower
-bound for it, set from paraphrases down to half of the words with the heaviest others left out. Candidates are verified by their longest common subsequence
+over the TF-IDF passages of all documents together with the benchmark's own, gives the latent space: how often two terms
+share a passage is counted exactly over every passage, and the products of the SVD are taken from these counts. Every
+passage of every document is projected and compared with all items by cosine; as the passage's own length is known, the
+bound is on its projection on the item, and is set from copies of the item with words left out. No figure comes from a
+sample of the documents. Documents that hold the end of an item's answer have a lower bound for it, set from paraphrases
+down to half of the words with the heaviest others left out. Candidates are verified by their longest common subsequence
 with the item: most of the item's words in order, or half of them together with the item's answer, its closing words.
 
 The benchmark is the stated query set. It is taken in blocks of `ITEMS` items, so whatever its size no task holds more, and
@@ -25,30 +27,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ledgerlane.llm.common import text_or_empty, written
-from ledgerlane.llm.labelled import hashed_sample
+from ledgerlane.llm.labelled import hashed_sample  # noqa: F401, bounded samples are asked for here as well
 
 ITEMS = 256
 #: Words of a segment; a passage is two segments, so shorter runs of words lie in one passage whole.
 SEGMENT = 32
 DIMENSIONS = 256
 EXTRA = 8
-#: Different texts the latent space is fitted on at most, those first by a hash; the index holds every passage.
+#: Documents whose passages a task looks at together when the space is fitted, on all documents; and their letters.
 FITTED_DOCUMENTS = 4000
-#: Partitions of those texts at most: each sends one part of the products. Letters that a task looks at together.
-FITTED_TASKS = 8
-FITTED_BLOCK = 100_000
+FITTED_BLOCK = 2_000_000
+#: Pairs of terms that a task makes at once, and different ones that it holds before it passes them on.
+PAIRS = 2_000_000
 #: Share of an item's words found in order that counts as a copy, and the share that does together with the answer.
 COPIED = 0.8
 PARAPHRASED = 0.5
 #: Items with fewer words must be found whole and in one piece.
 SHORT = 8
-#: Passages that items are placed in to set their bounds, placements per item, and how far below the worst the bound is.
-SURROUNDINGS = 300
+#: Shortened copies of an item that set its bounds, and how far below the least of them a bound is.
 TRIALS = 40
 SLACK = 0.8
 #: Share of the documents above which a term is common, and how many telling terms an item keeps.
 COMMON = 0.05
-#: Cosine under which the space cannot tell paraphrases: then every passage of a document with the answer is a candidate.
+#: Share of an item's length that a bound is at least. Where a paraphrase can keep less than that, the space cannot tell
+#: them: then every passage of a document with the answer is a candidate.
 BLIND = 0.05
 TELLING = 5
 BLOCK = 500_000
@@ -175,14 +177,14 @@ def verified(item: np.ndarray, places: dict[int, int], region: np.ndarray) -> fl
 
 @dataclass
 class Index:
-    """The latent space of a block of items: term vectors (row 0 is no term), the items in it, and their bounds.
+    """A block of items in their latent space: what each term (row 0 is no term) adds to a passage's projection on each
+    item, a vector of length 1, and the bounds of that projection: the passage's length times its cosine with the item.
 
     `bounds` holds everywhere, `paraphrases` in documents with the item's answer, as no other holds a paraphrase.
     """
 
     items: Items
-    vectors: np.ndarray
-    queries: np.ndarray
+    projected: np.ndarray
     bounds: np.ndarray
     paraphrases: np.ndarray
 
@@ -207,20 +209,20 @@ class Index:
     def matches(self, texts: list[str]) -> list[dict[int, float]]:
         """Of each text, the verified items and the share of their words found."""
         out: list[dict[int, float]] = [{} for _ in texts]
-        weighs = self.vectors.any(1)
+        weighs = self.projected.any(1)
         places = [bit_places(words.tolist()) for words in self.items.words]
         for first, held in blocks(texts, self.items.numbers):
             flat_starts = np.cumsum([0] + [len(h) for h in held])
             for low in range(0, len(held), 4096):
                 part = held[low : low + 4096]
-                sums, starts, owner = passages(part, self.vectors, weighs)
-                norms = np.linalg.norm(sums, axis=1)
+                sums, starts, owner = passages(part, self.projected, weighs)
                 answered = self.answered(part)
-                some = np.flatnonzero((norms > 0) | answered.any(1)[owner])
+                some = np.flatnonzero(sums.any(1) | answered.any(1)[owner])
                 for a in range(0, len(some), 8192):
                     rows = some[a : a + 8192]
-                    cosines = (sums[rows] / np.maximum(norms[rows, None], 1e-9)) @ self.queries.T
-                    near = (cosines >= self.bounds) | (answered[owner[rows]] & (cosines >= self.paraphrases))
+                    near = sums[rows] >= self.bounds
+                    asked = np.flatnonzero(answered.any(1)[owner[rows]])
+                    near[asked] |= answered[owner[rows[asked]]] & (sums[rows[asked]] >= self.paraphrases)
                     for r, j in zip(*np.nonzero(near)):
                         r = rows[r]
                         doc = low + owner[r]
@@ -255,42 +257,136 @@ def frequencies(docs: DataFrame, numbers: dict[bytes, int]) -> tuple[np.ndarray,
     return out, int(out[0])
 
 
-def gram_times(docs: DataFrame, numbers: dict[bytes, int], weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """AᵀA x for the TF-IDF passages A of some documents; tasks send terms in pieces, summed per piece.
-
-    `docs` is a bounded sample in `FITTED_TASKS` partitions at most, so a piece has as many parts at most.
+def meetings_in(held: list[np.ndarray], size: int, weighs: np.ndarray) -> Iterator[np.ndarray]:
+    """The weighing words of all passages of some texts: first the term of every word of every passage, then of every two
+    words of a passage, in pieces, both their terms as one number, the smaller one times `size` plus the larger one."""
+    sizes = np.array([len(h) for h in held])
+    flat = np.concatenate(held)
+    starts, owner = segments(sizes)
+    met = np.flatnonzero(weighs[flat])
+    terms = flat[met].astype(np.int64)
+    which = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(flat)))[met]
+    edges = np.searchsorted(which, np.arange(len(starts) + 2))
+    # a passage reaches over the following segment if that is of the same text
+    low, high = edges[:-2], np.where(np.append(owner[:-1] == owner[1:], False), edges[2:], edges[1:-1])
+    counts = high - low
+    one = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    yield terms[one]
+    behind = np.repeat(high, counts) - one - 1
+    total = np.cumsum(behind)
+    at = 0
+    while at < len(one):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        times = behind[at:to]
+        first = np.repeat(one[at:to], times)
+        second = np.arange(len(first)) + np.repeat(one[at:to] + 1 - (np.cumsum(times) - times), times)
+        a, b = terms[first], terms[second]
+        yield np.minimum(a, b) * size + np.maximum(a, b)
+        at = to
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def term_rows(keys: np.ndarray, counts: np.ndarray, own: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(term, others, counts) from pairs of words and from the words by themselves, every pair seen from both its ends."""
+    size = len(own)
+    alone = np.flatnonzero(own)
+    both = np.concatenate([keys, keys % size * size + keys // size, alone * size + alone])
+    both, total = summed(both, np.concatenate([counts, counts, own[alone]]))
+    term, others = both // size, (both % size).astype(np.int32)
+    first = np.flatnonzero(np.diff(term, prepend=-1)).tolist()
+    ends = [*first[1:], len(both)]
+    for k in range(0, len(first), 512):
+        spans = list(zip(first[k : k + 512], ends[k : k + 512]))
+        yield pd.DataFrame({
+            "term": [int(term[a]) for a, _ in spans],
+            "others": [others[a:b].tobytes() for a, b in spans],
+            "counts": [total[a:b].tobytes() for a, b in spans],
+        })
+
+
+def meetings(docs: DataFrame, numbers: dict[bytes, int], weighs: np.ndarray) -> DataFrame:
+    """(term, others, counts): the matrix of how often two weighing terms are in one passage, over all documents.
+
+    An entry is the sum over all passages of the product of both terms' counts; `others` holds the columns of a row as
+    int32, `counts` the entries as int64. Counts are whole numbers, so no order of the rows can move them. A task holds
+    `PAIRS` different pairs at most, and a row is summed as its parts stream by.
     """
+    size = len(numbers) + 1
+    kept = {word: term for word, term in numbers.items() if weighs[term]}
+    schema = "term long, others binary, counts binary"
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = counts = np.zeros(0, np.int64)
+        own = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, held in blocks(batch["text"].tolist(), kept, FITTED_BLOCK):
+                for low in range(0, len(held), FITTED_DOCUMENTS):
+                    words, *pieces = meetings_in(held[low : low + FITTED_DOCUMENTS], size, weighs)
+                    own += np.bincount(words, minlength=size)
+                    for piece in pieces:
+                        more, n = np.unique(piece, return_counts=True)
+                        keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, n]))
+                    if len(keys) > PAIRS:
+                        yield from term_rows(keys, counts, own)
+                        keys = counts = np.zeros(0, np.int64)
+                        own[:] = 0
+        yield from term_rows(keys, counts, own)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        term, row = None, np.zeros(size, np.int64)
+
+        def made() -> pd.DataFrame:
+            some = np.flatnonzero(row)
+            return pd.DataFrame(
+                {"term": [term], "others": [some.astype(np.int32).tobytes()], "counts": [row[some].tobytes()]}
+            )
+
+        for batch in batches:
+            rows = []
+            for k, others, counts in zip(batch["term"].tolist(), batch["others"], batch["counts"]):
+                if k != term:
+                    if term is not None:
+                        rows.append(made())
+                    term = k
+                    row[:] = 0
+                row[np.frombuffer(others, np.int32)] += np.frombuffer(counts, np.int64)
+            if rows:
+                yield pd.concat(rows)
+        if term is not None:
+            yield made()
+
+    parts = docs.select(text_or_empty().alias("text")).mapInPandas(count, schema)
+    return parts.repartition("term").sortWithinPartitions("term").mapInPandas(add, schema)
+
+
+def gram_times(met: DataFrame, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """AᵀA x for the TF-IDF passages A of all documents, from the meetings of their terms; one row a term is sent."""
     size, width = x.shape
-    weighted = (weights[:, None] * x).astype(np.float32)
-    piece = 512
+    weighted = weights[:, None] * x
+    # rows that are multiplied together, of bounded size
+    together = max(1, 4_000_000 // size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, width))
         for batch in batches:
-            for _, held in blocks(batch["text"].tolist(), numbers, FITTED_BLOCK):
-                sums, starts, _ = passages(held, weighted, weights > 0)
-                flat = np.concatenate(held)
-                which = np.searchsorted(starts, np.arange(len(flat)), side="right") - 1
-                met = np.flatnonzero(weights[flat] > 0)
-                order = met[np.argsort(flat[met], kind="stable")]
-                if len(order):
-                    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                    total[flat[order][first]] += np.add.reduceat(sums[which[order]], first, axis=0)
-        total *= weights[:, None]
-        for k in range(0, size, piece):
-            if total[k : k + piece].any():
-                yield pd.DataFrame({"piece": [k], "sums": [total[k : k + piece].tobytes()]})
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.float64) for b in rows["sums"])
-        return pd.DataFrame({"piece": [key[0]], "sums": [total.tobytes()]})
-
-    parts = docs.select(text_or_empty().alias("text")).mapInPandas(run, "piece long, sums binary")
+            for k in range(0, len(batch), together):
+                part = batch.iloc[k : k + together]
+                entries = np.zeros((len(part), size))
+                for i, (others, counts) in enumerate(zip(part["others"], part["counts"])):
+                    entries[i, np.frombuffer(others, np.int32)] = np.frombuffer(counts, np.int64)
+                yield pd.DataFrame({"term": part["term"], "sums": [row.tobytes() for row in entries @ weighted]})
+
     out = np.zeros((size, width))
-    for row in parts.groupBy("piece").applyInPandas(add, "piece long, sums binary").collect():
-        got = np.frombuffer(row["sums"], np.float64).reshape(-1, width)
-        out[row["piece"] : row["piece"] + len(got)] = got
-    return out
+    for row in met.mapInPandas(run, "term long, sums binary").collect():
+        out[row["term"]] += np.frombuffer(row["sums"], np.float64)
+    return weights[:, None] * out
 
 
 def term_weights(counts: np.ndarray, n: int, items: Items) -> np.ndarray:
@@ -313,14 +409,13 @@ def latent_space(docs: DataFrame, items: Items, seed: int = 3) -> tuple[np.ndarr
     """(IDF weights, term vectors): a randomised SVD with one power step over passages and items together."""
     counts, n = frequencies(docs, items.numbers)
     weights = term_weights(counts, n, items)
-    # the same number of different texts at every size of the corpus, written once for both products
-    texts = docs.select(text_or_empty().alias("text"))
-    fitted = written(hashed_sample(texts, FITTED_DOCUMENTS).select("text").coalesce(FITTED_TASKS), "fitted")
-    # items weigh as much as the passages of the sample
-    balance = max(1.0, min(n, FITTED_DOCUMENTS) * 16 / max(1, len(items.words)))
+    # counted once for both products
+    met = written(meetings(docs, items.numbers, weights > 0), "meetings")
+    # items weigh as much as the passages
+    balance = max(1.0, n * 16 / max(1, len(items.words)))
 
     def times(x: np.ndarray) -> np.ndarray:
-        out = gram_times(fitted, items.numbers, weights, x)
+        out = gram_times(met, weights, x)
         for words in items.words:
             term, tf = np.unique(words, return_counts=True)
             row = tf * weights[term]
@@ -336,23 +431,6 @@ def latent_space(docs: DataFrame, items: Items, seed: int = 3) -> tuple[np.ndarr
     return weights, vectors
 
 
-def surroundings(docs: DataFrame, numbers: dict[bytes, int]) -> list[np.ndarray]:
-    """Term numbers of one passage each of at most `SURROUNDINGS` documents, those first by a hash of the text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for at, text in zip(batch["at"], batch["text"]):
-                found = numbered(text, numbers)
-                start = abs(at) % max(1, len(found) - 2 * SEGMENT + 1)
-                rows.append(found[start : start + 2 * SEGMENT].tobytes())
-            yield pd.DataFrame({"at": batch["at"], "terms": rows})
-
-    chosen = hashed_sample(docs.where(F.col("text").isNotNull()), SURROUNDINGS)
-    found = chosen.mapInPandas(run, "at long, terms binary").collect()
-    return [np.frombuffer(r["terms"], np.int32) for r in sorted(found, key=lambda r: r["at"])] or [np.zeros(0, np.int32)]
-
-
 def paraphrased(words: np.ndarray, weights: np.ndarray, random: np.random.Generator | None) -> np.ndarray:
     """Places of the words that the scantest paraphrase keeps: the answer, and other words at random or else the lightest."""
     others = len(words) - len(answer(words))
@@ -367,40 +445,35 @@ def paraphrased(words: np.ndarray, weights: np.ndarray, random: np.random.Genera
 def build(docs: DataFrame, items: Items, seed: int = 4) -> Index:
     """The index of a block of items.
 
-    Bounds come from copies with a fifth of the words left out, and from the scantest paraphrases, in other passages.
+    Bounds come from copies with a fifth of the words left out, and from the scantest paraphrases: the least that one adds
+    to the projection of the passage around it, whatever the other words are.
     """
     weights, space = latent_space(docs, items)
-    vectors = (weights[:, None] * space).astype(np.float32)
+    vectors = weights[:, None] * space
     queries = np.stack([vectors[w].sum(0) for w in items.words])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+    lengths = np.linalg.norm(queries, axis=1)
+    projected = (vectors @ (queries / np.maximum(lengths[:, None], 1e-9)).T).astype(np.float32)
     random = np.random.default_rng(seed)
-    others = surroundings(docs, items.numbers)
     bounds = np.zeros(len(items.words), np.float32)
     for j, words in enumerate(items.words):
-        low = 1.0
+        low = lengths[j]
         for _ in range(TRIALS):
             kept = words[np.sort(random.choice(len(words), max(1, int(len(words) * 0.8)), replace=False))]
-            # a passage holds a segment's length of a long item at least; the rest of it is other text
+            # a passage holds a segment's length of a long item at least
             at = random.integers(0, max(1, len(kept) - SEGMENT + 1))
-            kept = kept[at : at + SEGMENT]
-            other = others[random.integers(len(others))][: 2 * SEGMENT - len(kept)]
-            made = vectors[np.concatenate([kept, other])].sum(0)
-            low = min(low, float(made @ queries[j] / max(np.linalg.norm(made), 1e-9)))
-        bounds[j] = max(0.05, SLACK * low)
-    paraphrases = np.full(len(items.words), 2.0, np.float32)
+            low = min(low, float(projected[kept[at : at + SEGMENT], j].sum()))
+        bounds[j] = max(BLIND * lengths[j], SLACK * low)
+    paraphrases = np.full(len(items.words), np.inf, np.float32)
     for j, words in enumerate(items.words):
         if len(words) < SHORT:
             continue
-        low = 1.0
+        low = lengths[j]
         for trial in range(TRIALS):
             kept = paraphrased(words, weights, random if trial % 2 else None)
             at = random.integers(0, max(1, len(words) - SEGMENT + 1))
-            kept = words[kept[(kept >= at) & (kept < at + SEGMENT)]]
-            other = others[random.integers(len(others))][: 2 * SEGMENT - len(kept)]
-            made = vectors[np.concatenate([kept, other])].sum(0)
-            low = min(low, float(made @ queries[j] / max(np.linalg.norm(made), 1e-9)))
-        paraphrases[j] = SLACK * low if low > BLIND else -2.0
-    return Index(items, vectors, queries.astype(np.float32), bounds, paraphrases)
+            low = min(low, float(projected[words[kept[(kept >= at) & (kept < at + SEGMENT)]], j].sum()))
+        paraphrases[j] = SLACK * low if low > BLIND * lengths[j] else -np.inf
+    return Index(items, projected, bounds, paraphrases)
 
 
 def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[list[tuple[int, str]]]:
