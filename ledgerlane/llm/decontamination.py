@@ -37,8 +37,8 @@ EXTRA = 8
 #: Documents whose passages a task looks at together when the space is fitted, on all documents; and their letters.
 FITTED_DOCUMENTS = 4000
 FITTED_BLOCK = 2_000_000
-#: Pairs of terms that a task makes at once, and different ones that it holds before it passes them on.
-PAIRS = 2_000_000
+#: Pairs of terms that a task makes at once; it holds twice as many different ones before it passes them on.
+PAIRS = 500_000
 #: Share of an item's words found in order that counts as a copy, and the share that does together with the answer.
 COPIED = 0.8
 PARAPHRASED = 0.5
@@ -317,7 +317,7 @@ def meetings(docs: DataFrame, numbers: dict[bytes, int], weighs: np.ndarray) ->
 
     An entry is the sum over all passages of the product of both terms' counts; `others` holds the columns of a row as
     int32, `counts` the entries as int64. Counts are whole numbers, so no order of the rows can move them. A task holds
-    `PAIRS` different pairs at most, and a row is summed as its parts stream by.
+    few more than twice `PAIRS` different pairs, and a row is summed as its parts stream by.
     """
     size = len(numbers) + 1
     kept = {word: term for word, term in numbers.items() if weighs[term]}
@@ -334,7 +334,7 @@ def meetings(docs: DataFrame, numbers: dict[bytes, int], weighs: np.ndarray) ->
                     for piece in pieces:
                         more, n = np.unique(piece, return_counts=True)
                         keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, n]))
-                    if len(keys) > PAIRS:
+                    if len(keys) > 2 * PAIRS:
                         yield from term_rows(keys, counts, own)
                         keys = counts = np.zeros(0, np.int64)
                         own[:] = 0
