@@ -31,10 +31,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PATTERN = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+"
 
 #: What an encoder remembers at most between batches: words, and the letters of these.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 200_000
 CACHED_LETTERS = 16_000_000
 #: Letters of text that are encoded together, at least one text.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 #: Bytes of a word above which it is merged with a heap, by itself.
 LONG_WORD = 64
 CLOSE = "\x00"
@@ -247,12 +247,19 @@ class Vocabulary:
         return found
 
 
+def code_points(step: int = 0x800) -> Iterator[range]:
+    """All code points but surrogates, in blocks: a list of all letters at once costs a worker hundreds of megabytes."""
+    for first in range(0, 0x110000, step):
+        if not 0xD800 <= first < 0xE000:
+            yield range(first, first + step)
+
+
 def symbols_of_later_versions(path: str) -> str:
     """Letters and digits to the pattern engine that the library's older Unicode tables take for symbols."""
     from tokenizers import Tokenizer
 
-    known = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    doubtful = [c for c in regex.findall(r"[\p{L}\p{N}]", known) if unicodedata.category(c)[0] not in "LN"]
+    known = (c for block in code_points() for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, block))))
+    doubtful = [c for c in known if unicodedata.category(c)[0] not in "LN"]
     pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(" ".join(f"!{c}" for c in doubtful))
     # a symbol joins the mark before it into one piece
     joined = {start for _, (start, end) in pieces if end - start == 2}
@@ -266,9 +273,13 @@ def lower_case_of_later_versions(path: str) -> dict[int, str]:
     """
     from tokenizers import Tokenizer
 
-    points = [c for c in [*range(0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(c)) == "Cn"]
-    made = Tokenizer.from_file(path).normalizer.normalize_str("\n".join(map(chr, points))).split(" ")
-    return {c: lower for c, lower in zip(points, made) if chr(c) != lower}
+    normalizer = Tokenizer.from_file(path).normalizer
+    found: dict[int, str] = {}
+    for block in code_points():
+        points = [c for c in block if unicodedata.category(chr(c)) == "Cn"]
+        made = normalizer.normalize_str("\n".join(map(chr, points))).split(" ")
+        found |= {c: lower for c, lower in zip(points, made) if chr(c) != lower}
+    return found
 
 
 class Encoder:

@@ -134,3 +134,16 @@ def test_ranges_are_read_from_the_table(spark, tmp_path):
         assert np.frombuffer(b"".join(r["ids"] for r in found), "<u4").tolist() == every[a:b]
         assert not found or found[0]["start"] == a
     assert repair.read_ids(spark, path, 10, 40).count() == 1
+
+
+def test_an_encoder_is_made_in_little_memory():
+    import tracemalloc
+
+    path = bpe.default_vocabulary()
+    for make in (bpe.symbols_of_later_versions, bpe.lower_case_of_later_versions):
+        tracemalloc.start()
+        made = make(path)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # every worker makes them once; all letters in one list took over 100 MB
+        assert made and peak < 30e6, (make.__name__, peak)
