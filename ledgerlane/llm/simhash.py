@@ -2,8 +2,9 @@
 
 Fingerprints at most two bits apart differ in at most two of their eight bytes, so they share at least six positional
 bytes. The index holds every fingerprint under eleven postings of five positional bytes each, chosen so that any two
-missing positions leave one posting whole. Inside a posting only the other three bytes can differ: every fingerprint is
-entered under its rest and under the rest with each single bit turned, and meets the others at a common entry. Each
+missing positions leave one posting whole. Inside a posting only the other three bytes can differ. The fingerprints of a
+small posting meet in pairs, at most as many rows as entries would be. In a larger one every fingerprint is entered
+under its rest and under the rest with each single bit turned, and meets the others at a common entry. Each
 entry links its members to its smallest one, so a posting of any size costs rows in proportion to its members, and
 chains over the entries join whatever is within two bits. The linked pairs are then counted over all eight
 positions, kept from six shared bytes on, and verified by their bits.
@@ -27,6 +28,8 @@ from ledgerlane.llm.common import components, text_or_empty, written
 SEED = 42
 BITS = 64
 BYTES = 8
+#: Fingerprints of a posting up to which they meet in pairs: at most 15.5 rows for each, where entries are 25.
+PAIRED = 32
 WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -88,6 +91,34 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return total
 
 
+def postings(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(simhash, posting, key, n): every posting of each different fingerprint that it shares with others, n in all."""
+    distinct = prints.where(F.col("simhash").isNotNull()).select("simhash").distinct()
+    posting = F.explode(
+        F.array(*[
+            F.struct(F.lit(n).alias("posting"), F.col("simhash").bitwiseAND(F.lit(~m)).alias("key"))
+            for n, m in enumerate(signed(sum(0xFF << (8 * k) for k in rest)) for rest in covering(max_bits))
+        ])
+    )
+    index = distinct.select("simhash", posting.alias("p")).select("simhash", "p.posting", "p.key")
+    shared = index.groupBy("posting", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return index.join(shared, ["posting", "key"]).select("simhash", "posting", "key", "n")
+
+
+def signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
+def entries(met: DataFrame, max_bits: int) -> DataFrame:
+    """(simhash, posting, entry): the fingerprint and each neighbour with one bit of the posting's rest turned."""
+    found = F.lit(None)
+    for n, rest in enumerate(covering(max_bits)):
+        flips = [signed(1 << (8 * k + bit)) for k in rest for bit in range(8)]
+        both = F.array(F.col("simhash"), *[F.col("simhash").bitwiseXOR(F.lit(t)) for t in flips])
+        found = F.when(F.col("posting") == n, both).otherwise(found)
+    return met.select("simhash", "posting", F.explode(found).alias("entry"))
+
+
 def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): links whose chains join all fingerprints of the column `simhash` at most `max_bits` (0 to 2) bits apart.
 
@@ -95,40 +126,30 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("the entries cover distances 0 to 2")
-    distinct = prints.where(F.col("simhash").isNotNull()).select("simhash").distinct()
     if max_bits == 0:
-        return distinct.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).limit(0)
-    left_out = covering(max_bits)
-    masks = [sum(0xFF << (8 * k) for k in rest) for rest in left_out]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    posting = F.explode(
-        F.array(*[
-            F.struct(F.lit(n).alias("posting"), F.col("simhash").bitwiseAND(F.lit(~m)).alias("key"))
-            for n, m in enumerate(signed)
-        ])
+        return prints.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).limit(0)
+    met = written(postings(prints, max_bits), "postings")
+    few, many = met.where(F.col("n") <= PAIRED), met.where(F.col("n") > PAIRED)
+    # a < b in one posting: it has at most PAIRED of either
+    sides = [few.select(F.col("simhash").alias(name), "posting", "key") for name in ("a", "b")]
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    paired = (
+        sides[0].alias("x")
+        .join(sides[1].alias("y"), (F.col("x.posting") == F.col("y.posting")) & (F.col("x.key") == F.col("y.key")) & near)
+        .select("a", "b")
     )
-    index = distinct.select("simhash", posting.alias("p")).select("simhash", "p.posting", "p.key")
-    shared = index.groupBy("posting", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("posting", "key")
-    met = index.join(shared, ["posting", "key"])
-    # the entries of a posting: the fingerprint and, for two bits, each neighbour with one bit of the rest turned
-    entries = F.lit(None)
-    for n, rest in enumerate(left_out):
-        turned = [1 << (8 * k + bit) for k in rest for bit in range(8)]
-        flips = [t - (1 << BITS) if t >> (BITS - 1) else t for t in turned]
-        both = F.array(F.col("simhash"), *[F.col("simhash").bitwiseXOR(F.lit(t)) for t in flips])
-        entries = F.when(F.col("posting") == n, both).otherwise(entries)
-    entered = met.select("simhash", "posting", F.explode(entries).alias("entry"))
+    entered = entries(many, max_bits)
     # a bit apart at most from the entry means two at most from each other; for one bit the entry must be a member
-    smallest = entered.groupBy("posting", "entry").agg(F.min("simhash").alias("low"), F.max("simhash").alias("high"))
-    smallest = smallest.where("low < high")
     if max_bits == 1:
-        pairs = entered.join(distinct.withColumnRenamed("simhash", "entry"), "entry", "left_semi").select(
-            F.col("entry").alias("a"), F.col("simhash").alias("b")
-        )
+        members = many.select(F.col("simhash").alias("entry")).distinct()
+        stars = entered.join(members, "entry", "left_semi").select(F.col("entry").alias("a"), F.col("simhash").alias("b"))
     else:
-        pairs = entered.join(smallest, ["posting", "entry"]).select(F.col("low").alias("a"), F.col("simhash").alias("b"))
+        smallest = entered.groupBy("posting", "entry").agg(F.min("simhash").alias("low"), F.max("simhash").alias("high"))
+        smallest = smallest.where("low < high")
+        stars = entered.join(smallest, ["posting", "entry"]).select(F.col("low").alias("a"), F.col("simhash").alias("b"))
     return (
-        pairs.where("a <> b")
+        paired.union(stars)
+        .where("a <> b")
         .distinct()
         .where(shared_bytes(F.col("a"), F.col("b")) >= BYTES - max_bits)
         .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)

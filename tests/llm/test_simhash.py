@@ -65,6 +65,22 @@ def test_links_join_exactly_what_is_near(spark):
         assert sorted([*map(sorted, joined.values()), *alone]) == classes(values, bits)
 
 
+def test_small_postings_meet_in_pairs_and_only_large_ones_in_entries(spark, monkeypatch):
+    # 40 pairs a bit apart, and a crowd of 60 in one byte, where nothing but entries keeps rows in proportion
+    dice = random.Random(12)
+    bases = [dice.getrandbits(62) for _ in range(40)]
+    crowd = [k << 16 for k in range(60)]
+    frame = spark.createDataFrame([(v,) for v in [*bases, *(b ^ 4 for b in bases), *crowd]], "simhash long")
+    made = []
+    whole = simhash.entries
+    monkeypatch.setattr(simhash, "entries", lambda met, bits: made.append(whole(met, bits)) or made[-1])
+    for bits in (1, 2):
+        made.clear()
+        pairs = {frozenset(r) for r in simhash.links(frame, bits).collect()}
+        assert {frozenset((b, b ^ 4)) for b in bases} <= pairs
+        assert {r["simhash"] for r in made[0].select("simhash").collect()} == set(crowd)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(100)] + [(5000, 5000), (None, 3)]
     dice = random.Random(1)
