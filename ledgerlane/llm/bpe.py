@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -30,10 +31,11 @@ WORD_END = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PATTERN = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+"
 
-#: What an encoder remembers at most between batches: words, and the letters of these.
-CACHED_WORDS = 200_000
+#: What an encoder remembers at most between batches: words, chunks between white space, and the letters of either.
+CACHED_WORDS = 100_000
+CACHED_CHUNKS = 200_000
 CACHED_LETTERS = 16_000_000
-#: Letters of text that are encoded together, at least one text.
+#: Letters of text that are encoded together, at least one text; twice as many where no decoded text is held.
 TOGETHER = 2_000_000
 #: Bytes of a word above which it is merged with a heap, by itself.
 LONG_WORD = 64
@@ -91,10 +93,19 @@ class Vocabulary:
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = r, x, y
         keys = np.array([(x << 20) | y for x, y in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ranks = np.array([r for r, _ in self.rank.values()], np.int64)[order]
-        self.made = np.array([m for _, m in self.rank.values()], np.int64)[order]
+        # a table by hash: a pair lies in the first slot from its own that holds it or nothing
+        self.slot_bits = max(4, 2 + len(keys).bit_length())
+        self.keys = np.full(1 << self.slot_bits, -1, np.int64)
+        self.ranks = np.full(1 << self.slot_bits, NEVER)
+        self.made = np.full(1 << self.slot_bits, -1, np.int64)
+        waiting = np.arange(len(keys))
+        while len(waiting):
+            at = self.slot(keys[waiting])
+            self.keys[at] = keys[waiting]
+            waiting = waiting[self.keys[at] != keys[waiting]]
+        at = self.slot(keys)
+        self.ranks[at] = [r for r, _ in self.rank.values()]
+        self.made[at] = [m for _, m in self.rank.values()]
         self.single = np.array([self.ids[c] for c in self.letters])
         self.single_end = np.array([self.ids[c + WORD_END] for c in self.letters])
         self.reachable = self.reach()
@@ -109,10 +120,20 @@ class Vocabulary:
         self.matcher.make_automaton()
         self.split = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        """The slot that holds each pair, or an empty one."""
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        held = self.keys[at]
+        taken = np.flatnonzero((held != key) & (held >= 0))
+        while len(taken):
+            at[taken] = (at[taken] + 1) & ((1 << self.slot_bits) - 1)
+            held = self.keys[at[taken]]
+            taken = taken[(held != key[taken]) & (held >= 0)]
+        return at
+
     def rank_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = (x.astype(np.int64) << 20) | y
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        return self.ranks[self.slot(key.ravel())].reshape(key.shape)
 
     def stand(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """Whether tokens a and b stay apart side by side while merges of a rank under `before` run.
@@ -152,7 +173,7 @@ class Vocabulary:
         """Greedy longest matches of all words: tokens, the end of each word's tokens, words not covered to their end."""
         joined = b"\xff".join([w.encode("utf-8") for w in words]) + b"\xff"
         letters = joined.decode("latin-1").translate(self.table)
-        found = np.array(list(self.matcher.iter_long(letters)), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.matcher.iter_long(letters)), np.int64).reshape(-1, 2)
         closes = np.flatnonzero(np.frombuffer(joined, np.uint8) == 255)
         ends = np.searchsorted(found[:, 0], closes, side="right")
         last = found[np.maximum(ends - 1, 0), 0] if len(found) else np.full(len(closes), -1)
@@ -206,7 +227,7 @@ class Vocabulary:
                 break
             line = np.arange(len(rows))
             key = (now[line, at] << 20) | now[line, at + 1]
-            now[line, at] = self.made[np.searchsorted(self.keys, key)]
+            now[line, at] = self.made[self.slot(key)]
             step = np.arange(width - 1)
             now = np.take_along_axis(now, step + (step > at[:, None]), 1)
             if width > 2:
@@ -223,7 +244,7 @@ class Vocabulary:
         if not words:
             return []
         flat, ends, open_ended = self.propose(words)
-        pairs, back = np.unique((flat[:-1] << 20) | flat[1:], return_inverse=True)
+        back, pairs = pd.factorize((flat[:-1] << 20) | flat[1:])
         inside = np.ones(max(len(flat) - 1, 0), bool)
         inside[ends[(ends > 0) & (ends < len(flat))] - 1] = False
         fails = np.flatnonzero(inside & ~self.stand(pairs >> 20, pairs & ((1 << 20) - 1))[back])
@@ -282,11 +303,67 @@ def lower_case_of_later_versions(path: str) -> dict[int, str]:
     return found
 
 
+class Memory:
+    """Texts met before, numbered, and their tokens in one array; what was met again outlasts what was met once.
+
+    The first texts, `fixed`, always stay.
+    """
+
+    def __init__(self, fixed: dict[str, list[int]]):
+        self.fixed = len(fixed)
+        self.numbers = {text: k for k, text in enumerate(fixed)}
+        self.letters = 0
+        self.pool = np.array(sum(fixed.values(), []), "<u4")
+        self.sizes = np.array([len(tokens) for tokens in fixed.values()], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.again = np.ones(self.fixed, bool)
+        # what each text decodes to, if it is told; there are no fixed texts then
+        self.spelled: list[str] = []
+
+    def find(self, texts: list[str]) -> np.ndarray:
+        """The number of each text, -1 for those not met before."""
+        found = np.fromiter(map(self.numbers.get, texts, repeat(-1)), np.int64, len(texts))
+        self.again[found[found >= 0]] = True
+        return found
+
+    def add(self, texts: list[str], tokens: np.ndarray, sizes: np.ndarray, spelled: Iterable[str] = ()) -> np.ndarray:
+        """The numbers that these new texts get."""
+        made = np.arange(len(self.sizes), len(self.sizes) + len(texts))
+        self.numbers.update(zip(texts, made.tolist()))
+        self.letters += sum(map(len, texts))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, tokens.astype("<u4", copy=False)])
+        self.again = np.concatenate([self.again, np.zeros(len(texts), bool)])
+        self.spelled.extend(spelled)
+        return made
+
+    def tokens(self, numbers: np.ndarray) -> np.ndarray:
+        """The tokens of these texts one after another."""
+        return stretches(self.pool, self.starts[numbers], self.sizes[numbers])
+
+    def trim(self, most: int, most_letters: int) -> None:
+        """Beyond either bound, forget what was met once since the last time; all if that leaves over half of a bound."""
+        if len(self.sizes) <= most and self.letters <= most_letters:
+            return
+        texts, kept = list(self.numbers), np.flatnonzero(self.again)
+        letters = sum(len(texts[k]) for k in kept[self.fixed :].tolist())
+        if 2 * len(kept) > most or 2 * letters > most_letters:
+            kept, letters = kept[: self.fixed], 0
+        self.pool = self.tokens(kept)
+        self.sizes = self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numbers = {texts[k]: n for n, k in enumerate(kept.tolist())}
+        self.letters = letters
+        self.spelled = [self.spelled[k] for k in kept.tolist()] if self.spelled else []
+        self.again = np.arange(len(kept)) < self.fixed
+
+
 class Encoder:
     """Encodes a batch of texts at once: each different chunk between white space is cut into words once.
 
-    No word and no composed letter goes over white space. Every word met gets a number, under which its tokens lie in one
-    array; words are remembered between batches, bounded by number and letters, chunks are not.
+    No word and no composed letter goes over white space. Words and chunks are remembered between batches with their
+    tokens, bounded by number and letters.
     """
 
     def __init__(self, path: str | None = None, spell: bool = True):
@@ -306,17 +383,9 @@ class Encoder:
             .replace(r"[\p{N}]", rf"(?!{newer})\p{{N}}")
             .replace(r"[^\s\p{L}\p{N}]", rf"(?:{newer}|[^\s\p{{L}}\p{{N}}])")
         )
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all words but the break, which has no tokens, and the special tokens."""
-        # a special token's text is only ever a word of its own if the text held it
-        specials = self.vocabulary.specials
-        self.numbers = {BREAK: 0} | {special: k + 1 for k, special in enumerate(specials)}
-        self.letters = 0
-        self.pool = np.array([*specials.values()], "<u4")
-        self.starts = np.array([0, *range(len(specials))], np.int64)
-        self.sizes = np.array([0, *[1] * len(specials)], np.int64)
+        # number 0 is the break, which has no tokens; a special token's text is a word of its own only if the text held it
+        self.known = Memory({BREAK: []} | {special: [i] for special, i in self.vocabulary.specials.items()})
+        self.chunks = Memory({})
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own, before anything is normalised."""
@@ -337,61 +406,64 @@ class Encoder:
 
     def numbered(self, words: list[str]) -> np.ndarray:
         """The numbers of these words; new ones are encoded and get the next numbers."""
-        fresh = sorted(set(words).difference(self.numbers))
-        packed = self.vocabulary.encode_words(fresh)
-        sizes = np.array([len(p) // 4 for p in packed], np.int64)
-        self.numbers.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh))))
-        self.letters += sum(map(len, fresh))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), "<u4")])
-        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        found = self.known.find(words)
+        new = np.flatnonzero(found < 0).tolist()
+        if new:
+            missing = [words[k] for k in new]
+            fresh = list(dict.fromkeys(missing))
+            packed = self.vocabulary.encode_words(fresh)
+            sizes = np.array([len(p) // 4 for p in packed], np.int64)
+            self.known.add(fresh, np.frombuffer(b"".join(packed), "<u4"), sizes)
+            found[new] = np.fromiter(map(self.known.numbers.__getitem__, missing), np.int64, len(missing))
+        return found
 
     def cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all chunks one after another, number of tokens of each)."""
-        numbers = self.numbered(self.plain(BREAK.join([*chunks, ""]))) if chunks else np.zeros(0, np.int64)
-        stops = np.cumsum(self.sizes[numbers])[numbers == 0]
-        return stretches(self.pool, self.starts[numbers], self.sizes[numbers]), np.diff(stops, prepend=0)
+        numbers = self.numbered(self.plain(BREAK.join([*chunks, ""])))
+        stops = np.cumsum(self.known.sizes[numbers])[numbers == 0]
+        return self.known.tokens(numbers), np.diff(stops, prepend=0)
 
     def together(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """Encode texts without special tokens, each different chunk once."""
+        """Encode texts without special tokens, each chunk that is not remembered once."""
         split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = self.chunks.find(chunks)
         # the slower patterns see only the chunks that need them
         groups: list[list[int]] = [[], [], []]
-        for i, chunk in enumerate(chunks):
-            groups[0 if chunk.isascii() else 1 if self.newer.isdisjoint(chunk) else 2].append(i)
-        made = [self.cut([chunks[i] for i in group]) for group in groups]
-        tokens, size = np.concatenate([t for t, _ in made]), np.concatenate([n for _, n in made])
-        stops = np.cumsum(size)
-        place = np.empty(len(chunks), np.int64)
-        place[np.array(sum(groups, []), np.int64)] = np.arange(len(chunks))
-        spelled: list[str] = []
-        if self.spell:
-            # every token is followed by a space, the last one of a text loses it
-            spaced = list(map(self.vocabulary.spaced.__getitem__, tokens.tolist()))
-            spelled = ["".join(spaced[a:b]) for a, b in zip((stops - size).tolist(), stops.tolist())]
+        for i in np.flatnonzero(place < 0).tolist():
+            groups[0 if chunks[i].isascii() else 1 if self.newer.isdisjoint(chunks[i]) else 2].append(i)
+        for group in groups:
+            if group:
+                fresh = [chunks[i] for i in group]
+                tokens, size = self.cut(fresh)
+                spelled: list[str] = []
+                if self.spell:
+                    # every token is followed by a space, the last one of a text loses it
+                    spaced = list(map(self.vocabulary.spaced.__getitem__, tokens.tolist()))
+                    stops = np.cumsum(size)
+                    spelled = ["".join(spaced[a:b]) for a, b in zip((stops - size).tolist(), stops.tolist())]
+                place[group] = self.chunks.add(fresh, tokens, size, spelled)
         used = place[coded.indices.to_numpy()]
-        ids = stretches(tokens, (stops - size)[used], size[used])
-        packed = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
+        ids = self.chunks.tokens(used)
+        packed = memoryview(ids).cast("B") if len(ids) else memoryview(b"")
         offsets = split.offsets.to_numpy()
-        ends = np.append(0, np.cumsum(size[used]))[offsets].tolist()
+        ends = np.append(0, np.cumsum(self.chunks.sizes[used]))[offsets].tolist()
+        known = self.chunks.spelled
         for k in range(len(texts)):
             decoded = ""
             if self.spell:
-                decoded = "".join(map(spelled.__getitem__, used[offsets[k] : offsets[k + 1]].tolist()))[:-1]
+                decoded = "".join(map(known.__getitem__, used[offsets[k] : offsets[k + 1]].tolist()))[:-1]
             yield bytes(packed[4 * ends[k] : 4 * ends[k + 1]]), decoded
 
     def alone(self, text: str) -> tuple[bytes, str]:
         """Encode one text word by word."""
-        numbers = self.numbered(self.words(text))
-        ids = stretches(self.pool, self.starts[numbers], self.sizes[numbers])
+        ids = self.known.tokens(self.numbered(self.words(text)))
         return ids.tobytes(), decode_ids(self.vocabulary, ids) if self.spell else ""
 
     def ready(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        if len(self.sizes) > CACHED_WORDS or self.letters > CACHED_LETTERS:
-            self.clear()
+        self.known.trim(CACHED_WORDS, CACHED_LETTERS)
+        self.chunks.trim(CACHED_CHUNKS, CACHED_LETTERS)
         # four control characters part chunks for Arrow but not for the vocabulary
         special = ["<|" in text or any(s in text for s in SEPARATORS) for text in texts]
         rest = self.together([text for text, own in zip(texts, special) if not own])
@@ -404,11 +476,11 @@ class Encoder:
         This vocabulary has no decoder: tokens are joined by spaces.
         """
         waiting: list[str] = []
-        letters = 0
+        letters, most = 0, TOGETHER if self.spell else 2 * TOGETHER
         for text in texts:
             waiting.append(text)
             letters += len(text)
-            if letters >= TOGETHER:
+            if letters >= most:
                 yield from self.ready(waiting)
                 waiting, letters = [], 0
         yield from self.ready(waiting)

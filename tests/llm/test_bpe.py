@@ -57,6 +57,28 @@ def test_caches_are_bounded_and_do_not_change_results(monkeypatch):
     assert list(bpe.Encoder().encoded(every)) == wanted
 
 
+def test_chunks_met_again_are_not_cut_again(monkeypatch):
+    every = texts()
+    wanted = list(bpe.Encoder().encoded(every))
+    tool, cut = bpe.Encoder(), []
+    whole = bpe.Encoder.cut
+    monkeypatch.setattr(bpe.Encoder, "cut", lambda self, chunks: cut.extend(chunks) or whole(self, chunks))
+    assert list(tool.encoded(every)) == wanted
+    assert cut and len(cut) == len(set(cut))
+    cut.clear()
+    assert list(tool.encoded(every)) == wanted
+    assert cut == []
+    # beyond the bound, what came back lately stays and what came once goes
+    common = "the same words again "
+    list(tool.encoded([common]))
+    list(tool.encoded([common]))
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 400)
+    list(tool.encoded([" ".join(f"once{k}" for k in range(500))]))
+    cut.clear()
+    assert list(tool.encoded([common + "once3"])) == list(bpe.Encoder().encoded([common + "once3"]))
+    assert len(tool.chunks.sizes) <= 400
+
+
 ROWS = [(1, None, "x"), (2, "", None), (None, "A b's", "y"), (3, "same", "z"), (3, "same", "z"), (4, "long " * 9000, "")]
 
 
