@@ -35,8 +35,10 @@ ASCII_PATTERN = r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+"
 CACHED_WORDS = 100_000
 CACHED_CHUNKS = 200_000
 CACHED_LETTERS = 16_000_000
-#: Letters of text that are encoded together, at least one text; twice as many where no decoded text is held.
+#: Letters of text that are encoded together, at least one text.
 TOGETHER = 2_000_000
+#: Where no decoded text is held, so many times the words, chunks and letters together.
+UNSPELLED = 4
 #: Bytes of a word above which it is merged with a heap, by itself.
 LONG_WORD = 64
 CLOSE = "\x00"
@@ -368,7 +370,7 @@ class Encoder:
 
     def __init__(self, path: str | None = None, spell: bool = True):
         path = path or default_vocabulary()
-        self.spell = spell
+        self.spell, self.room = spell, 1 if spell else UNSPELLED
         self.vocabulary = Vocabulary(path)
         self.ascii = re.compile(f"{ASCII_PATTERN}|{BREAK}", re.ASCII)
         pattern = f"{PATTERN}|{BREAK}"
@@ -462,8 +464,8 @@ class Encoder:
         return ids.tobytes(), decode_ids(self.vocabulary, ids) if self.spell else ""
 
     def ready(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        self.known.trim(CACHED_WORDS, CACHED_LETTERS)
-        self.chunks.trim(CACHED_CHUNKS, CACHED_LETTERS)
+        self.known.trim(CACHED_WORDS * self.room, CACHED_LETTERS)
+        self.chunks.trim(CACHED_CHUNKS * self.room, CACHED_LETTERS)
         # four control characters part chunks for Arrow but not for the vocabulary
         special = ["<|" in text or any(s in text for s in SEPARATORS) for text in texts]
         rest = self.together([text for text, own in zip(texts, special) if not own])
@@ -476,7 +478,7 @@ class Encoder:
         This vocabulary has no decoder: tokens are joined by spaces.
         """
         waiting: list[str] = []
-        letters, most = 0, TOGETHER if self.spell else 2 * TOGETHER
+        letters, most = 0, TOGETHER * self.room
         for text in texts:
             waiting.append(text)
             letters += len(text)
