@@ -1,8 +1,10 @@
 import math
+from pathlib import Path
 
 import numpy as np
 
 from ledgerlane.llm import vectors
+from ledgerlane.llm.common import scratch
 
 
 def by_hand(rows, threshold):
@@ -132,3 +134,78 @@ def test_recall_of_the_whole_search_at_the_threshold(spark):
     n = 4000
     found = links(spark, pairs_at_the_threshold(n, 64))
     assert (found[:n] > 0).mean() >= vectors.RECALL
+
+
+def test_links_and_components_through_many_tables_and_pieces(spark):
+    # cells of 5 vectors on average, cut from 20 on: equal vectors and near ones meet in several tables and pieces
+    dice = np.random.default_rng(3)
+    rows = sample(seed=2, n=300)
+    hot = [(3000 + k, (np.arange(16) - 7.5 + 0.3 * dice.standard_normal(16)).astype(np.float32).tolist(), 0) for k in range(90)]
+    rows += hot
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    exact = [(a, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, c) for a, v, c in rows]
+    assert vectors.dealing(250, 0.93, 1e-5, 20)[0] > 5
+    found = vectors.near_duplicates(frame, threshold=0.93, piece=20)
+    assert sorted(map(tuple, found.collect()), key=str) == by_hand(exact, 0.93)
+
+
+def test_recall_through_tables_at_the_threshold(spark):
+    n = 4000
+    found = pairs_at_the_threshold(n, 64)
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(found)], "vec_id long, embedding array<double>, label int")
+    assert vectors.dealing(2 * n, 0.93, 1e-5, 400)[0] > 8
+    met = vectors.near_duplicates(frame, piece=400).where(f"vec_id < {n} AND n_links > 0").count()
+    assert met >= vectors.RECALL * n
+
+
+def test_tables_miss_no_more_than_set():
+    dice = np.random.default_rng(6)
+    a = dice.standard_normal((20000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = dice.standard_normal((20000, 64))
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for n in (60_000, 1_500_000, 40_000_000):
+        tables, draws, drawn = vectors.dealing(n, 0.93, 1e-5)
+        assert tables < 60
+        met = vectors.cells(a, tables, draws, drawn) == vectors.cells(b, tables, draws, drawn)
+        assert abs(met.mean() - vectors.meeting(0.93, drawn) ** draws) < 0.01
+        assert met.any(axis=1).mean() >= 0.9998
+
+
+def test_links_of_a_tile_against_brute_force(monkeypatch):
+    monkeypatch.setattr(vectors, "SIDE", 16)
+    dice = np.random.default_rng(8)
+    units = dice.standard_normal((5, 12))[dice.integers(5, size=150)] + 0.25 * dice.standard_normal((150, 12))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    weights = dice.integers(1, 4, 150)
+    earlier = dice.integers(3, size=(150, 2)).astype("<i4")
+    lines = vectors.directions(12)
+    window, least = vectors.calibrated(0.93, vectors.LINES, vectors.RECALL)
+    every = (units @ units.T >= 0.93) & (vectors.collisions(units @ lines.T, units @ lines.T, window) >= least)
+    every &= ~(earlier[:, None] == earlier[None]).any(axis=2)
+    for cut, dense in ((150, 0.03), (150, 1), (60, 0.03)):
+        monkeypatch.setattr(vectors, "DENSE", dense)
+        allowed = ~np.eye(150, dtype=bool) if cut == 150 else (np.arange(150) < cut)[:, None] != (np.arange(150) < cut)
+        found, group = vectors.links_of_tile(units, weights, earlier, cut, lines, window, least, 0.93)
+        assert found.tolist() == ((every & allowed) @ weights).tolist()
+        reached = np.eye(150, dtype=bool) | (every & allowed)
+        for _ in range(8):
+            reached = reached @ reached
+        assert ((group[:, None] == group[None]) == reached).all()
+
+
+def bytes_in(*folders):
+    return sum(p.stat().st_size for f in folders for p in Path(f).rglob("*") if p.is_file())
+
+
+def test_disk_grows_with_the_vectors_not_with_pairs(spark):
+    n, size = 6000, 64
+    made = np.random.default_rng(2).standard_normal((n, size)).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(made)], "vec_id long, embedding array<float>, label int")
+    frame.write.parquet(path := scratch(spark, "embeddings"))
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [spark.sparkContext.getCheckpointDir().removeprefix("file:"), *(d.getPath() for d in local)]
+    before = bytes_in(*folders)
+    vectors.near_duplicates(spark.read.parquet(path))
+    assert bytes_in(*folders) - before < 4 * made.nbytes
